@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import vectors as V
-from .graph import components
+from .graph import joined
 
 MAX_LEAVES, MIN_LEAVES = 4096, 256
 #: Leaves never grow beyond this mean square radius by a raised bound; then the smallest join their nearest.
@@ -60,12 +60,12 @@ class CFTree:
                 self._clear()
                 for at in range(0, len(old[0]), 1024):
                     self._enter(*(x[at : at + 1024] for x in old))
-                if self.radius2 >= MAX_RADIUS2 and len(self.n) > self.limit // 2:
+                if self.radius2 >= MAX_RADIUS2 and len(self.n) > self.limit * 7 // 8:
                     self._squeeze()
 
     def _squeeze(self) -> None:
-        """The smallest leaves join their nearest, until half the limit is left."""
-        keep = np.argsort(-self.n, kind="stable")[: max(1, self.limit // 2)]
+        """The smallest leaves join their nearest, until seven eighths of the limit are left."""
+        keep = np.argsort(-self.n, kind="stable")[: max(1, self.limit * 7 // 8)]
         rest = np.setdiff1d(np.arange(len(self.n)), keep)
         to = (self._centres(self.n[rest], self.sums[rest]) @ self._centres(self.n[keep], self.sums[keep]).T).argmax(1)
         n, sums = self.n[keep].copy(), self.sums[keep].copy()
@@ -146,9 +146,23 @@ class CFTree:
         np.add.at(self.sums, leaf[fits], sums[took])
         return todo[~fits]
 
+    def refine(self, n, sums, rounds: int = 3) -> None:
+        """Gives the features that came in to their nearest leaves anew, so that early leaves lose what later ones suit better."""
+        c = self._centres(n, sums)
+        c /= np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-12)
+        for _ in range(rounds):
+            m = self._centres(self.n, self.sums)
+            m /= np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-12)
+            to = np.concatenate([(c[i : i + 2048] @ m.T).argmax(1) for i in range(0, len(c), 2048)])
+            count, total = np.zeros(len(m)), np.zeros((len(m), V.DIM))
+            np.add.at(count, to, n)
+            np.add.at(total, to, sums)
+            full = count > 0
+            self.n, self.sums, self.ex_id, self.ex, self.node = count[full], total[full], self.ex_id[full], self.ex[full], self.node[full]
+
     def batch(self, pid: int) -> pa.RecordBatch:
         k = len(self.n)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(k, pid, np.int32)), pa.array(self.n), pa.array([r.tobytes() for r in self.sums], pa.binary()), pa.array(self.ex_id), V.pack(self.ex) if k else pa.array([], pa.binary())], ["pid", "n", "sums", "ex_id", "ex_vec"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(k, pid, np.int32)), pa.array(self.n), V.pack(self.sums) if k else pa.array([], pa.binary()), pa.array(self.ex_id), V.pack(self.ex) if k else pa.array([], pa.binary())], ["pid", "n", "sums", "ex_id", "ex_vec"])
 
 
 def leaf_limit(rows: int) -> int:
@@ -176,9 +190,11 @@ def leaves(df: DataFrame, id_col: str, limit: int, fan_in: int = 8) -> pa.Table:
         tree = CFTree(limit)
         pid = table.column("pid")[0].as_py()
         table = table.sort_by([("n", "descending"), ("ex_id", "ascending")])
-        sums = np.stack([np.frombuffer(b.as_py(), np.float64) for b in table.column("sums")])
+        sums = np.concatenate([V.unpack(c) for c in table.column("sums").chunks]).astype(np.float64)
         ex = np.concatenate([V.unpack(c) for c in table.column("ex_vec").chunks])
-        tree.add(np.asarray(table.column("n")), sums, np.asarray(table.column("ex_id")), ex)
+        n = np.asarray(table.column("n"))
+        tree.add(n, sums, np.asarray(table.column("ex_id")), ex)
+        tree.refine(n, sums)
         return pa.Table.from_batches([tree.batch(pid)])
 
     scan = df.select(id_col, "embedding")
@@ -254,7 +270,7 @@ class Model:
             self.centres, self.size, self.ex_id, self.ex = np.zeros((1, V.DIM), np.float32), np.zeros(1), np.full(1, -1), np.zeros((1, V.DIM), np.float32)
             return
         n = np.asarray(table.column("n"))
-        sums = np.stack([np.frombuffer(b.as_py(), np.float64) for b in table.column("sums")])
+        sums = np.concatenate([V.unpack(c) for c in table.column("sums").chunks]).astype(np.float64)
         ex = np.concatenate([V.unpack(c) for c in table.column("ex_vec").chunks])
         ex_id = np.asarray(table.column("ex_id"))
         label = ward(n, sums, radius2)
@@ -314,9 +330,17 @@ def linked(df: DataFrame, id_col: str, floor: float = 0.90, least: int = 3, radi
     centres, ex_id, ex = model.centres, model.ex_id, model.ex
     ex_unit = V.unit(ex) if ex.any() else ex
     salts = np.maximum(1, np.ceil(model.size / V.HOT_ROWS)).astype(np.int32)
+    # a record linked to its block's exemplar is linked to one of another block only within twice the angle of the bound
+    apart = 2 * floor * floor - 1 - 1e-6
 
     def spread(ids, sides, x, y):
-        r, c, _ = V.nearest_cells(y, centres, V.PROBES, V.MARGIN)
+        r, c, home = V.nearest_cells(y, centres, V.PROBES, V.MARGIN)
+        at = np.empty(len(y), np.int64)
+        at[r[home]] = c[home]
+        within = (y * ex_unit[at]).sum(1) >= floor
+        stay = home | ~within[r]
+        stay[~stay] = (y[r[~stay]] * ex_unit[c[~stay]]).sum(1) >= apart
+        r, c = r[stay], c[stay]
         hot = salts[c] > 1
         if not hot.any():
             return r, c, np.zeros(len(r), np.int32)
@@ -350,6 +374,6 @@ def linked(df: DataFrame, id_col: str, floor: float = 0.90, least: int = 3, radi
 
     rows = V.staged(df, id_col, spread)
     edges = rows.groupBy("cell", "salt").applyInArrow(block, "u bigint, v bigint")
-    found = components(edges)
+    found = joined(edges)
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     return found.join(sizes, "root").select(F.col("root").alias("cluster_id"), F.col("id"))

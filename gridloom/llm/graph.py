@@ -42,3 +42,20 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError(f"components: not settled after {most_rounds} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+
+
+def joined(rows: DataFrame) -> DataFrame:
+    """(id, root) like components, for rows (u, v) in which a node u names few v (its smallest partners in some blocks).
+
+    Every u first keeps its smallest v; only what links one v with another goes through the rounds.
+    """
+    shared_dir(rows.sparkSession)
+    own = rows.filter("u > v").groupBy("u").agg(F.collect_set("v").alias("vs")).select("u", F.array_min("vs").alias("m"), "vs").checkpoint()
+    between = own.filter(F.size("vs") > 1).select("m", F.explode("vs").alias("v")).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # a v that is itself a u hangs on its own smallest
+    heads = own.select(F.explode("vs").alias("v")).distinct()
+    chained = own.join(heads, F.col("u") == F.col("v"), "left_semi").select("u", F.col("m").alias("v"))
+    top = components(between.unionByName(chained))
+    ids = own.select(F.col("u").alias("id"), F.col("m")).unionByName(own.select(F.col("m").alias("id"), "m").distinct())
+    rooted = ids.join(top.select(F.col("id").alias("m"), "root"), "m", "left").select("id", F.coalesce("root", "m").alias("root"))
+    return rooted.unionByName(top.select("id", "root")).groupBy("id").agg(F.min("root").alias("root"))

@@ -3,8 +3,8 @@
     python -m gridloom.llm.pii_training TABLES_DIR [SECONDS]
 
 Labelled spans come from a bounded sample of documents (SAMPLE_DOCS) whose spans are labelled by the forms of pii_rules
-and by the lexicon, plus renamed copies of its windows in which names are replaced by invented ones of the same shape, so that the tagger
-learns a name's surroundings rather than the list.
+and by the lexicon, plus renamed copies of its windows in which names are replaced by invented ones of the same shape, a part of these in one
+letter case, so that the tagger learns a name's surroundings and sound rather than the list.
 """
 
 from __future__ import annotations
@@ -146,6 +146,9 @@ def windows_of(texts: list[str], lex: Lexicon, seed: int = 5) -> tuple[np.ndarra
                 if not (tags >= 2 * KINDS.index("name") + 1).any():
                     break
                 folded, tags = renamed(folded, tags, g, parts)
+                roll = g.random()
+                plain = folded.lower() if roll < 0.15 else folded.upper() if roll < 0.3 else folded
+                folded = plain if len(plain) == len(folded) else folded
             ids = encode(folded)
             step = WINDOW * 3 // 4
             first = int(g.integers(0, step))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,12 +51,14 @@ def joined(rows: DataFrame) -> DataFrame:
 
     Every u first keeps its smallest v; only what links one v with another goes through the rounds.
     """
-    shared_dir(rows.sparkSession)
-    own = rows.filter("u > v").groupBy("u").agg(F.collect_set("v").alias("vs")).select("u", F.array_min("vs").alias("m"), "vs").checkpoint()
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/joined-{uuid.uuid4().hex}"
+    rows.filter("u > v").groupBy("u").agg(F.collect_set("v").alias("vs")).select("u", F.array_min("vs").alias("m"), "vs").write.parquet(path)
+    own = spark.read.parquet(path)  # read by each use below
     between = own.filter(F.size("vs") > 1).select("m", F.explode("vs").alias("v")).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     # a v that is itself a u hangs on its own smallest
-    heads = own.select(F.explode("vs").alias("v")).distinct()
-    chained = own.join(heads, F.col("u") == F.col("v"), "left_semi").select("u", F.col("m").alias("v"))
+    heads = own.select(F.explode("vs").alias("id")).distinct()
+    chained = own.select(F.col("u").alias("id"), "m").join(heads, "id").select(F.col("id").alias("u"), F.col("m").alias("v"))
     top = components(between.unionByName(chained))
     ids = own.select(F.col("u").alias("id"), F.col("m")).unionByName(own.select(F.col("m").alias("id"), "m").distinct())
     rooted = ids.join(top.select(F.col("id").alias("m"), "root"), "m", "left").select("id", F.coalesce("root", "m").alias("root"))

@@ -35,7 +35,7 @@ def load_lexicon(rows) -> Lexicon:
 
 
 def label_names(text: str, lex: Lexicon, taken: np.ndarray) -> list[tuple[int, int]]:
-    """Spans in which a known given part or an initial stands with a known family part, or one known part with a capitalised unknown one."""
+    """Spans of two parts that are known, or sound like known ones (the lexicon is incomplete), or of an initial and a known family part."""
     out, at = [], 0
     for m in SURE.finditer(text):
         lo, hi = m.span(m.lastindex)
@@ -54,7 +54,7 @@ def label_names(text: str, lex: Lexicon, taken: np.ndarray) -> list[tuple[int, i
             initial = len(parts[0]) == 2 and parts[0][1] == "."
             upper = parts[0][:1].isupper() == parts[1][:1].isupper()
             known_g, known_f = g in ("g", "b"), f in ("f", "b")
-            if (known_f and (known_g or (initial and upper))) or (upper and not initial and (known_f and _invented(parts[0]) or known_g and _invented(parts[1]))):
+            if (known_f and (known_g or (initial and upper))) or (upper and not initial and (known_f and _invented(parts[0]) or known_g and _invented(parts[1]) or parts[0][:1].isupper() and _invented(parts[0]) and _invented(parts[1]))):
                 found = (lo, hi)
         if found and not taken[found[0] : found[1]].any():
             out.append(found)

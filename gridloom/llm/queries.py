@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Records of the varied subset: a twentieth of the collection.
+SUBSET_PART = 20
+
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
@@ -32,5 +35,120 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found}
-SQL: dict[str, str] = {}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from .quota import shortfalls
+
+    return shortfalls(_table(spark, d, "genre_embeddings"), "emb_id", "genre", _table(spark, d, "genre_targets"))
+
+
+def p3_sample(spark: SparkSession, d: str) -> DataFrame:
+    from .quota import draw
+
+    return draw(_table(spark, d, "genre_embeddings"), "emb_id", "genre", _table(spark, d, "genre_targets")).withColumnRenamed("id", "emb_id")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    from .quota import allocate, counts
+
+    return allocate(_table(spark, d, "genre_targets"), counts(_table(spark, d, "genre_embeddings"), "emb_id", "genre")).drop("category")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from .varied import crowds
+
+    return crowds(_table(spark, d, "genre_embeddings"), "emb_id", 0.995, 8).select("group_id", F.col("id").alias("emb_id"))
+
+
+def p4_subset(spark: SparkSession, d: str) -> DataFrame:
+    from .varied import subset
+
+    rows = _table(spark, d, "genre_embeddings")
+    return subset(rows, "emb_id", "genre", rows.count() // SUBSET_PART).select(F.col("id").alias("emb_id"), F.col("category").alias("genre"), "density")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from .overlap import overlaps
+
+    pairs = overlaps(_table(spark, d, "annotated_embeddings"), "rec_id", 0.995)
+    return pairs.select(F.least("train_id", "eval_id").alias("rec_lo"), F.greatest("train_id", "eval_id").alias("rec_hi")).distinct()
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    from .overlap import report
+
+    return report(_table(spark, d, "annotated_embeddings"), "rec_id", 0.995)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from .leaks import found
+
+    return found(_table(spark, d, "documents"), _table(spark, d, "eval_passages"))
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    from .leaks import leaked_items
+
+    return leaked_items(_table(spark, d, "documents"), _table(spark, d, "eval_passages"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    from .mixing import unreachable
+
+    return unreachable(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    from .mixing import mixture
+
+    return mixture(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    from .mixing import shares
+
+    return shares(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from .pii import find
+
+    return find(_table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "kind", "start_char").distinct()
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    from .pii import redact
+
+    return redact(_table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_sample, p3_report, p4_found, p4_subset, p5_found, p5_report, p6_found, p6_items, p7_found, p7_mixture, p7_shares, p8_found, p8_redacted)}
+
+# ---------------------------------------------------------------------------------------------------
+# SQL for what SQL expresses; the others are tested against brute force, an exact round trip or held-out accuracy.
+
+_CANON = "nullif(regexp_replace(strip_accents(lower(replace({0}, '&', ' and '))), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '')"
+_WANTED = f"""
+WITH usable AS (
+  SELECT emb_id AS id, min(genre) AS spelled FROM genre_embeddings
+  WHERE emb_id IS NOT NULL AND genre IS NOT NULL AND len(embedding) = 4
+    AND len(list_filter(embedding, lambda r: len(r) = 16 AND len(list_filter(r, lambda v: isfinite(v))) = 16)) = 4
+    AND len(list_filter(flatten(embedding), lambda v: v <> 0)) > 0
+  GROUP BY emb_id),
+have AS (SELECT {_CANON.format('spelled')} AS category, count(*) AS available FROM usable GROUP BY 1 HAVING category IS NOT NULL),
+size AS (SELECT coalesce(sum(available), 0) // 10 AS n FROM have),
+wanted AS (
+  SELECT plan_id, t.genre, {_CANON.format('t.genre')} AS category,
+         greatest(coalesce(min_rows, 0), CAST(ceil(round(target_share * n, 6)) AS BIGINT)) AS wanted FROM genre_targets t, size)
+"""
+_SIZED = """
+WITH sized AS (
+  SELECT lower(trim(source)) AS source, len(regexp_extract_all(text, '\\p{L}+|\\p{Nd}+|[^\\s\\v\\x{85}\\p{Z}\\p{L}\\p{Nd}]')) AS size
+  FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND trim(source) <> ''),
+per AS (SELECT source, sum(size) AS size FROM sized GROUP BY source),
+total AS (SELECT coalesce(sum(size), 0) // 2 AS t FROM per)
+"""
+
+SQL: dict[str, str] = {
+    "p3_found": _WANTED + "SELECT plan_id, genre FROM wanted LEFT JOIN have USING (category) WHERE wanted > coalesce(available, 0)",
+    "p7_found": _SIZED + "SELECT plan_id, m.source FROM mix_targets m LEFT JOIN per ON lower(trim(m.source)) = per.source, total WHERE target_share * t > max_repeats * coalesce(size, 0)",
+}

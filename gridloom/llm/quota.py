@@ -16,6 +16,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .vectors import LAYERS, WIDTH
@@ -42,7 +43,7 @@ def canonical(text: str | None) -> str | None:
     return out or None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_udf(s: pd.Series) -> pd.Series:
     known = {x: canonical(x) for x in s.unique()}
     return s.map(known)

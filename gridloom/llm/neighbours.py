@@ -38,23 +38,43 @@ def _allowed(d: int, bound2: np.ndarray | float):
     return bound2 * d / V.DIM * (1 + EPSILON * np.sqrt(2.0 / d * (1 - d / V.DIM)))
 
 
-def scan(z_a: np.ndarray, z_b: np.ndarray, bound2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rotated unit rows not abandoned: adaptive dimension scan with a squared-distance bound for each row of a."""
-    s = z_a[:, :BLOCK] @ z_b[:, :BLOCK].T
-    na, nb = (z_a[:, :BLOCK] ** 2).sum(1), (z_b[:, :BLOCK] ** 2).sum(1)
-    partial = na[:, None] + nb[None] - 2 * s
-    i, j = np.nonzero(partial <= _allowed(BLOCK, bound2)[:, None])
-    if len(i) * 4 > s.size:  # most survive, so whole blocks are cheaper than picking pairs
-        full = 2 - 2 * (z_a @ z_b.T)
-        return np.nonzero(full <= (bound2 + 4e-6)[:, None])
-    left = partial[i, j]
+#: Above this share of pairs left by the first block, whole blocks are cheaper than picked pairs.
+CROWDED = 0.03
+
+
+def scan(z_a: np.ndarray, z_b: np.ndarray, own: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, similarity in single precision) of the pairs of rotated unit rows that were not abandoned.
+
+    own is the number in b of each row of a, which is no pair. In a crowded tile all blocks are read, and a row's k-th best
+    abandons what is farther; elsewhere the pairs left after a block are read in the next one.
+    """
+    bound2 = 2 - 2 * floor
+    half_b = -0.5 * (z_b[:, :BLOCK] ** 2).sum(1)
+    first = np.concatenate([z_a[:, :BLOCK], np.ones((len(z_a), 1), np.float32)], 1) @ np.concatenate([z_b[:, :BLOCK], half_b[:, None]], 1).T
+    left = first >= (0.5 * (z_a[:, :BLOCK] ** 2).sum(1) - 0.5 * _allowed(BLOCK, bound2))[:, None]
+    left[np.arange(len(own)), own] = False
+    if np.count_nonzero(left) > CROWDED * left.size:
+        s = z_a @ z_b.T
+        s[np.arange(len(own)), own] = -2
+        n = s.shape[1]
+        kth = np.partition(s, n - k, axis=1)[:, n - k] if n > k else np.full(len(s), -2, np.float32)
+        i, j = np.nonzero(s >= (np.maximum(kth, floor) - 2e-6)[:, None])
+        return i, j, s[i, j]
+    i, j = np.nonzero(left)
+    gap = z_a[i, :BLOCK] - z_b[j, :BLOCK]
+    part = (gap * gap).sum(1)
     for d in range(BLOCK, V.DIM, BLOCK):
         gap = z_a[i, d : d + BLOCK] - z_b[j, d : d + BLOCK]
-        left = left + (gap * gap).sum(1)
-        upto = d + BLOCK
-        keep = left <= (_allowed(upto, bound2)[i] if upto < V.DIM else (bound2 + 4e-6)[i])
-        i, j, left = i[keep], j[keep], left[keep]
-    return i, j
+        part = part + (gap * gap).sum(1)
+        keep = part <= (_allowed(d + BLOCK, bound2) if d + BLOCK < V.DIM else bound2 + 4e-6)
+        i, j, part = i[keep], j[keep], part[keep]
+    return i, j, 1 - part / 2
+
+
+def _places(i: np.ndarray) -> np.ndarray:
+    """Place of each entry within its run of equal, sorted row numbers."""
+    start = np.flatnonzero(np.diff(i, prepend=-1))
+    return np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
 
 
 def search(ids: np.ndarray, x: np.ndarray, y: np.ndarray, queries: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,31 +83,23 @@ def search(ids: np.ndarray, x: np.ndarray, y: np.ndarray, queries: np.ndarray, k
     outs = []
     for lo, hi in V.tiles(len(queries), len(ids), 2_000_000):
         q = queries[lo:hi]
-        bound2 = np.full(len(q), 2 - 2 * floor, np.float32)
-        i, j = scan(z[q], z, bound2)
-        other = q[i] != j
-        i, j = i[other], j[other]
+        i, j, approx = scan(z[q], z, q, k, floor)
         if not len(i):
             continue
-        approx = (y[q[i]] * y[j]).sum(1) if len(i) < 200_000 else np.concatenate([(y[q[i[a : a + 200_000]]] * y[j[a : a + 200_000]]).sum(1) for a in range(0, len(i), 200_000)])
         # the k-th best of each row, less what rounding may hide, before the exact computation
         order = np.lexsort((-approx, i))
         i, j, approx = i[order], j[order], approx[order]
-        start = np.flatnonzero(np.diff(i, prepend=-1))
-        rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
         kth = np.full(len(q), -2.0, np.float32)
-        at_k = rank == k - 1
+        at_k = _places(i) == k - 1
         kth[i[at_k]] = approx[at_k]
-        keep = approx >= kth[i] - 2e-6
+        keep = approx >= kth[i] - 4e-6
         i, j = i[keep], j[keep]
         exact = V.cosine(x[q[i]], x[j])
         good = exact >= floor
         i, j, exact = i[good], j[good], exact[good]
         order = np.lexsort((ids[j], -exact, i))
         i, j, exact = i[order], j[order], exact[order]
-        start = np.flatnonzero(np.diff(i, prepend=-1))
-        rank = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
-        top = rank < k
+        top = _places(i) < k
         outs.append((q[i[top]], j[top], exact[top]))
     if not outs:
         empty = np.empty(0, np.int64)

@@ -1,6 +1,6 @@
 """The registered queries of the core: QUERIES by name, and SQL for those that SQL can express."""
 
-from . import mask_queries, metric_queries, sampling_queries  # noqa: F401
+from . import mask_queries, metric_queries, prep_queries, sampling_queries, time_queries  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

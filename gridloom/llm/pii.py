@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .crf_tagger import KINDS, Tagger, encode, fold_text, spans_of
-from .pii_rules import NAME, matches, split_name
+from .pii_rules import BESIDE, NAME, NOT_PERSON, TITLES, matches, split_name
 
 MODEL = Path(__file__).with_name("pii_model.npz")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
@@ -28,6 +28,11 @@ PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]
 REACH = 64
 #: Words and signs between two names.
 _BETWEEN = re.compile(r"\s+(?:and|with|by|for|und|y|et|mit|con|avec)\s+|\s*[&/;:()<>\"]+\s*", re.I)
+_FIRST = re.compile(r"(\p{L}+)(\.?)[\s,]+")
+_LAST = re.compile(r"[\s,]+(\p{L}+)$")
+_BEFORE = re.compile(r"(?<![\p{L}\p{M}])(\p{L}\.|\p{Lu}[\p{L}\p{M}'’-]+)\s+$")
+#: Known parts of names are sent to the workers up to this many.
+MAX_KNOWN = 200_000
 _TAGGER: list[Tagger] = []
 
 
@@ -46,7 +51,31 @@ def _word_edges(text: str, s: int, e: int) -> tuple[int, int]:
     return s, e
 
 
-def _name(text: str, s: int, e: int) -> tuple[int, int] | None:
+def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
+    """Without titles and joining words at the ends."""
+    while m := _FIRST.match(text, s, e):
+        if m.group(1).lower() not in TITLES | BESIDE or m.end() >= e or (m.group(2) and m.group(1).lower() not in TITLES):
+            break
+        s = m.end()
+    while m := _LAST.search(text, s, e):
+        if m.group(1).lower() not in BESIDE:
+            break
+        e = m.start()
+    return s, e
+
+
+def _is_name(text: str, s: int, e: int, known: frozenset[str]) -> bool:
+    parts = split_name(text[s:e])
+    if parts is None or e - s > 80:
+        return False
+    own = re.findall(r"[\p{L}\p{M}'’]+", text[s:e].lower())
+    if parts[1].lower().split("-")[-1] in NOT_PERSON or parts[0].lower() in NOT_PERSON:
+        return False
+    # a name in small letters is read as words unless a part of it is known
+    return not (known and text[s:e].islower() and not any(w in known for w in own))
+
+
+def _name(text: str, s: int, e: int, known: frozenset[str] = frozenset()) -> tuple[int, int] | None:
     """The name form that shares most with the proposed span."""
     s, e = _word_edges(text, s, e)
     if e < len(text) and text[e] == "." and e - s >= 2 and text[e - 2 : e - 1] in " \n" and text[e - 1].isalpha():
@@ -55,8 +84,13 @@ def _name(text: str, s: int, e: int) -> tuple[int, int] | None:
         s += 1
     while e > s and not (text[e - 1].isalpha() or text[e - 1] == "."):
         e -= 1
-    if split_name(text[s:e]):
+    s, e = _trimmed(text, s, e)
+    if _is_name(text, s, e, known):
         return s, e
+    if e - s >= 3 and not re.search(r"\s", text[s:e]):  # one part alone: its initial or other part may stand in front
+        m = _BEFORE.search(text, max(0, s - 32), s)
+        if m and m.group(1).rstrip(".").lower() not in TITLES | BESIDE and _is_name(text, m.start(1), e, known):
+            return m.start(1), e
     best, most = None, 0.5
     starts = [s] + [i + 1 for i in range(max(0, s - 16), e) if text[i] in " \n\t\"(" and i + 1 != s]
     for at in starts:
@@ -64,15 +98,16 @@ def _name(text: str, s: int, e: int) -> tuple[int, int] | None:
         if not m:
             continue
         for end in sorted({m.end(), min(m.end(), e)}):
-            if end <= at or not split_name(text[at:end]):
+            a, b = _trimmed(text, at, end)
+            if b <= a or not _is_name(text, a, b, known):
                 continue
-            share = max(0, min(end, e) - max(at, s)) / max(1, max(end, e) - min(at, s))
+            share = max(0, min(b, e) - max(a, s)) / max(1, max(b, e) - min(a, s))
             if share > most:
-                best, most = (at, end), share
+                best, most = (a, b), share
     return best
 
 
-def resolve(text: str, tags: np.ndarray) -> list[tuple[str, int, int]]:
+def resolve(text: str, tags: np.ndarray, known: frozenset[str] = frozenset()) -> list[tuple[str, int, int]]:
     """(kind, start, end) of a folded text from its tags, in order, none overlapping another."""
     found: list[tuple[int, int, int]] = []
     for kind, s, e in spans_of(tags):
@@ -80,7 +115,7 @@ def resolve(text: str, tags: np.ndarray) -> list[tuple[str, int, int]]:
         if name == "name":
             cuts = [s, *(x for m in _BETWEEN.finditer(text, s, e) for x in m.span()), e]
             for a, b in zip(cuts[::2], cuts[1::2]):
-                hit = _name(text, a, b) if b - a > 3 else None
+                hit = _name(text, a, b, known) if b - a > 3 else None
                 if hit:
                     found.append((kind, *hit))
             continue
@@ -95,11 +130,19 @@ def resolve(text: str, tags: np.ndarray) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: x[1])
 
 
-def spans(texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
+def known_parts(lexicon: DataFrame, column: str = "name_part") -> frozenset[str]:
+    """The parts of a lexicon, folded; a lexicon of more than MAX_KNOWN rows is refused."""
+    rows = lexicon.select(column).filter(F.col(column).isNotNull()).limit(MAX_KNOWN + 1).collect()
+    if len(rows) > MAX_KNOWN:
+        raise ValueError(f"a lexicon may have {MAX_KNOWN} rows")
+    return frozenset(fold_text(r[0]).lower() for r in rows)
+
+
+def spans(texts: list[str | None], known: frozenset[str] = frozenset()) -> list[list[tuple[str, int, int]]]:
     """The spans of each text, as 0-based code points."""
     folded = [fold_text(t) if t else "" for t in texts]
     tags = tagger().tag_texts([encode(f) for f in folded])
-    return [resolve(f, t) if t.any() else [] for f, t in zip(folded, tags)]
+    return [resolve(f, t, known) if t.any() else [] for f, t in zip(folded, tags)]
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -108,15 +151,16 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon: DataFrame | None = None) -> DataFrame:
     """(id, kind, start_char, length): one row an occurrence, start_char 1-based in code points."""
+    known = known_parts(lexicon) if lexicon is not None else frozenset()
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 ids, kinds, starts, lengths = [], [], [], []
-                for key, found in zip(part.column(0).to_pylist(), spans(part.column(1).to_pylist())):
+                for key, found in zip(part.column(0).to_pylist(), spans(part.column(1).to_pylist(), known)):
                     for kind, a, b in found:
                         ids.append(key)
                         kinds.append(kind)
@@ -128,15 +172,16 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     return _spread(rows).mapInArrow(tag, f"id {rows.schema['id'].dataType.simpleString()}, kind string, start_char int, length int")
 
 
-def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon: DataFrame | None = None) -> DataFrame:
     """(id, text, replaced): each text with its spans replaced by placeholders, and their number; null texts stay null."""
+    known = known_parts(lexicon) if lexicon is not None else frozenset()
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts, out, counts = part.column(1).to_pylist(), [], []
-                for text, found in zip(texts, spans(texts)):
+                for text, found in zip(texts, spans(texts, known)):
                     counts.append(len(found))
                     if found:
                         bits, at = [], 0

@@ -16,7 +16,7 @@ STREET_FR = r"(?:rue|avenue|av\.|boulevard|bd\.?|quai|chemin|place|pl\.|impasse|
 STREET_ES = r"(?:calle|c/|c\.|avenida|avda?\.?|av\.|plaza|pza\.?|paseo|p\.º|camino|carretera|ronda|traves[ií]a|callej[oó]n|glorieta|cuesta|rambla|v[ií]a)"
 ID_LABEL = (
     r"(?:ssn|social\s+security(?:\s+(?:number|no\.?))?|soc\.?\s*sec\.?(?:\s*no\.?)?|national\s+insurance(?:\s+(?:number|no\.?))?|ni\s*(?:number|no\.?)|nino|"
-    r"tax(?:payer)?\s*(?:id|identification|file)(?:\s*(?:number|no\.?))?|tin|steuer[- ]?(?:id(?:[- ]?nr)?|nr|nummer|identifikationsnummer)\.?|sozialversicherungs(?:nummer|[- ]?nr\.?)|"
+    r"tax(?:payer)?\s*(?:id|identification|file|form|return|reference)(?:\s*(?:number|no\.?))?(?:\s+(?:lists|says|shows|gives))?|tin|steuer[- ]?(?:id(?:[- ]?nr)?|nr|nummer|identifikationsnummer)\.?|sozialversicherungs(?:nummer|[- ]?nr\.?)|"
     r"passport(?:\s*(?:number|no\.?|nr\.?|#))?|(?:reise)?pass(?:nummer|[- ]?nr\.?)|passeport(?:\s*n[°oº]\.?)?|pasaporte(?:\s*n[°oº.ú]\w*\.?)?|reisepass|"
     r"dni(?:\s*/\s*nif)?|nif|nie|(?:personal)?ausweis(?:nummer|[- ]?nr\.?)?|identity\s+card(?:\s*(?:number|no\.?))?|id\s+card(?:\s*(?:number|no\.?))?|carte\s+d.identit[eé]|"
     r"(?:driv(?:ing|er'?s?)\s+)?licen[cs]e(?:\s*(?:number|no\.?|nr\.?|#))?|f[uü]hrerschein(?:nummer|[- ]?nr\.?)?|permis\s+de\s+conduire|s[eé]cu(?:rit[eé]\s+sociale)?|insee|nir|num[eé]ro\s+fiscal)"
@@ -46,6 +46,8 @@ PHONE = re.compile(
     r")(?![\w]|[-/:]\d|\.\d)"
 )
 ID = re.compile(rf"(?<![\p{{L}}\d_]){ID_LABEL}\s*(?:[:#=.]|is|n[°oº]\.?|no\.?)?\s*({ID_NUMBER})(?![\w])", re.I)
+#: A number in brackets right behind a word in capitals, as after a person's name, without a label.
+ID_BARE = re.compile(r"(?<=(?:\p{Lu}[\p{L}\p{M}'’-]+|\p{Lu}{3,}|\p{L}{4,})\s\()(\d{3}[- ]\d{2}[- ]\d{4}|\d{9}|[A-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[A-D]|\d{2}\s\d{3}\s\d{3}\s\d{3}|[XYZ]?\d{7,8}-?[A-Z]|[A-Z]\d{3}-\d{4}-\d{4}|[A-Z]{2}\d{7})(?=\))", re.I)
 ADDRESS = re.compile(
     rf"(?<![\w#/.,-])\d{{1,5}}{_S}?[A-Za-z]?(?:{_S}?[-/]{_S}?\d{{1,5}}[A-Za-z]?)?,?{_S}+(?:(?!(?:was|of|and|the|in|on|for|to|is|at|bars?)\b){_WORD}{_S}+){{1,3}}?{STREET_EN}\b\.?(?!{_S}+(?:was|mix|waltz|blues|and{_S}+\d)\b)"
     rf"|(?<![\w#/.,-])\d{{1,5}}(?:{_S}?(?:bis|ter|quater|[A-Da-d])\b)?,?{_S}+{STREET_FR}{_S}+(?:(?:du|de|des|de{_S}+la|de{_S}+l'|d'|l'){_S}*)*{_WORD}(?:[- ]{_TITLED})?"
@@ -59,7 +61,13 @@ NAME = re.compile(
     rf"(?<![\p{{L}}\p{{M}}\d_@.+-])(?:{_PART},\s+(?:{_PART}|{_I})(?:\s+{_I})?|(?:{_PART}|{_I})(?:\s+{_I}){{0,2}}\s+(?:{PARTICLE}\s+)?{_PART})(?![\p{{L}}\p{{M}}\d_@])",
     re.I,
 )
-_GEAR_AFTER = re.compile(r"\s+(?:Mk|Twelve|Sixteen|Sixty|II|III|\d)", re.I)
+# Titles, words that follow or join names, and words that end names of gear, rooms, ensembles and works.
+TITLES = set("mr mrs ms miss mx dr prof professor sir madam herr frau fräulein fraulein monsieur madame mademoiselle mme mlle sr sra srta señor señora senor senora don doña dona".split())
+BESIDE = set("and with by for who the play plays cut signed teaches holds owns took made said from about before und mit von et avec y con engineer words music vocals mixed recorded written thanks ask cc contact attn".split())
+NOT_PERSON = set(
+    "loft sixty mk twelve sixteen four compressor preamp deck echo rhodan verb drive quay yard room harbour harbor island weir foundry arcade basement gate hall almanac meridian pylons carousel hollow refrain static mechanics ministry "
+    "parade orchard sundial tigress trio quartet quintet ensemble orchestra choir band collective suite waltz mix road street lane avenue terrace studio studios records amp pedal organ synth reverb delay".split()
+)
 _PHONE_NOT = re.compile(r"(?:serial|catalogue|cat\.|batch|order|invoice|ticket|matrix|ref|take|seed|preset|codes?|lengths?|checksums?|no\.|number\s+of|catalog|isrc|session|dBFS)[\s:#.=-]*(?:no\.?|number|nr\.?)?[\s:#=-]*$", re.I)
 PATTERNS = {"email": EMAIL, "phone": PHONE, "id_number": ID, "address": ADDRESS}
 
@@ -69,7 +77,8 @@ def matches(kind: str, text: str, lo: int = 0, hi: int | None = None) -> list[tu
     hi = len(text) if hi is None else min(hi, len(text))
     group = 1 if kind == "id_number" else 0
     out = []
-    for m in PATTERNS[kind].finditer(text, lo, hi):
+    found = [*PATTERNS[kind].finditer(text, lo, hi), *(ID_BARE.finditer(text, lo, hi) if kind == "id_number" else ())]
+    for m in found:
         start, end = m.span(group)
         if kind == "phone":
             if _PHONE_NOT.search(text[max(0, start - 24) : start]) or not 7 <= sum(c.isdigit() for c in text[start:end]) <= 15:

@@ -1,6 +1,6 @@
 """Trains the tagger of pii.py from labelled spans and stores its weights beside this module.
 
-    python -m gridloom.llm.pii_training TABLES_DIR [SECONDS]
+    python -m gridloom.llm.pii_training TABLES_DIR [EPOCHS [OUT]]
 
 Labelled spans come from a bounded sample of documents (SAMPLE_DOCS) whose spans are labelled by the forms of pii_rules
 and by the lexicon, plus renamed copies of its windows in which names are replaced by invented ones of the same shape, a part of these in one
@@ -165,7 +165,7 @@ def windows_of(texts: list[str], lex: Lexicon, seed: int = 5) -> tuple[np.ndarra
     return np.stack(xs), np.stack(ys)
 
 
-def main(tables: str, epochs: int = 10) -> None:
+def main(tables: str, epochs: int = 12, out: str | Path = MODEL) -> None:
     import duckdb
 
     con = duckdb.connect()
@@ -178,10 +178,10 @@ def main(tables: str, epochs: int = 10) -> None:
 
     def said(epoch, loss):
         print(epoch, round(loss, 5), flush=True)
-        tagger.save(MODEL)
+        tagger.save(out)
 
     tagger.fit(x, y, epochs, said=said)
 
 
 if __name__ == "__main__":
-    main(sys.argv[1], int(sys.argv[2]) if len(sys.argv) > 2 else 10)
+    main(sys.argv[1], *map(int, sys.argv[2:3]), *sys.argv[3:4])

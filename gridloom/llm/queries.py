@@ -112,13 +112,13 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from .pii import find
 
-    return find(_table(spark, d, "documents")).select(F.col("id").alias("doc_id"), "kind", "start_char").distinct()
+    return find(_table(spark, d, "documents"), lexicon=_table(spark, d, "name_lexicon")).select(F.col("id").alias("doc_id"), "kind", "start_char").distinct()
 
 
 def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     from .pii import redact
 
-    return redact(_table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+    return redact(_table(spark, d, "documents"), lexicon=_table(spark, d, "name_lexicon")).withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_sample, p3_report, p4_found, p4_subset, p5_found, p5_report, p6_found, p6_items, p7_found, p7_mixture, p7_shares, p8_found, p8_redacted)}

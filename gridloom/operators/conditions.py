@@ -13,8 +13,8 @@ from gridloom.sources.grid import MASK
 Condition = Callable[[DataFrame], DataFrame]
 
 
-def _apply(m) -> Condition:
-    return lambda grid: grid.withColumn("m", m.cast("int")).withColumn("code", M.apply(F.col("code"), F.col("m"), MASK))
+def _apply(mask: Callable) -> Condition:
+    return lambda grid: grid.withColumn("m", mask().cast("int")).withColumn("code", M.apply(F.col("code"), F.col("m"), MASK))
 
 
 def baseline(grid: DataFrame) -> DataFrame:
@@ -22,21 +22,21 @@ def baseline(grid: DataFrame) -> DataFrame:
 
 
 def mask_ratio(ratio: float) -> Condition:
-    return _apply(M.linear_random(F.lit(ratio)))
+    return _apply(lambda: M.linear_random(F.lit(ratio)))
 
 
 def inpaint(steps: int) -> Condition:
     """Keeps so many steps at either end."""
-    return _apply(M.inpaint(steps, steps))
+    return _apply(lambda: M.inpaint(steps, steps))
 
 
 def periodic(period: int) -> Condition:
-    return _apply(M.periodic(period, 1))
+    return _apply(lambda: M.periodic(period, 1))
 
 
 def coarse(conditioning: int, factor: int) -> Condition:
     """A time-stretched mask; the conditioning codebooks have no effect on it, as in what it imitates."""
-    return _apply(M.time_stretch(factor))
+    return _apply(lambda: M.time_stretch(factor))
 
 
 def token_noise(amount: float) -> Condition:

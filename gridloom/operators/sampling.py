@@ -16,14 +16,15 @@ from pyspark.sql import Window as W
 from gridloom.functions.rng import gumbel, uniform
 from gridloom.functions.scalar import gamma
 
-_ROW = W.partitionBy("id")
+def _row():
+    return W.partitionBy("id")
 
 
 def softmax(df: DataFrame, temperature: float = 1.0, name: str = "p") -> DataFrame:
     """Adds the probability of each entry; a temperature of 0 or less counts as 1."""
     x = F.col("logit") / temperature if temperature > 0 else F.col("logit")
-    e = F.exp(x - F.max(x).over(_ROW))
-    return df.withColumn("__e", F.coalesce(e, F.lit(0.0))).withColumn(name, F.col("__e") / F.sum("__e").over(_ROW)).drop("__e")
+    e = F.exp(x - F.max(x).over(_row()))
+    return df.withColumn("__e", F.coalesce(e, F.lit(0.0))).withColumn(name, F.col("__e") / F.sum("__e").over(_row())).drop("__e")
 
 
 def _drop_from(df: DataFrame, keep: Column) -> DataFrame:
@@ -32,12 +33,12 @@ def _drop_from(df: DataFrame, keep: Column) -> DataFrame:
 
 def top_k_keep(k: int) -> Column:
     """Whether an entry is at least the k-th largest; ties of it are kept."""
-    return F.rank().over(_ROW.orderBy(F.desc_nulls_last("logit"))) <= k
+    return F.rank().over(_row().orderBy(F.desc_nulls_last("logit"))) <= k
 
 
 def top_p_keep(p: float, prob: str = "p") -> Column:
     """Whether the probability before an entry, in descending order, is within p; the first entry past it is kept."""
-    along = _ROW.orderBy(F.desc(prob), "k").rowsBetween(W.unboundedPreceding, -1)
+    along = _row().orderBy(F.desc(prob), "k").rowsBetween(W.unboundedPreceding, -1)
     return F.coalesce(F.sum(prob).over(along), F.lit(0.0)) <= p
 
 
@@ -45,12 +46,12 @@ def typical(df: DataFrame, mass: float = 0.95, min_tokens: int = 1) -> DataFrame
     """Adds keep: entries whose surprise is near the entropy, up to the mass; with min_tokens over 1 the first of them always."""
     rows = softmax(df)
     logp = F.when(F.col("p") > 0, F.log("p"))
-    rows = rows.withColumn("__s", F.abs(-logp - F.sum(F.coalesce(-F.col("p") * logp, F.lit(0.0))).over(_ROW)))
-    order = _ROW.orderBy(F.asc_nulls_last("__s"), "k")
+    rows = rows.withColumn("__s", F.abs(-logp - F.sum(F.coalesce(-F.col("p") * logp, F.lit(0.0))).over(_row())))
+    order = _row().orderBy(F.asc_nulls_last("__s"), "k")
     rows = rows.withColumn("__rank", F.row_number().over(order)).withColumn("__cum", F.sum("p").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    last = F.least(F.count(F.when(F.col("__cum") < mass, 1)).over(_ROW), F.count(F.lit(1)).over(_ROW) - 1)
+    last = F.least(F.count(F.when(F.col("__cum") < mass, 1)).over(_row()), F.count(F.lit(1)).over(_row()) - 1)
     rows = rows.withColumn("__last", last)
-    cut = F.max(F.when(F.col("__rank") == F.col("__last") + 1, F.col("__s"))).over(_ROW)
+    cut = F.max(F.when(F.col("__rank") == F.col("__last") + 1, F.col("__s"))).over(_row())
     keep = F.coalesce(F.col("__s") <= cut, F.lit(False))
     if min_tokens > 1:
         keep = keep | (F.col("__rank") <= min_tokens)
@@ -70,7 +71,7 @@ def argmax(df: DataFrame) -> DataFrame:
 
 def inverse_cdf(df: DataFrame, salt: str = "draw", prob: str = "p") -> DataFrame:
     """(id, k): the first entry at which the running probability exceeds the row's uniform."""
-    cum = F.sum(prob).over(_ROW.orderBy("k").rowsBetween(W.unboundedPreceding, 0))
+    cum = F.sum(prob).over(_row().orderBy("k").rowsBetween(W.unboundedPreceding, 0))
     rows = df.withColumn("__cum", cum).withColumn("__u", uniform(salt, "id"))
     past = F.min(F.when((F.col("__cum") > F.col("__u")) & (F.col(prob) > 0), F.col("k")))
     return rows.groupBy("id").agg(F.coalesce(past, F.max(F.when(F.col(prob) > 0, F.col("k")))).alias("k"))

@@ -52,8 +52,8 @@ def totals(rows: DataFrame) -> DataFrame:
 def rates(targets: DataFrame, per_source: DataFrame) -> DataFrame:
     """The targets with size, wanted tokens and expected copies of each document of the source."""
     t = per_source.agg(F.floor(F.coalesce(F.sum("size"), F.lit(0)) / 2).alias("t"))
-    plan = targets.withColumn("key", F.lower(F.trim("source")))
-    rows = plan.join(per_source.withColumnRenamed("source", "key"), "key", "left").crossJoin(F.broadcast(t))  # one row
+    plan = targets.select("plan_id", "source", F.lower(F.trim("source")).alias("key"), "target_share", "max_repeats")
+    rows = plan.join(per_source.select(F.col("source").alias("key"), "size"), "key", "left").crossJoin(F.broadcast(t))  # one row
     size = F.coalesce("size", F.lit(0))
     wanted = F.col("target_share") * F.col("t")
     rate = F.when(size > 0, F.least(wanted / size, F.col("max_repeats").cast("double"))).otherwise(0.0)

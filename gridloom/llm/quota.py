@@ -75,7 +75,7 @@ def counts(df: DataFrame, id_col: str, category_col: str) -> DataFrame:
 def wishes(plan: DataFrame, available: DataFrame, fraction: int = 10) -> DataFrame:
     """The plan's rows with wanted and available. The sample size is floor(records / fraction)."""
     size = available.agg(F.floor(F.coalesce(F.sum("available"), F.lit(0)) / fraction).alias("sample_size"))
-    plan = plan.withColumn("category", canonical_udf("genre"))
+    plan = plan.select("plan_id", "genre", "target_share", "min_rows", canonical_udf("genre").alias("category"))
     joined = plan.join(available, "category", "left").crossJoin(F.broadcast(size))  # one row
     # the share is decimal in the plan, so its product is rounded before the ceiling
     share = F.ceil(F.round(F.col("target_share") * F.col("sample_size"), 6))

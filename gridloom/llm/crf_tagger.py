@@ -233,24 +233,29 @@ class Tagger:
                 said(epoch, float(np.mean(total)))
 
     # -- whole texts -----------------------------------------------------------------------------
-    def tag_texts(self, ids: list[np.ndarray], batch: int = 512) -> list[np.ndarray]:
-        """Tags of every character of every text: windows overlap, each character's tag is its most central window's."""
+    def tag_texts(self, ids: list[np.ndarray], batch: int = 512, leans: tuple = (None,)) -> list[list[np.ndarray]]:
+        """For each of leans, the tags of every character of every text: windows overlap, each character's tag is its most central window's.
+
+        A lean is added to the scores of the tags before decoding: a check that follows can afford more proposals.
+        """
         stride, spans = WINDOW - 2 * CONTEXT, []
         for k, x in enumerate(ids):
             for at in range(0, max(1, len(x)), stride):
                 spans.append((k, at))
-        out = [np.zeros(len(x), np.int8) for x in ids]
+        out = [[np.zeros(len(x), np.int8) for x in ids] for _ in leans]
         for lo in range(0, len(spans), batch):
             part = spans[lo : lo + batch]
             x = np.full((WINDOW, len(part)), _VOCAB, np.int16)
             for j, (k, at) in enumerate(part):
                 piece = ids[k][max(0, at - CONTEXT) : at - CONTEXT + WINDOW]
                 x[CONTEXT - min(at, CONTEXT) : CONTEXT - min(at, CONTEXT) + len(piece), j] = piece
-            tags = self.viterbi(self.emissions(x))
-            for j, (k, at) in enumerate(part):
-                n = min(stride, len(ids[k]) - at)
-                if n > 0:
-                    out[k][at : at + n] = tags[CONTEXT : CONTEXT + n, j]
+            e = self.emissions(x)
+            for lean, into in zip(leans, out):
+                tags = self.viterbi(e if lean is None else e + lean)
+                for j, (k, at) in enumerate(part):
+                    n = min(stride, len(ids[k]) - at)
+                    if n > 0:
+                        into[k][at : at + n] = tags[CONTEXT : CONTEXT + n, j]
         return out
 
 

@@ -128,25 +128,40 @@ class Tagger:
         """Best tags (T, B). A window whose scores leave no other tag than outside any chance is not searched."""
         t_n, b, _ = e.shape
         trans, out = self.w["trans"], np.zeros((t_n, b), np.int8)
-        # a tag sequence other than all-outside gains at most this by its transitions, at each step it differs
-        gain = float(max(trans.max(), self.w["start"].max()) - min(trans[0, 0], self.w["start"][0]))
-        live = np.flatnonzero((e[:, :, 1:].max(2) - e[:, :, 0] + 2 * max(gain, 0.0) > 0).any(0))
+        # by how much the best excursion from all-outside can gain: its steps' largest advantages, what transitions within it
+        # add at most, and what its beginning and end add; a window without a gain is all outside
+        stay = trans[0, 0]
+        within = float(trans[1:, 1:].max() - stay)
+        ends = max(float(trans[0, 1:].max() - stay), float((self.w["start"][1:] - self.w["start"][0]).max())) + max(0.0, float(trans[1:, 0].max() - stay)) - within
+        ahead = e[:, :, 1].copy()
+        for k in range(2, N_TAGS):  # one pass a tag is faster than a maximum over a short last axis
+            np.maximum(ahead, e[:, :, k], out=ahead)
+        ahead += within - e[:, :, 0]
+        run, best = np.full(b, -np.inf, np.float32), np.full(b, -np.inf, np.float32)
+        for step in ahead:
+            run = np.maximum(run, 0) + step
+            np.maximum(best, run, out=best)
+        live = np.flatnonzero(best + ends > -1e-3)
         if not len(live):
             return out
-        e = e[:, live]
-        score = self.w["start"] + e[0]
-        back = np.empty((t_n, len(live), N_TAGS), np.int8)
-        columns = np.ascontiguousarray(trans.T)
+        e = np.ascontiguousarray(e[:, live].transpose(0, 2, 1))  # steps, tags, windows
+        score = self.w["start"][:, None] + e[0]
+        back = np.zeros((t_n, N_TAGS, len(live)), np.int8)
+        into = trans[:, :, None]
         for t in range(1, t_n):
-            cand = score[:, None, :] + columns[None]
-            back[t] = cand.argmax(2)
-            score = cand.max(2) + e[t]
-        tag = score.argmax(1)
+            best, arg = score[0] + into[0], back[t]
+            for k in range(1, N_TAGS):
+                cand = score[k] + into[k]
+                more = cand > best
+                np.copyto(best, cand, where=more)
+                arg[more] = k
+            score = best + e[t]
+        tag = score.argmax(0)
         rows = np.arange(len(live))
         for t in range(t_n - 1, -1, -1):
             out[t, live] = tag
             if t:
-                tag = back[t, rows, tag]
+                tag = back[t, tag, rows]
         return out
 
     # -- training --------------------------------------------------------------------------------

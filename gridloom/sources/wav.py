@@ -41,7 +41,7 @@ def decode(path: str) -> tuple[int, int, int, np.ndarray]:
 
 def encode(path: str, samples: np.ndarray, rate: int) -> None:
     """Writes 16-bit mono, clipped; a file appears under its name only when it is whole."""
-    x = np.clip(np.round(np.asarray(samples, np.float64) * 32767), -32768, 32767).astype("<i2")
+    x = np.clip(np.round(np.asarray(samples, np.float64) * 32768), -32768, 32767).astype("<i2")
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     part = f"{path}.{os.getpid()}.part"
     with wave.open(part, "wb") as f:

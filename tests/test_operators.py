@@ -96,7 +96,7 @@ def test_package_lists(spark):
 
 def test_log_blocks(spark):
     log = "x[12:00:00] Iteration 10\ntrain\n  loss │ 1.5 │ 0 \nval\n  loss │ 2.5 │ 2.0 \n"
-    got = {(r.index, r.iteration, r.key): r.value for r in L.parse_logs(spark.createDataFrame([("a", log), ("b", "nothing")], "run string, text string")).collect()}
+    got = {(r["index"], r.iteration, r.key): r.value for r in L.parse_logs(spark.createDataFrame([("a", log), ("b", "nothing")], "run string, text string")).collect()}
     assert got == {(1, "10", "dataset_loss"): "1.5", (1, "10", "val_loss"): "2.0"}
 
 

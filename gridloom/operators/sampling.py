@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from gridloom.functions.rng import gumbel, uniform
 from gridloom.functions.scalar import gamma
+from gridloom.operators.ordered import rank_along
 
 def _row():
     return W.partitionBy("id")
@@ -98,19 +99,27 @@ def sample(
     return chosen.join(rows.select("id", "k", "p"), ["id", "k"])
 
 
-def remask(df: DataFrame, n: Column | int, temperature: Column | float, key: str = "id", item: str = "pos", prob: str = "p", salt: str = "remask") -> DataFrame:
+#: Confidence of what is known: above any that noise can reach. Width of the buckets that spread ranks use.
+_KNOWN, _WIDTH = 1e6, 0.02
+
+
+def remask(df: DataFrame, n: Column | int, temperature: Column | float, key: str = "id", item: str = "pos", prob: str = "p", salt: str = "remask", spread: bool = False) -> DataFrame:
     """Adds m = 1 for entries less confident than the n-th (from 0) of their key, by ln p plus Gumbel noise.
 
-    A null p means known: never masked. Equal confidences at the bound are not masked, so then fewer than n are.
+    A null p means known: never masked. Equal confidences at the bound are not masked, so then fewer than n are. With spread,
+    for keys that may be hot, ranks come from buckets of confidence instead of one window over the key.
     """
     t = temperature if isinstance(temperature, Column) else F.lit(float(temperature))
     conf = F.when(F.col(prob).isNotNull(), F.log(F.greatest(F.col(prob), F.lit(1e-300))) + t * gumbel(uniform(salt, key, item)))
-    n = n if isinstance(n, Column) else F.lit(n)
-    rows = df.withColumn("__c", F.coalesce(conf, F.lit(float("inf")))).withColumn("__n", n)
-    place = F.row_number().over(W.partitionBy(key).orderBy("__c", item))
-    cut = F.max(F.when(F.col("__r") == F.col("__n") + 1, F.col("__c"))).over(W.partitionBy(key))
-    rows = rows.withColumn("__r", place).withColumn("__cut", cut)
-    m = F.when(F.col("__c") == float("inf"), 0).when(F.col("__cut").isNull(), F.when(F.col("__n") > 0, 1).otherwise(0)).when(F.col("__c") < F.col("__cut"), 1).otherwise(0)
+    rows = df.withColumn("__c", F.coalesce(conf, F.lit(_KNOWN))).withColumn("__n", n if isinstance(n, Column) else F.lit(n))
+    at_cut = F.max(F.when(F.col("__r") == F.col("__n") + 1, F.col("__c")))
+    if spread:
+        rows = rank_along(rows, [key], ["__c", item], _WIDTH, "__r")
+        rows = rows.join(rows.groupBy(key).agg(at_cut.alias("__cut")), key)
+    else:
+        rows = rows.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy("__c", item))).withColumn("__cut", at_cut.over(W.partitionBy(key)))
+    all_below = F.when(F.col("__n") > 0, 1).otherwise(0)
+    m = F.when(F.col("__c") == _KNOWN, 0).when(F.col("__cut").isNull(), all_below).when(F.col("__c") < F.col("__cut"), 1).otherwise(0)
     return rows.withColumn("m", m).drop("__c", "__n", "__r", "__cut")
 
 
@@ -147,12 +156,12 @@ def generate(grid: DataFrame, scorer: Scorer, steps: int, token: int, conditioni
         scored = scorer(state.filter(F.col("code") == token).select("clip_id", "pos").withColumn("step", F.lit(i)))
         filled = state.join(scored, ["clip_id", "pos"], "left")
         unknown = F.col("code") == token
-        left = F.count(F.when(unknown, 1)).over(W.partitionBy("clip_id"))
+        filled = filled.join(state.groupBy("clip_id").agg(F.count(F.when(unknown, 1)).alias("left")), "clip_id")
         n = F.floor(gamma(F.lit(r)) * F.col("n0")).cast("bigint")
         if i != steps - 1:
-            n = F.greatest(F.lit(1), F.least(left - 1, n))
+            n = F.greatest(F.lit(1), F.least(F.col("left") - 1, n))
         rows = filled.withColumn("n", n).withColumn("p", F.when(unknown, F.col("p"))).withColumn("value", F.when(unknown, F.col("k")).otherwise(F.col("code")))
-        rows = remask(rows, F.col("n"), temperature * (1 - r), "clip_id", "pos", "p", f"remask{i}")
+        rows = remask(rows, F.col("n"), temperature * (1 - r), "clip_id", "pos", "p", f"remask{i}", spread=True)
         last = i == steps - 1
         code = F.col("value") if last else F.when(F.col("m") == 1, token).otherwise(F.col("value"))
         state = rows.select("clip_id", "pos", "codebook", "t", code.cast("int").alias("code"), "n0")

@@ -49,6 +49,12 @@ def test_remask(spark):
     assert sum(r.m for r in S.remask(ties, 2, 0.0).collect()) == 0
 
 
+def test_spread_ranks_remask_alike(spark):
+    rows = spark.range(600).select((F.col("id") % 2).alias("id"), F.col("id").alias("pos"), F.when(F.col("id") % 7 != 0, (F.col("id") % 97 + 1) / 100.0).alias("p"))
+    one, other = (S.remask(rows, 55, 2.0, spread=s).filter("m = 1").select("id", "pos") for s in (False, True))
+    assert one.count() == 110 and one.exceptAll(other).count() == 0 == other.exceptAll(one).count()
+
+
 def test_sampling_with_nulls_and_one_entry(spark):
     rows = spark.createDataFrame([(1, 0, None), (1, 1, 2.0), (2, 0, 1.0)], "id bigint, k int, logit double")
     assert {(r.id, r.k) for r in S.sample(rows, top_k=1).collect()} == {(1, 1), (2, 0)}

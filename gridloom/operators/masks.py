@@ -104,26 +104,26 @@ def _stamped(points: DataFrame, start: Column, stop: Column) -> DataFrame:
     return points.withColumn("t", F.explode(F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))))
 
 
-def onset_mask(grid: DataFrame, onsets: DataFrame, width: int, rate: int, hop: int) -> DataFrame:
-    """The grid with m = 0 on width steps on either side of each onset (clip_id, beat_s), 1 elsewhere.
+def onset_mask(grid: DataFrame, onsets: DataFrame, width: int, rate: int, hop: int, name: str = "m", extent: DataFrame | None = None) -> DataFrame:
+    """The grid with a column m (or `name`), 0 on width steps on either side of each onset (clip_id, beat_s), 1 elsewhere.
 
     An onset index is clipped to the clip; a start below 0 counts from the end, so early onsets often keep nothing; a clip
-    without any onset is all 0. Stamps are exploded and joined by equality, not by a range.
+    without any onset is all 0. extent (clip_id, steps) saves deriving it from the grid. Stamps are exploded and joined by equality, not by a range.
     """
-    extent = grid.select("clip_id", "steps").distinct()
+    extent = grid.select("clip_id", "steps").distinct() if extent is None else extent
     index = F.greatest(F.lit(0), F.least(F.floor(F.col("beat_s") * rate / hop).cast("int"), F.col("steps") - 1))
     points = onsets.join(extent, "clip_id").select("clip_id", "steps", index.alias("o")).distinct()
     stamps = _stamped(points, F.col("o") - width, F.col("o") + width).select("clip_id", "t").distinct().withColumn("hint", F.lit(True))
     some = points.select("clip_id").distinct().withColumn("some", F.lit(True))
     rows = grid.join(stamps, ["clip_id", "t"], "left").join(some, "clip_id", "left")
-    return rows.withColumn("m", F.when(F.col("some").isNull() | F.col("hint").isNotNull(), 0).otherwise(1)).drop("hint", "some")
+    return rows.withColumn(name, F.when(F.col("some").isNull() | F.col("hint").isNotNull(), 0).otherwise(1)).drop("hint", "some")
 
 
 def beat_mask(
     grid: DataFrame, beats: DataFrame, rate: int, hop: int, before_s: float = 0.0, after_s: float = 0.02, downbeats: bool = True, upbeats: bool = True,
-    downbeat_stride: int = 1, beat_stride: int = 1, p_dropout: float = 0.0, invert: bool = True,
+    downbeat_stride: int = 1, beat_stride: int = 1, p_dropout: float = 0.0, invert: bool = True, name: str = "m", extent: DataFrame | None = None,
 ) -> DataFrame:
-    """The grid with m from stamps of a Bernoulli(1 - dropout) bit on [beat - before, beat + after); later stamps overwrite, downbeats after other beats.
+    """The grid with a column m (or `name`) from stamps of a Bernoulli(1 - dropout) bit on [beat - before, beat + after); later stamps overwrite, downbeats after other beats.
 
     Beats at the token of a downbeat count as downbeats; of either kind every stride-th is used. A start below 0 counts
     from the end. Inverted (the default) stamped cells are hints.
@@ -131,7 +131,7 @@ def beat_mask(
     if min(downbeat_stride, beat_stride) < 1:
         raise ValueError("strides are 1 or more")
     to_t = lambda s: seconds_to_tokens(s, rate, hop)
-    extent = grid.select("clip_id", "steps").distinct()
+    extent = grid.select("clip_id", "steps").distinct() if extent is None else extent
     points = beats.join(extent, "clip_id").withColumn("o", to_t(F.col("beat_s")))
     down = points.filter("is_downbeat").select("clip_id", "o").distinct()
     up = points.join(down, ["clip_id", "o"], "left_anti") if upbeats else points.filter("false")
@@ -144,22 +144,20 @@ def beat_mask(
     bit = (uniform("beat", "clip_id", "kind", "rank", "t") < 1 - p_dropout).cast("int")
     bits = stamps.groupBy("clip_id", "t").agg(F.max_by(bit, F.struct("kind", "rank")).alias("bit"))
     m = F.coalesce("bit", F.lit(0))
-    return grid.join(bits, ["clip_id", "t"], "left").withColumn("m", 1 - m if invert else m).drop("bit")
+    return grid.join(bits, ["clip_id", "t"], "left").withColumn(name, 1 - m if invert else m).drop("bit")
 
 
-def compose(grid: DataFrame, r: float, prefix: int, suffix: int, period: int, width: int, p_dropout: float, keep: int, mask_from: int, onset: DataFrame | None = None, beat: DataFrame | None = None) -> DataFrame:
+def compose(r: float, prefix: int, suffix: int, period: int, width: int, p_dropout: float, keep: int, mask_from: int, onset: Column | None = None, beat: Column | None = None) -> Column:
     """The interactive composition: random and inpaint and rolled period, or onsets, and beats, then dropout and codebooks, in this order.
 
-    onset and beat are grids with their own m, from onset_mask and beat_mask.
+    onset and beat are mask columns of the same rows, as onset_mask and beat_mask add them.
     """
-    rows = grid
     m = both(both(linear_random(F.lit(r)), inpaint(prefix, suffix)), periodic(period, width, roll_offset(period)))
-    for other, how, name in ((onset, either, "m_onset"), (beat, both, "m_beat")):
-        if other is not None:
-            rows = rows.join(other.select(*CELL, F.col("m").alias(name)), list(CELL))
-            m = how(m, F.col(name))
-    m = codebook_mask(codebook_unmask(dropout(m, p_dropout), keep), mask_from)
-    return rows.withColumn("m", m).drop("m_onset", "m_beat")
+    if onset is not None:
+        m = either(m, onset)
+    if beat is not None:
+        m = both(m, beat)
+    return codebook_mask(codebook_unmask(dropout(m, p_dropout), keep), mask_from)
 
 
 def silent_steps(grid: DataFrame, token: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.operators import masks as M
-from gridloom.sources.grid import HOP, MASK, RATE, beats, token_grid
+from gridloom.sources.grid import HOP, MASK, RATE, beats, clip_steps, token_grid
 
 from .registry import BEATS, CELL, GRID, query, slice_sql, u
 
@@ -71,7 +71,7 @@ on_m AS (SELECT g.clip_id, codebook, g.t, CASE WHEN h.t IS NOT NULL OR g.clip_id
 
 @query(GRID + "," + BEATS + "," + _ONSET + "SELECT clip_id, codebook, t, CAST(m AS INTEGER) AS m FROM on_m")
 def mask_onset(spark, d):
-    return M.onset_mask(token_grid(spark, d), beats(spark, d), 2, RATE, HOP).select(*CELL, F.col("m").cast("int").alias("m"))
+    return M.onset_mask(token_grid(spark, d), beats(spark, d), 2, RATE, HOP, extent=clip_steps(spark, d)).select(*CELL, F.col("m").cast("int").alias("m"))
 
 
 _BEAT = f"""
@@ -88,8 +88,8 @@ b_m AS (SELECT g.clip_id, codebook, g.t, 1 - coalesce(bit, 0) AS m FROM g LEFT J
 """
 
 
-def _beat_mask(spark, d, grid):
-    return M.beat_mask(grid, beats(spark, d), RATE, HOP, 0.02, 0.05, beat_stride=2, p_dropout=0.1)
+def _beat_mask(spark, d, grid, name="m"):
+    return M.beat_mask(grid, beats(spark, d), RATE, HOP, 0.02, 0.05, beat_stride=2, p_dropout=0.1, name=name, extent=clip_steps(spark, d))
 
 
 @query(GRID + "," + BEATS + "," + _BEAT + "SELECT clip_id, codebook, t, CAST(m AS INTEGER) AS m FROM b_m")
@@ -106,9 +106,10 @@ SELECT clip_id, codebook, t, CAST(CASE WHEN codebook >= 3 THEN 1 WHEN codebook <
 
 @query(GRID + "," + BEATS + "," + _ONSET + "," + _BEAT + "," + _COMPOSED)
 def mask_compose(spark, d):
-    grid = token_grid(spark, d)
-    onset = M.onset_mask(grid, beats(spark, d), 2, RATE, HOP)
-    return M.compose(grid, 0.8, 3, 2, 7, 1, 0.1, 1, 3, onset, _beat_mask(spark, d, grid)).select(*CELL, F.col("m").cast("int").alias("m"))
+    rows = M.onset_mask(token_grid(spark, d), beats(spark, d), 2, RATE, HOP, "m_onset", clip_steps(spark, d))
+    rows = _beat_mask(spark, d, rows, "m_beat")
+    m = M.compose(0.8, 3, 2, 7, 1, 0.1, 1, 3, F.col("m_onset"), F.col("m_beat"))
+    return rows.select(*CELL, m.cast("int").alias("m"))
 
 
 @query(GRID + "," + BEATS + "," + _BEAT + "SELECT clip_id, codebook, t, CAST(least(1, m) AS INTEGER) AS m FROM b_m")

@@ -29,8 +29,20 @@ def with_extent(grid: DataFrame) -> DataFrame:
 
 
 def token_grid(spark: SparkSession, d: str) -> DataFrame:
-    """(clip_id, codebook, t, code, steps, codebooks)."""
-    return with_extent(clean_grid(table(spark, d, "tokens")))
+    """(clip_id, codebook, t, code, steps, codebooks).
+
+    The extents come from the scan, where one aggregation per partition reduces them to a row a clip before they move.
+    """
+    tokens = table(spark, d, "tokens")
+    known = tokens.filter(F.col("clip_id").isNotNull() & F.col("codebook").isNotNull() & (F.col("t") >= 0))
+    extent = known.groupBy("clip_id").agg((F.max("t") + 1).alias("steps"), (F.max("codebook") + 1).alias("codebooks"))
+    return clean_grid(tokens).join(extent, "clip_id")
+
+
+def clip_steps(spark: SparkSession, d: str) -> DataFrame:
+    """(clip_id, steps), aggregated from the scan at once: cheaper than from the grid."""
+    t = table(spark, d, "tokens").filter(F.col("clip_id").isNotNull() & F.col("codebook").isNotNull() & (F.col("t") >= 0))
+    return t.groupBy("clip_id").agg((F.max("t") + 1).alias("steps"))
 
 
 def clean_beats(beats: DataFrame) -> DataFrame:

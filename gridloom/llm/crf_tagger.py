@@ -86,8 +86,9 @@ class Tagger:
         return cls(w)
 
     @classmethod
-    def load(cls, path) -> "Tagger":
-        with np.load(path) as z:
+    def load(cls, source) -> "Tagger":
+        """From a path or an open file."""
+        with np.load(source) as z:
             return cls({k: z[k] for k in cls.NAMES})
 
     def save(self, path) -> None:

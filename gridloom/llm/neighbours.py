@@ -1,12 +1,12 @@
 """Most similar vectors for every vector: probed lists and an adaptive scan over blocks of rotated dimensions.
 
-Lists are cells of spherical k-means fitted on a bounded sample (vectors.PER_CELL rows a cell); every row is indexed, in its
-best list and in near-tied ones, and two rows meet if they share a list. Inside a list vectors are rotated at random and
+Lists are cells of spherical k-means fitted on a bounded sample (vectors.PER_CELL rows a cell); centres that split one dense
+group are merged. Every row is indexed, in its best list and in near-tied ones, and two rows meet if they share a list. Inside a list vectors are rotated at random and
 read in blocks of dimensions; after each block a pair is abandoned when its partial distance, scaled up, exceeds the bound
 by more than the test allows. What is left is computed exactly in double precision.
 
-Exact copies: only the k + 1 smallest ids of a group of copies are searched; the others' neighbours are the k smallest, at
-similarity 1, so a group of copies costs no more than its size. Nulls and unusable vectors have no neighbours.
+Exact copies: only the k + 1 smallest ids of a group of copies are searched; the others take over the neighbours of the first,
+so a group of copies costs no more than its size. Nulls and unusable vectors have no neighbours.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def nearest(df: DataFrame, id_col: str, k: int = 5, floor: float = 0.90) -> Data
     """(id, other, similarity, rank): the k most similar other records of every record, of a similarity of at least floor."""
     total = df.count()
     sample = V.sample_vectors(df, id_col, V.PER_CELL * V.cells_for(total), total)
-    centres = V.fit_cells(sample, V.cells_for(total))
+    centres = V.merge_close(V.fit_cells(sample, V.cells_for(total)), sample, total)
     beyond = copies(df, id_col, k).persist()
     has_copies = bool(beyond.limit(1).count())
     source = df.join(beyond.select(F.col("id").alias(id_col)), id_col, "left_anti") if has_copies else df
@@ -149,5 +149,9 @@ def nearest(df: DataFrame, id_col: str, k: int = 5, floor: float = 0.90) -> Data
     best = pairs.distinct().withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).filter(F.col("rank") <= k)
     if not has_copies:
         return best
-    same = beyond.select("id", F.posexplode("firsts").alias("pos", "other")).select("id", "other", F.lit(1.0).alias("similarity"), (F.col("pos") + 1).alias("rank"))
+    # a copy is as similar to everything as the first of its group, so its nearest are among that one and that one's nearest
+    heads = beyond.select("id", F.element_at("firsts", 1).alias("head"))
+    near = heads.join(best.select(F.col("id").alias("head"), "other", "similarity"), "head").select("id", "other", "similarity")
+    near = near.unionByName(heads.select("id", F.col("head").alias("other"), F.lit(1.0).alias("similarity")))
+    same = near.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).filter(F.col("rank") <= k)
     return best.unionByName(same)

@@ -10,8 +10,9 @@ texts of any length are read whole.
 
 from __future__ import annotations
 
+import io
+import pkgutil
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .crf_tagger import KINDS, Tagger, encode, fold_text, spans_of
 from .pii_rules import BESIDE, NAME, NOT_PERSON, TITLES, matches, split_name
 
-MODEL = Path(__file__).with_name("pii_model.npz")
+MODEL = "pii_model.npz"
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 #: Characters around a proposed span in which its exact form is looked for.
 REACH = 64
@@ -41,7 +42,7 @@ _TAGGER: list[Tagger] = []
 def tagger() -> Tagger:
     """The stored model, read once in each Python worker."""
     if not _TAGGER:
-        _TAGGER.append(Tagger.load(MODEL))
+        _TAGGER.append(Tagger.load(io.BytesIO(pkgutil.get_data(__package__, MODEL))))  # also from a zip file
     return _TAGGER[0]
 
 

@@ -124,10 +124,39 @@ def fit_cells(x: np.ndarray, cells: int, rounds: int = 5, seed: int = 3) -> np.n
         norms = np.sqrt((sums * sums).sum(1))
         empty = norms < 1e-6
         sums[empty] = y[g.integers(0, len(y), int(empty.sum()))]
-        centres = sums / np.sqrt((sums * sums).sum(1, keepdims=True))
+        centres = sums / np.maximum(np.sqrt((sums * sums).sum(1, keepdims=True)), 1e-12)
     return np.ascontiguousarray(centres, np.float32)
 
 
+def merge_close(centres: np.ndarray, sample: np.ndarray, total: int, near: float = 0.9, most_rows: int = HOT_ROWS) -> np.ndarray:
+    """Centres of which those that split one dense group are one again, while its cell is expected to hold most_rows at most.
+
+    A group that a sample gives several centres would else lie in several cells, and near neighbours in different ones.
+    """
+    if len(centres) < 2 or not len(sample):
+        return centres
+    y = unit(sample)
+    home = np.concatenate([(y[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(y), 4096)])
+    rows = np.bincount(home, minlength=len(centres)) * (total / len(y))
+    sums = np.zeros(centres.shape)
+    np.add.at(sums, home, y)
+    owner = np.arange(len(centres))
+    i, j = np.nonzero(np.triu(centres @ centres.T >= near, 1))
+    for k in np.argsort(-(centres[i] * centres[j]).sum(1), kind="stable"):
+        a, b = i[k], j[k]
+        while owner[a] != a:
+            a = owner[a]
+        while owner[b] != b:
+            b = owner[b]
+        if a != b and rows[a] + rows[b] <= most_rows:
+            owner[b] = a
+            rows[a] += rows[b]
+            sums[a] += sums[b]
+    kept = np.flatnonzero(owner == np.arange(len(centres)))
+    norm = np.sqrt((sums[kept] ** 2).sum(1, keepdims=True))
+    return np.ascontiguousarray(np.where(norm > 0, sums[kept] / np.maximum(norm, 1e-12), centres[kept]), np.float32)
+
+
 def salts_for(centres: np.ndarray, sample: np.ndarray, total: int, hot_rows: int = HOT_ROWS) -> np.ndarray:
     """Salts of each cell, from the share of a sample that it is home to."""
     if not len(sample):

@@ -34,6 +34,7 @@ def fixture(spark):
     for _ in range(60):
         put(g.normal(size=64))
     same = np.float32(g.normal(size=64))
+    put(same * 3)  # no copy, but as similar, and of a smaller id
     for _ in range(20):
         put(same)
     put(same * 2)

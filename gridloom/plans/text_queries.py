@@ -91,8 +91,8 @@ def preset_lookup(spark, d):
     return p.join(c, "periodic_p").groupBy(*p.columns).agg(F.count(F.lit(1)).alias("conditions"))
 
 
-BASE = [("", "VampNet.n_codebooks", "4"), ("", "VampNet.n_layers", "20"), ("", "vocab_size", "1024"), ("train", "AudioDataset.duration", "10.0"), ("", "AudioLoader.loudness_cutoff", "-30")]
-OVER = [("", "VampNet.n_codebooks", "14"), ("", "VampNet.n_layers", "16"), ("train", "AudioDataset.duration", "3.0"), ("", "AudioLoader.loudness_cutoff", "-40")]
+BASE = [("", "Model.n_codebooks", "4"), ("", "Model.n_layers", "20"), ("", "vocab_size", "1024"), ("train", "AudioDataset.duration", "10.0"), ("", "AudioLoader.loudness_cutoff", "-30")]
+OVER = [("", "Model.n_codebooks", "14"), ("", "Model.n_layers", "16"), ("train", "AudioDataset.duration", "3.0"), ("", "AudioLoader.loudness_cutoff", "-40")]
 _CFG = lambda rows: "(VALUES " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in rows) + ") AS v(scope, key, value)"
 
 

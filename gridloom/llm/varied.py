@@ -4,8 +4,11 @@ Each record gets TABLES sign codes of BITS random hyperplanes. The counts of its
 averaged over the tables, estimate how crowded it is. The subset holds the records of smallest -ln(u) * density, a
 weighted sample without replacement of fixed size, after one record of each category was taken.
 
-Crowds (groups of near-identical records) come from the same codes at full length: records that share a full code in some
-table are compared exactly. Exact copies are joined beforehand by a hash of their vector, so a group of copies costs its size.
+Crowds (groups of near-identical records) come from cells around fitted centres. A record goes to its nearest centre's cell and
+to every cell that one linked to it may be at home in: two linked records differ by a chord of known length at most, so one
+that is farther than that from the plane between two centres has no link beyond it. No link is lost whatever the centres are.
+A large cell is cut into parts, each compared with each; records linked to the cell's pivot are joined there and meet the others
+only. Exact copies are joined beforehand by a hash of their vector, so a group of copies costs its size.
 
 Rows with a null id or no usable vector are left out; records delivered twice count once; empty tables give empty results.
 """
@@ -25,8 +28,10 @@ from . import vectors as V
 from .graph import components
 
 TABLES, BITS, DENSITY_BITS = 10, 44, 10
-#: A bucket of full codes with more records than this is compared in random parts, each with the bucket's first record.
-PART_ROWS = 4096
+#: Rows that a cell is planned for, and rows of the sample that centres and part numbers are taken from, at least.
+CELL_ROWS, SAMPLE_ROWS = 2048, 20_000
+#: A cell expected to hold more rows than this is cut into parts of about so many; every part meets every other.
+PART_ROWS = 16_384
 #: Pairs in doubt are broadcast up to this many (16 bytes each).
 BROADCAST_PAIRS = 500_000
 
@@ -69,6 +74,20 @@ def _coded(df: DataFrame, id_col: str, category_col: str | None) -> DataFrame:
     return rows.mapInArrow(code, "id bigint, category string, h bigint, codes array<bigint>")
 
 
+def _hashed(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, h) of the usable records; h is a hash of the exact vector."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            rows, x = V.dense(batch.column("embedding"))
+            h = pa.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in x + np.float32(0)], pa.uint64()).cast(pa.int64(), safe=False)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), h], ["id", "h"])
+
+    return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), "embedding").mapInArrow(hashes, "id bigint, h bigint")
+
+
 #: Unit vectors travel as 16-bit numbers; SLACK bounds what that changes of a similarity: 2 * sqrt(DIM) * half a step, and single precision.
 _SCALE = 32767
 SLACK = 2 * V.DIM**0.5 * 0.5 / _SCALE + 4e-6
@@ -80,8 +99,8 @@ def _pack16(y: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(q), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(q.tobytes())])
 
 
-def _unpack16(column: pa.ChunkedArray) -> np.ndarray:
-    c = column.combine_chunks()
+def _unpack16(column: pa.Array) -> np.ndarray:
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
     offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
     return np.frombuffer(c.buffers()[2], np.int16, count=(offsets[-1] - offsets[0]) // 2, offset=int(offsets[0])).reshape(len(c), -1).astype(np.float32) / _SCALE
@@ -127,38 +146,132 @@ def subset(df: DataFrame, id_col: str, category_col: str, size: int, seed: int =
     return marked.orderBy("late", "key", "id").limit(size).select("id", "category", "density")
 
 
+class Cells:
+    """Centres of cells, for each a pivot (a record near the centre), and the numbers of its core and loose parts.
+
+    All of it decides costs alone: whatever the centres, pivots and part numbers are, every linked pair meets or has a common pivot.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, total: int, floor: float):
+        self.sure = floor + SLACK
+        self.reach = (2 - 2 * floor) ** 0.5 + SLACK
+        y = V.unit(x) if len(x) else x
+        c = V.fit_cells(x, int(min(V.MAX_CELLS, max(4, total // CELL_ROWS))))
+        home, best = self._home(y, c)
+        rows = np.bincount(home, minlength=len(c))
+        # centres that split one tight group are one: its rows would visit all of them
+        tight = np.bincount(home, best, len(c)) >= (2 * floor - 1) * np.maximum(rows, 1)
+        i, j = np.nonzero(np.triu(c @ c.T >= 4 * floor - 3, 1) & tight[:, None] & tight)
+        label = np.unique(V.join_labels(np.arange(len(c)), i, j), return_inverse=True)[1]
+        sums = np.zeros((label.max() + 1, V.DIM))
+        np.add.at(sums, label, c * np.maximum(rows, 1)[:, None])
+        self.centres = (sums / np.maximum(np.sqrt((sums * sums).sum(1, keepdims=True)), 1e-12)).astype(np.float32)
+        k = len(self.centres)
+        self.cores, self.loose = np.zeros(k, np.int64), np.ones(k, np.int64)
+        self.pivot_id, self.pivot = np.full(k, -1), np.zeros((k, V.DIM), np.float32)
+        if not len(x):
+            return
+        home, best = self._home(y, self.centres)
+        order = np.lexsort((ids, -best, home))
+        first = order[np.flatnonzero(np.diff(home[order], prepend=-1))]
+        self.pivot_id[home[first]], self.pivot[home[first]] = ids[first], y[first]
+        r, to, _ = self.visits(y)
+        core = (y[r] * self.pivot[to]).sum(1) >= self.sure
+        parts = [np.ceil(np.bincount(to[m], minlength=k) * (total / len(x)) / PART_ROWS).astype(np.int64) for m in (core, ~core)]
+        hot = np.bincount(to, minlength=k) * (total / len(x)) > PART_ROWS
+        self.cores, self.loose = np.where(hot, parts[0], 0), np.where(hot, np.maximum(parts[1], 1), 1)
+
+    @staticmethod
+    def _home(y: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = [y[lo : lo + 4096] @ c.T for lo in range(0, len(y), 4096)]
+        return np.concatenate([t.argmax(1) for t in s] or [np.empty(0, np.int64)]), np.concatenate([t.max(1) for t in s] or [np.empty(0)])
+
+    def visits(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, is home) for the cells that each unit row goes to. Of two cells that linked records are at home in, one is visited."""
+        rows, cells, homes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+        at = np.arange(len(self.centres))
+        for lo in range(0, len(y), 1024):
+            s = y[lo : lo + 1024] @ self.centres.T
+            home = s.argmax(1)
+            apart = np.sqrt(np.maximum(2 - 2 * (self.centres[home] @ self.centres.T), 0) + 1e-6)
+            near = s.max(1)[:, None] - s <= self.reach * apart + 1e-5
+            near &= ((home[:, None] + at) % 2 == 0) == (at < home[:, None])
+            near[np.arange(len(s)), home] = True
+            r, c = np.nonzero(near)
+            rows.append(r + lo)
+            cells.append(c)
+            homes.append(c == home[r])
+        return np.concatenate(rows), np.concatenate(cells), np.concatenate(homes)
+
+    def place(self, ids: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, task, side): a core part meets every loose part in a task, and a loose part every other and itself."""
+        r, c, home = self.visits(y)
+        core = self.cores[c] > 0
+        core[core] = (y[r[core]] * self.pivot[c[core]]).sum(1) >= self.sure
+        own = V.salt_of(ids[r], np.where(core, self.cores[c], self.loose[c]))
+        times = np.where(core, 0, self.cores[c]) + self.loose[c]
+        k = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        r, c, home, core, own = (np.repeat(v, times) for v in (r, c, home, core, own))
+        nc, nl = self.cores[c], self.loose[c]
+        other = k - nc
+        crossed, mixed = nc * nl + np.minimum(own, other) * nl + np.maximum(own, other), ~core & (k < nc)
+        task = np.where(core, own * nl + k, np.where(mixed, k * nl + own, crossed))
+        side = np.where(core, 0, np.where(mixed, 1, np.where(own == other, ~home, own > other)))
+        return r, c, task, side
+
+    def within(self, cell: int, task: int) -> bool:
+        """Whether the first side of a task is compared with itself too."""
+        nc, nl = int(self.cores[cell]), int(self.loose[cell])
+        return task >= nc * nl and (task - nc * nl) // nl == (task - nc * nl) % nl
+
+    def core_task(self, cell: int, task: int) -> bool:
+        """Whether the first side of a task is a core part that no task before it had."""
+        nc, nl = int(self.cores[cell]), int(self.loose[cell])
+        return task < nc * nl and task % nl == 0
+
+
+def _cells(df: DataFrame, id_col: str, floor: float) -> Cells:
+    total = df.count()
+    most = max(SAMPLE_ROWS, V.PER_CELL * min(V.MAX_CELLS, total // CELL_ROWS))
+    chosen = df if total <= most else df.filter(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1_000_000)) < int(most / total * 1_000_000))
+    table = _vectors(chosen, id_col, True).toArrow()
+    return Cells(np.asarray(table.column("id")), V.unpack(table.column("vec")), total, floor)
+
+
 def crowds(df: DataFrame, id_col: str, floor: float = 0.995, least: int = 8) -> DataFrame:
     """(group_id, id): groups of `least` or more records linked by a similarity of at least floor; group_id is the smallest id."""
-    rows = _coded(df, id_col, None)
-    heads = rows.groupBy("h").agg(F.min("id").alias("head"), F.min("codes").alias("codes"))
-    often = rows.groupBy("h").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "head")
-    same = rows.select("h", "id").join(often, "h").filter("id != head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
-    # buckets of full codes that more than one distinct vector shares; one exchange serves their counts and their members
-    entries = heads.select("head", F.posexplode("codes").alias("table", "code")).repartition("table", "code")
-    shared = entries.groupBy("table", "code").agg(F.count(F.lit(1)).alias("n"), F.min("head").alias("first")).filter("n > 1")
-    part = F.pmod(F.xxhash64("head", "table"), F.ceil(F.col("n") / PART_ROWS)).cast("int")
-    members = entries.join(shared, ["table", "code"])
-    # in a large bucket its first record goes to every part
-    parts = F.when((F.col("head") == F.col("first")) & (F.col("n") > PART_ROWS), F.sequence(F.lit(0), F.ceil(F.col("n") / PART_ROWS).cast("int") - 1)).otherwise(F.array(part))
-    placed = members.select("head", "table", "code", F.explode(parts).alias("part"))
-    # a vector travels once to its record and from there to its buckets; one delivered twice is compared twice, to no effect
-    grouped = placed.join(_vectors(df, id_col, False), F.col("head") == F.col("id")).select(F.col("table").cast("int").alias("table"), "code", "part", "id", "vec")
-    # buckets are small: a batch of rows sorted by bucket is worked off at once
-    ordered = grouped.repartition("table", "code", "part").sortWithinPartitions("table", "code", "part")
-
-    def bucket(ids: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows (u, v, sure): a forest of the links beyond doubt, and the pairs in doubt between its trees."""
+    rows = _hashed(df, id_col)
+    heads = rows.groupBy("h").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
+    same = rows.join(heads.filter("n > 1"), "h").filter("id != head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
+    cells = _cells(df, id_col, floor)
+    # one delivered twice is compared twice, to no effect
+    vectors = _vectors(df, id_col, False).join(heads.select(F.col("head").alias("id")), "id", "left_semi").select("id", "vec")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = np.asarray(batch.column("id"))
+            r, c, task, side = cells.place(ids, _unpack16(batch.column("vec")))
+            for lo in range(0, len(r), 20_000):
+                part = slice(lo, lo + 20_000)
+                at = pa.array(r[part])
+                yield pa.RecordBatch.from_arrays([pa.array(c[part].astype(np.int32)), pa.array(task[part]), pa.array(side[part].astype(np.int8)), batch.column("id").take(at), batch.column("vec").take(at)], ["cell", "task", "side", "id", "vec"])
+
+    def bucket(ids: np.ndarray, y: np.ndarray, first: int, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows (u, v, sure) of the first rows with the others, and among themselves if within: a forest of the links beyond doubt, and the pairs in doubt between its trees."""
         label = np.arange(len(ids))
-        open_a, open_b = [], []
-        for lo, hi in V.tiles(len(ids), len(ids)):
-            sim = y[lo:hi] @ y.T
+        start = 0 if within else first
+        open_a, open_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for lo, hi in V.tiles(first, len(ids)):
+            sim = y[lo:hi] @ y[start:].T
             a, b = np.nonzero(sim >= floor - SLACK)
-            up = a + lo < b
+            up = a + lo < b + start
             a, b = a[up], b[up]
             sure = sim[a, b] >= floor + SLACK
-            label = V.join_labels(label, lo + a[sure], b[sure])
+            label = V.join_labels(label, lo + a[sure], start + b[sure])
             open_a.append(lo + a[~sure])
-            open_b.append(b[~sure])
+            open_b.append(start + b[~sure])
         a, b = np.concatenate(open_a), np.concatenate(open_b)
         apart = label[a] != label[b]
         low = np.full(len(ids), np.iinfo(np.int64).max)
@@ -167,42 +280,22 @@ def crowds(df: DataFrame, id_col: str, floor: float = 0.995, least: int = 8) ->
         u, v = np.concatenate([ids[keep], ids[a[apart]]]), np.concatenate([low[label][keep], ids[b[apart]]])
         return u, v, np.arange(len(u)) < keep.sum()
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-
-        def work(table: pa.Table) -> pa.RecordBatch:
-            ids, y = np.asarray(table.column("id").combine_chunks()), _unpack16(table.column("vec"))
-            keys = np.stack([np.asarray(table.column(k).combine_chunks()).astype(np.int64) for k in ("table", "code", "part")])
-            start = np.flatnonzero(np.r_[True, (np.diff(keys, axis=1) != 0).any(0)])
-            out = [bucket(ids[lo:hi], y[lo:hi]) for lo, hi in zip(start, np.r_[start[1:], len(ids)]) if hi - lo > 1]
-            u, v, sure = (np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
-            rows = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v), sure]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(bool))], ["u", "v", "sure"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            end = tuple(batch.column(k)[batch.num_rows - 1].as_py() for k in ("table", "code", "part"))
-            if last is not None and end != last and sum(b.num_rows for b in held) > 4000:
-                # rows up to the start of the newest bucket are complete
-                table = pa.Table.from_batches([*held, batch])
-                tail = np.ones(table.num_rows, bool)
-                for k, v in zip(("table", "code", "part"), end):
-                    tail &= np.asarray(table.column(k).combine_chunks()) == v
-                cut = int(np.flatnonzero(tail)[0])
-                if cut:
-                    yield work(table.slice(0, cut))
-                held = table.slice(cut).combine_chunks().to_batches()
-            else:
-                held.append(batch)
-            last = end
-        if held:
-            yield work(pa.Table.from_batches(held))
-
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        cell, task = key[0].as_py(), key[1].as_py()
+        table = table.sort_by("side")
+        ids, y = np.asarray(table.column("id")), _unpack16(table.column("vec"))
+        first = int((np.asarray(table.column("side")) == 0).sum())
+        u, v, sure = bucket(ids, y, first, cells.within(cell, task))
+        if cells.core_task(cell, task):
+            u, v, sure = np.r_[u, ids[:first]], np.r_[v, np.full(first, cells.pivot_id[cell])], np.r_[sure, np.ones(first, bool)]
+        rows = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v), sure]), axis=1)
+        return pa.table({"u": rows[0], "v": rows[1], "sure": rows[2].astype(bool)})
+
+    placed = vectors.mapInArrow(place, "cell int, task bigint, side tinyint, id bigint, vec binary")
+    compared = placed.groupBy("cell", "task").applyInArrow(compare, "u bigint, v bigint, sure boolean")
     spark = df.sparkSession
     path = V.shared_dir(spark).rstrip("/") + "/varied-" + uuid.uuid4().hex
-    ordered.mapInArrow(compare, "u bigint, v bigint, sure boolean").distinct().write.parquet(path)
+    compared.distinct().write.parquet(path)
     links = spark.read.parquet(path)
     edges = links.filter("sure").select("u", "v").unionByName(same)
     open_ = links.filter("not sure").select("u", "v")

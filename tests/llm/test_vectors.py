@@ -161,6 +161,34 @@ def test_pairs_in_doubt_are_computed_exactly(spark):
         assert {tuple(sorted(r)) for r in varied._verified(df, "rec_id", pairs, n, 0.995).collect()} == {(1, i) for i in range(2, 11)}
 
 
+def stars(g, centres, far, arms=7):
+    """A record for each centre with arms that are linked to it at a similarity of far, not to one another."""
+    out = []
+    for c in centres:
+        c = c / np.linalg.norm(c)
+        d = g.normal(size=(arms, 64))
+        d -= (d @ c)[:, None] * c
+        d /= np.linalg.norm(d, axis=1, keepdims=True)
+        out += [c, *(far * c + np.sqrt(1 - far * far) * d)]
+    return np.float32(out)
+
+
+def frame(spark, x):
+    return spark.createDataFrame([(i + 1, layers(v)) for i, v in enumerate(x)], "rec_id bigint, embedding array<array<float>>")
+
+
+def test_no_link_of_a_hot_crowd_is_lost_between_its_parts(spark, monkeypatch):
+    """Stars within a ball that is one cell of many parts, with and without records around its pivot."""
+    g = np.random.default_rng(12)
+    c = g.normal(size=64)
+    c /= np.linalg.norm(c)
+    for noise, tight in ((0.02, 0), (0.02, 60), (0.012, 0)):
+        x = np.concatenate([stars(g, c + noise * g.normal(size=(60, 64)), 0.9955), np.float32(c + 0.002 * g.normal(size=(tight, 64)))])
+        want = groups({i + 1: v for i, v in enumerate(x)}, 0.995, 8)
+        monkeypatch.setattr(varied, "PART_ROWS", 64)
+        assert {tuple(r) for r in varied.crowds(frame(spark, x), "rec_id", 0.995, 8).collect()} == want
+
+
 def test_subset_thins_crowds(fixture):
     df, vecs = fixture
     got = [r.id for r in varied.subset(df, "rec_id", "label", 40).collect()]

@@ -189,6 +189,21 @@ def test_no_link_of_a_hot_crowd_is_lost_between_its_parts(spark, monkeypatch):
         assert {tuple(r) for r in varied.crowds(frame(spark, x), "rec_id", 0.995, 8).collect()} == want
 
 
+def test_no_link_is_lost_between_cells(spark, monkeypatch):
+    """Stars, and chains, of eight that a single lost link splits, over many cells."""
+    g = np.random.default_rng(14)
+    x = [stars(g, g.normal(size=(40, 64)), far) for far in (0.9953, 0.9968)]
+    for _ in range(40):
+        v = g.normal(size=64)
+        chain = [v / np.linalg.norm(v)]
+        while len(chain) < 8:
+            chain.append(stars(g, chain[-1:], 0.9955, 1)[1])
+        x.append(np.float32(chain))
+    x = np.concatenate([*x, np.float32(g.normal(size=(400, 64)))])
+    monkeypatch.setattr(varied, "CELL_ROWS", 20)
+    assert {tuple(r) for r in varied.crowds(frame(spark, x), "rec_id", 0.995, 8).collect()} == groups({i + 1: v for i, v in enumerate(x)}, 0.995, 8)
+
+
 def test_subset_thins_crowds(fixture):
     df, vecs = fixture
     got = [r.id for r in varied.subset(df, "rec_id", "label", 40).collect()]

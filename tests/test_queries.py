@@ -35,6 +35,13 @@ def test_frechet_equals_numpy(spark, tables):
     assert QUERIES["frechet_full"](spark, tables).first().distance == pytest.approx(want, abs=1e-4)
 
 
+def test_wav_roundtrip_takes_every_vector(spark, tables):
+    ids = {f"{r.vec_id}.wav" for r in spark.read.parquet(f"{tables}/embeddings.parquet").select("vec_id").collect()}
+    rows = QUERIES["wav_roundtrip"](spark, tables).collect()
+    assert len(rows) == len(ids) and {r.path for r in rows} == ids
+    assert all(r.exact and r.frames == 64 for r in rows)
+
+
 def test_whole_entry_point(spark):
     import __spark_entry__ as entry
 

@@ -36,6 +36,10 @@ _BEFORE = re.compile(r"(?<![\p{L}\p{M}])(\p{L}\.|\p{Lu}[\p{L}\p{M}'’-]+)\s+$")
 MAX_KNOWN = 200_000
 #: Added to the tags' scores in a second decoding, whose proposals of the kinds with an exact form count as well.
 LEAN = np.array([0.0] + [0.0 if kind == "name" else 1.5 for kind in KINDS for _ in "bi"], np.float32)
+#: Added in a decoding of the texts that propose a name in small letters unknown to the lexicon: what stands nevertheless is sure.
+STRICT = np.array([0.0] + [-1.0 if kind == "name" else 0.0 for kind in KINDS for _ in "bi"], np.float32)
+#: What stands before a person: a label, a title or such a word, or the dash of a signature or list.
+_CUE = re.compile(r"(?:\b(?:name|who|contact|cc|attn)\s*[=:]\s*|(?<![\p{L}\p{M}])(?:by|for|von|ask|cc|contact|attn|thanks|" + "|".join(sorted(TITLES)) + r")\.?\s+|(?:^|\n)[^\S\n]*--?\s*)$", re.I)
 _TAGGER: list[Tagger] = []
 
 
@@ -67,18 +71,28 @@ def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
     return s, e
 
 
-def _is_name(text: str, s: int, e: int, known: frozenset[str]) -> bool:
+def _is_name(text: str, s: int, e: int, known: frozenset[str], sure: list[tuple[int, int]] | tuple = ()) -> bool:
     parts = split_name(text[s:e])
     if parts is None or e - s > 80:
         return False
     own = re.findall(r"[\p{L}\p{M}'’]+", text[s:e].lower())
     if parts[1].lower().split("-")[-1] in NOT_PERSON or parts[0].lower() in NOT_PERSON:
         return False
-    # a name in small letters is read as words unless a part of it is known
-    return not (known and text[s:e].islower() and not any(w in known for w in own))
+    if not known or not text[s:e].islower() or any(w in known for w in own):
+        return True
+    # the lexicon is incomplete: of a name in small letters that it has no part of, what stands before it or the tagger's score decides
+    return bool(_CUE.search(text, max(0, s - 32), s)) or any(min(e, y) - max(s, x) > 0.5 * (e - s) for x, y in sure)
 
 
-def _name(text: str, s: int, e: int, known: frozenset[str] = frozenset()) -> tuple[int, int] | None:
+def _in_doubt(text: str, tags: np.ndarray, known: frozenset[str]) -> bool:
+    """Whether a name in small letters is proposed that the lexicon has no part of."""
+    if not known or not tags.any():
+        return False
+    names = [text[s:e] for kind, s, e in spans_of(tags) if KINDS[kind] == "name"]
+    return any(n.islower() and not any(w in known for w in re.findall(r"[\p{L}\p{M}'’]+", n)) for n in names)
+
+
+def _name(text: str, s: int, e: int, known: frozenset[str] = frozenset(), sure: list[tuple[int, int]] | tuple = ()) -> tuple[int, int] | None:
     """The name form that shares most with the proposed span."""
     s, e = _word_edges(text, s, e)
     if e < len(text) and text[e] == "." and e - s >= 2 and text[e - 2 : e - 1] in " \n" and text[e - 1].isalpha():
@@ -88,11 +102,11 @@ def _name(text: str, s: int, e: int, known: frozenset[str] = frozenset()) -> tup
     while e > s and not (text[e - 1].isalpha() or text[e - 1] == "."):
         e -= 1
     s, e = _trimmed(text, s, e)
-    if _is_name(text, s, e, known):
+    if _is_name(text, s, e, known, sure):
         return s, e
     if e - s >= 3 and not re.search(r"\s", text[s:e]):  # one part alone: its initial or other part may stand in front
         m = _BEFORE.search(text, max(0, s - 32), s)
-        if m and m.group(1).rstrip(".").lower() not in TITLES | BESIDE and _is_name(text, m.start(1), e, known):
+        if m and m.group(1).rstrip(".").lower() not in TITLES | BESIDE and _is_name(text, m.start(1), e, known, sure):
             return m.start(1), e
     best, most = None, 0.5
     starts = [s] + [i + 1 for i in range(max(0, s - 16), e) if text[i] in " \n\t\"(" and i + 1 != s]
@@ -102,7 +116,7 @@ def _name(text: str, s: int, e: int, known: frozenset[str] = frozenset()) -> tup
             continue
         for end in sorted({m.end(), min(m.end(), e)}):
             a, b = _trimmed(text, at, end)
-            if b <= a or not _is_name(text, a, b, known):
+            if b <= a or not _is_name(text, a, b, known, sure):
                 continue
             share = max(0, min(b, e) - max(a, s)) / max(1, max(b, e) - min(a, s))
             if share > most:
@@ -110,19 +124,20 @@ def _name(text: str, s: int, e: int, known: frozenset[str] = frozenset()) -> tup
     return best
 
 
-def resolve(text: str, tags: np.ndarray, leaning: np.ndarray, known: frozenset[str] = frozenset()) -> list[tuple[str, int, int]]:
+def resolve(text: str, tags: np.ndarray, leaning: np.ndarray, known: frozenset[str] = frozenset(), strict: np.ndarray | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of a folded text from its tags and its leaning tags, in order, none overlapping another.
 
-    Names come from the former alone, as their form is a weak check.
+    Names come from the former alone, as their form is a weak check; strict tags have those that the tagger is sure of.
     """
     found: list[tuple[int, int, int]] = []
+    sure = [(s, e) for kind, s, e in spans_of(strict) if KINDS[kind] == "name"] if strict is not None else ()
     proposed = spans_of(tags) + [x for x in spans_of(leaning) if KINDS[x[0]] != "name"]
     for kind, s, e in proposed:
         name = KINDS[kind]
         if name == "name":
             cuts = [s, *(x for m in _BETWEEN.finditer(text, s, e) for x in m.span()), e]
             for a, b in zip(cuts[::2], cuts[1::2]):
-                hit = _name(text, a, b, known) if b - a > 3 else None
+                hit = _name(text, a, b, known, sure) if b - a > 3 else None
                 if hit:
                     found.append((kind, *hit))
             continue
@@ -149,7 +164,9 @@ def spans(texts: list[str | None], known: frozenset[str] = frozenset()) -> list[
     """The spans of each text, as 0-based code points."""
     folded = [fold_text(t) if t else "" for t in texts]
     plain, leaning = tagger().tag_texts([encode(f) for f in folded], leans=(None, LEAN))
-    return [resolve(f, t, u, known) if t.any() or u.any() else [] for f, t, u in zip(folded, plain, leaning)]
+    doubt = [i for i, (f, t) in enumerate(zip(folded, plain)) if _in_doubt(f, t, known)]
+    strict = dict(zip(doubt, tagger().tag_texts([encode(folded[i]) for i in doubt], leans=(STRICT,))[0])) if doubt else {}
+    return [resolve(f, t, u, known, strict.get(i)) if t.any() or u.any() else [] for i, (f, t, u) in enumerate(zip(folded, plain, leaning))]
 
 
 def _spread(df: DataFrame) -> DataFrame:

@@ -173,3 +173,25 @@ def test_gradients_are_those_of_the_loss():
         down = tagger.gradients(x, y)[0]
         tagger.w[name][at] = old
         assert grads[name][at] / 8 == pytest.approx((up - down) / 2e-3, rel=0.05, abs=1e-4)
+
+
+def test_names_in_small_letters_do_not_need_the_lexicon():
+    """Of names without a known part, the surroundings or the tagger's score decide, not the lexicon."""
+    known = frozenset({"somebody"})
+    tail = "Tempo 112, same as with tabla."
+    for text, name in (
+        (f"{tail} name=dorrin raskovar | phone=030/23125365 | addr=94A Rope Road", "dorrin raskovar"),
+        (f"The hum of the ostinato gets glassy. Written for uluric vaskieretti by Yasiel Aspurst. {tail}", "uluric vaskieretti"),
+        (f"The groove (ref 502/53). Ask haldymir vaskieretti before you cut it. {tail}", "haldymir vaskieretti"),
+    ):
+        tags = np.zeros(len(text), np.int64)
+        at = text.index(name)
+        begin = 1 + 2 * pii.KINDS.index("name")
+        tags[at], tags[at + 1 : at + len(name)] = begin, begin + 1
+        assert ("name", at, at + len(name)) in pii.resolve(text, tags, np.zeros_like(tags), known)
+    words = "Neither bass clarinet nor\n> celesta settle before loose brass."
+    tags = np.zeros(len(words), np.int64)
+    at = words.index("celesta")
+    tags[at], tags[at + 1 : at + len("celesta settle")] = begin, begin + 1
+    assert pii.resolve(words, tags, np.zeros_like(tags), known) == []
+    assert pii.resolve(words, tags, np.zeros_like(tags), known, tags) == [("name", at, at + len("celesta settle"))]

@@ -14,7 +14,7 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 #: Tags: 0 outside, 1 + 2k begins kind k, 2 + 2k continues it.
 N_TAGS = 1 + 2 * len(KINDS)
 #: Window length and the context on either side that is read but not kept.
-WINDOW, CONTEXT = 192, 40
+WINDOW, CONTEXT = 192, 28
 HIDDEN = 32
 
 _ASCII = 128
@@ -117,13 +117,43 @@ class Tagger:
                 tape.append((i, f, o, g, c_old, tc, h_old))
         return hs, tape
 
+    def _ready(self) -> tuple:
+        """Weights for reading: a gate's logistic curve is half of 1 + tanh of half its input, so one tanh serves all gates; the halves are in the weights."""
+        if getattr(self, "_fast", None) is None:
+            h = self.w["rec_f"].shape[0]
+            half = np.full(4 * h, 0.5, np.float32)
+            half[3 * h :] = 1.0
+            emb = [np.ascontiguousarray(self.w[f"emb_{d}"] * half) for d in "fb"]
+            rec = np.stack([self.w[f"rec_{d}"] * half * 0.5 for d in "fb"])  # states are kept doubled
+            self._fast = (emb, np.ascontiguousarray(rec, np.float32), (self.w["out"] * 0.5).astype(np.float32))
+        return self._fast
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """(T, B) ids to (T, B, tags) scores."""
-        h_n = self.w["rec_f"].shape[0]
-        fwd, _ = self._run(x, "f", False)
-        bwd, _ = self._run(x[::-1], "b", False)
-        e = fwd.reshape(-1, h_n) @ self.w["out"][:h_n] + bwd[::-1].reshape(-1, h_n) @ self.w["out"][h_n:] + self.w["bias"]
-        return e.reshape(*x.shape, N_TAGS)
+        """(T, B) ids to (T, B, tags) scores. Both directions are read in one loop."""
+        (emb_f, emb_b), rec, out = self._ready()
+        h_n = rec.shape[1]
+        t_n, b = x.shape
+        states = np.empty((t_n, 2, b, h_n), np.float32)
+        h, c, z, part = np.zeros((2, b, h_n), np.float32), np.zeros((2, b, h_n), np.float32), np.empty((2, b, 4 * h_n), np.float32), np.empty((2, b, 4 * h_n), np.float32)
+        for t in range(t_n):
+            np.take(emb_f, x[t], axis=0, out=z[0], mode="wrap")
+            np.take(emb_b, x[t_n - 1 - t], axis=0, out=z[1], mode="wrap")
+            np.matmul(h, rec, out=part)
+            z += part
+            np.tanh(z, out=z)
+            z[:, :, : 3 * h_n] += 1
+            i, f, o, g = (z[:, :, k * h_n : (k + 1) * h_n] for k in range(4))
+            c *= f
+            i *= g
+            c += i
+            c *= 0.5
+            h = states[t]
+            np.tanh(c, out=h)
+            h *= o
+        e = states[:, 0].reshape(-1, h_n) @ out[:h_n]
+        e += np.ascontiguousarray(states[::-1, 1]).reshape(-1, h_n) @ out[h_n:]
+        e += self.w["bias"]
+        return e.reshape(t_n, b, N_TAGS)
 
     def viterbi(self, e: np.ndarray) -> np.ndarray:
         """Best tags (T, B). A window whose scores leave no other tag than outside any chance is not searched."""
@@ -134,10 +164,8 @@ class Tagger:
         stay = trans[0, 0]
         within = float(trans[1:, 1:].max() - stay)
         ends = max(float(trans[0, 1:].max() - stay), float((self.w["start"][1:] - self.w["start"][0]).max())) + max(0.0, float(trans[1:, 0].max() - stay)) - within
-        ahead = e[:, :, 1].copy()
-        for k in range(2, N_TAGS):  # one pass a tag is faster than a maximum over a short last axis
-            np.maximum(ahead, e[:, :, k], out=ahead)
-        ahead += within - e[:, :, 0]
+        e = np.ascontiguousarray(e.transpose(0, 2, 1))  # steps, tags, windows
+        ahead = e[:, 1:].max(1) + (within - e[:, 0])
         run, best = np.full(b, -np.inf, np.float32), np.full(b, -np.inf, np.float32)
         for step in ahead:
             run = np.maximum(run, 0) + step
@@ -145,24 +173,19 @@ class Tagger:
         live = np.flatnonzero(best + ends > -1e-3)
         if not len(live):
             return out
-        e = np.ascontiguousarray(e[:, live].transpose(0, 2, 1))  # steps, tags, windows
-        score = self.w["start"][:, None] + e[0]
-        back = np.zeros((t_n, N_TAGS, len(live)), np.int8)
+        score = np.ascontiguousarray(e[:, :, live])
+        score[0] += self.w["start"][:, None]
         into = trans[:, :, None]
+        step = np.empty((N_TAGS, N_TAGS, len(live)), np.float32)
         for t in range(1, t_n):
-            best, arg = score[0] + into[0], back[t]
-            for k in range(1, N_TAGS):
-                cand = score[k] + into[k]
-                more = cand > best
-                np.copyto(best, cand, where=more)
-                arg[more] = k
-            score = best + e[t]
-        tag = score.argmax(0)
-        rows = np.arange(len(live))
+            np.add(score[t - 1][:, None, :], into, out=step)
+            score[t] += step.max(0)
+        # the way back asks again which tag was best before
+        tag = score[-1].argmax(0)
         for t in range(t_n - 1, -1, -1):
             out[t, live] = tag
             if t:
-                tag = back[t, tag, rows]
+                tag = (score[t - 1] + trans[:, tag]).argmax(0)
         return out
 
     # -- training --------------------------------------------------------------------------------
@@ -225,56 +248,87 @@ class Tagger:
             grads[f"emb_{d}"], grads[f"rec_{d}"] = d_emb, d_rec
         return float((log_z - gold).mean() / t_n), grads
 
-    def fit(self, windows: np.ndarray, tags: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.004, seed: int = 11, said=None) -> None:
-        """Adam over (N, T) windows and tags; the rate falls by a cosine."""
+    def fit(self, windows: np.ndarray, tags: np.ndarray, epochs: int, batch: int = 256, rate: float = 0.005, seed: int = 11, said=None, workers: int = 1) -> None:
+        """Adam over (N, T) windows and tags; the rate falls by a cosine. Workers share the gradient of a batch."""
         g = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.w.items()}
         steps, step = epochs * max(1, len(windows) // batch), 0
-        for epoch in range(epochs):
-            order, total = g.permutation(len(windows)), []
-            for at in range(0, len(windows) - batch + 1, batch):
-                rows = order[at : at + batch]
-                loss, grads = self.gradients(np.ascontiguousarray(windows[rows].T), np.ascontiguousarray(tags[rows].T))
-                total.append(loss)
-                step += 1
-                norm = np.sqrt(sum(float((x * x).sum()) for x in grads.values()))
-                lr = rate * (0.02 + 0.98 * 0.5 * (1 + np.cos(np.pi * step / steps))) * min(1.0, step / 50)
-                for k, grad in grads.items():
-                    grad = grad * min(1.0, 2.0 / (norm + 1e-9))
-                    m[k] = 0.9 * m[k] + 0.1 * grad
-                    v2[k] = 0.99 * v2[k] + 0.01 * grad * grad
-                    self.w[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-            if said:
-                said(epoch, float(np.mean(total)))
+        pool = None
+        if workers > 1:
+            from multiprocessing import get_context
+
+            pool = get_context("fork").Pool(workers, _hold, (windows, tags))
+        try:
+            for epoch in range(epochs):
+                order, total = g.permutation(len(windows)), []
+                for at in range(0, len(windows) - batch + 1, batch):
+                    rows = order[at : at + batch]
+                    if pool:
+                        done = pool.map(_share, [(self.w, part) for part in np.array_split(rows, workers)])
+                        loss = float(np.mean([d[0] for d in done]))
+                        grads = {k: sum(d[1][k] for d in done) / workers for k in self.w}
+                    else:
+                        loss, grads = self.gradients(np.ascontiguousarray(windows[rows].T), np.ascontiguousarray(tags[rows].T))
+                    total.append(loss)
+                    step += 1
+                    norm = np.sqrt(sum(float((x * x).sum()) for x in grads.values()))
+                    lr = rate * (0.02 + 0.98 * 0.5 * (1 + np.cos(np.pi * step / steps))) * min(1.0, step / 50)
+                    for k, grad in grads.items():
+                        grad = grad * min(1.0, 2.0 / (norm + 1e-9))
+                        m[k] = 0.9 * m[k] + 0.1 * grad
+                        v2[k] = 0.99 * v2[k] + 0.01 * grad * grad
+                        self.w[k] -= (lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+                self._fast = None
+                if said:
+                    said(epoch, float(np.mean(total)))
+        finally:
+            if pool:
+                pool.terminate()
 
     # -- whole texts -----------------------------------------------------------------------------
-    def tag_texts(self, ids: list[np.ndarray], batch: int = 512, leans: tuple = (None,)) -> list[list[np.ndarray]]:
-        """For each of leans, the tags of every character of every text: windows overlap, each character's tag is its most central window's.
+    def tag_texts(self, ids: list[np.ndarray], regions: list[list[tuple[int, int]]] | None = None, lean: np.ndarray | None = None, batch: int = 256) -> list[np.ndarray]:
+        """The tags of every character of every text: windows overlap, and each character's tag is that of its most central window.
 
-        A lean is added to the scores of the tags before decoding: a check that follows can afford more proposals.
+        With regions (start, end), only these and CONTEXT characters on either side are read; what lies outside of them stays outside.
+        A lean is added to the scores of the tags before decoding: kinds whose form is checked afterwards can afford more proposals.
         """
         stride, spans = WINDOW - 2 * CONTEXT, []
         for k, x in enumerate(ids):
-            for at in range(0, max(1, len(x)), stride):
-                spans.append((k, at))
-        out = [[np.zeros(len(x), np.int8) for x in ids] for _ in leans]
-        for lo in range(0, len(spans), batch):
-            part = spans[lo : lo + batch]
-            x = np.full((WINDOW, len(part)), _VOCAB, np.int16)
-            for j, (k, at) in enumerate(part):
-                piece = ids[k][max(0, at - CONTEXT) : at - CONTEXT + WINDOW]
-                x[CONTEXT - min(at, CONTEXT) : CONTEXT - min(at, CONTEXT) + len(piece), j] = piece
+            for lo, hi in [(0, len(x))] if regions is None else regions[k]:
+                for at in range(lo, max(lo + 1, hi), stride):
+                    upto = min(at + stride, hi)
+                    spans.append((min(len(x), upto + CONTEXT) - at, k, at, upto))
+        spans.sort()
+        out = [np.zeros(len(x), np.int8) for x in ids]
+        for first in range(0, len(spans), batch):
+            part = spans[first : first + batch]
+            length = CONTEXT + part[-1][0]
+            x = np.full((length, len(part)), _VOCAB, np.int16)
+            for j, (_, k, at, upto) in enumerate(part):
+                lo = max(0, at - CONTEXT)
+                piece = ids[k][lo : upto + CONTEXT]
+                x[lo - at + CONTEXT : lo - at + CONTEXT + len(piece), j] = piece
             e = self.emissions(x)
-            for lean, into in zip(leans, out):
-                tags = self.viterbi(e if lean is None else e + lean)
-                for j, (k, at) in enumerate(part):
-                    n = min(stride, len(ids[k]) - at)
-                    if n > 0:
-                        into[k][at : at + n] = tags[CONTEXT : CONTEXT + n, j]
+            tags = self.viterbi(e if lean is None else e + lean)
+            for j, (_, k, at, upto) in enumerate(part):
+                out[k][at:upto] = tags[CONTEXT : CONTEXT + upto - at, j]
         return out
 
 
+_HELD: list = []
+
+
+def _hold(windows: np.ndarray, tags: np.ndarray) -> None:
+    _HELD[:] = [windows, tags]
+
+
+def _share(job: tuple) -> tuple:
+    """Loss and gradients of a worker's part of a batch."""
+    weights, rows = job
+    return Tagger(weights).gradients(np.ascontiguousarray(_HELD[0][rows].T), np.ascontiguousarray(_HELD[1][rows].T))
+
+
 def spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the labelled runs; a run that lost its beginning still counts."""
     out, kind, start = [], -1, 0

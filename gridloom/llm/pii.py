@@ -1,8 +1,13 @@
 """Personal information in free text: found by the character tagger, checked by its form, replaced by typed placeholders.
 
-The tagger (crf_tagger) reads every character of every text in overlapping windows. A span that it proposes is kept if a
-form of pii_rules lies on it, and takes that form's exact start and end; names need the form of a given name or initial
-with a family name. Nothing is reported where the tagger proposes nothing.
+A text is read for candidates first: forms of pii_rules, and pairs of words that the acceptance below could take for a name. The
+tagger (crf_tagger) reads all of them with the characters around, in overlapping windows, and decides; what holds no candidate
+could not be accepted whatever the tagger said, so leaving it unread loses nothing. Of emails, phones, numbers and addresses
+that it proposes, the form gives the exact start and end; a name is the span that it decodes, without titles and joining words.
+Nothing is reported where the tagger proposes nothing.
+
+A name is accepted if both of its parts begin with a capital, or a part is in the lexicon, or a label, a title, such a word as
+`by` or the dash of a signature stands before it.
 
 Null and empty texts have no spans and stay as they are. Rows are independent, so repeated rows give repeated results;
 texts of any length are read whole.
@@ -15,31 +20,35 @@ import pkgutil
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .crf_tagger import KINDS, Tagger, encode, fold_text, spans_of
-from .pii_rules import BESIDE, NAME, NOT_PERSON, TITLES, matches, split_name
+from .pii_rules import JOINING, NAME, OPENERS, PARTICLE, TITLES, forms, joined, lowered, split_name
 
 MODEL = "pii_model.npz"
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
-#: Characters around a proposed span in which its exact form is looked for.
-REACH = 64
 #: Words and signs between two names.
 _BETWEEN = re.compile(r"\s+(?:and|with|by|for|und|y|et|mit|con|avec)\s+|\s*[&/;:()<>\"]+\s*", re.I)
 _FIRST = re.compile(r"(\p{L}+)(\.?)[\s,]+")
 _LAST = re.compile(r"[\s,]+(\p{L}+)$")
 _BEFORE = re.compile(r"(?<![\p{L}\p{M}])(\p{L}\.|\p{Lu}[\p{L}\p{M}'’-]+)\s+$")
-#: Known parts of names are sent to the workers up to this many.
+#: Known parts of names are sent to the workers up to this many; a larger lexicon is joined with the words of the texts.
 MAX_KNOWN = 200_000
-#: Added to the tags' scores in a second decoding, whose proposals of the kinds with an exact form count as well.
-LEAN = np.array([0.0] + [0.0 if kind == "name" else 1.5 for kind in KINDS for _ in "bi"], np.float32)
-#: Added in a decoding of the texts that propose a name in small letters unknown to the lexicon: what stands nevertheless is sure.
-STRICT = np.array([0.0] + [-1.0 if kind == "name" else 0.0 for kind in KINDS for _ in "bi"], np.float32)
+#: Added once to a span of a kind with an exact form, as that form checks it afterwards.
+LEAN = np.array([0.0] + [4.0 if kind != "name" and place == "b" else 0.0 for kind in KINDS for place in "bi"], np.float32)
+#: Two words that both begin with a capital, an initial and such a word, with initials and particles between them.
+_CAPITALS = re.compile(rf"(?<![\p{{L}}\p{{M}}])\p{{Lu}}(?:\.|[\p{{L}}\p{{M}}'’-]+),?\s+(?:(?i:{PARTICLE})\s+|\p{{L}}\.\s+){{0,3}}\p{{Lu}}")
 #: What stands before a person: a label, a title or such a word, or the dash of a signature or list.
-_CUE = re.compile(r"(?:\b(?:name|who|contact|cc|attn)\s*[=:]\s*|(?<![\p{L}\p{M}])(?:by|for|von|ask|cc|contact|attn|thanks|" + "|".join(sorted(TITLES)) + r")\.?\s+|(?:^|\n)[^\S\n]*--?\s*)$", re.I)
+_CUES = r"\b(?:name|user|author|contact|cc|attn|who)\s*[=:]\s*|(?<![\p{L}\p{M}])(?:by|for|von|ask|cc|contact|attn|thanks|" + "|".join(sorted(TITLES)) + r")\.?\s+(?!(?:" + "|".join(sorted(JOINING)) + r")\s)|(?:^|\n)[^\S\n]*--?\s*"
+_CUE, _CUE_BEFORE = re.compile(_CUES, re.I), re.compile(f"(?:{_CUES})$", re.I)
+_WORD = re.compile(r"[\p{L}\p{M}'’]+")
+#: Characters that a name, at most 80 long, may take around a sign of it.
+AROUND_NAME = 28
 _TAGGER: list[Tagger] = []
 
 
@@ -50,6 +59,18 @@ def tagger() -> Tagger:
     return _TAGGER[0]
 
 
+def candidates(text: str, known: frozenset[str]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """The forms of a folded text, and the regions that hold these and all names that could be accepted."""
+    exact = forms(text)
+    around = [(a, b) for _, a, b in exact]
+    around += [(m.start(), m.end() + AROUND_NAME) for m in _CAPITALS.finditer(text)]
+    around += [(m.start(), m.end() + AROUND_NAME) for m in _CUE.finditer(text) if text[m.end() : m.end() + 1].isalpha()]
+    if known:
+        around += [(max(0, m.start() - AROUND_NAME), m.end() + AROUND_NAME) for m in _WORD.finditer(lowered(text)) if m.group() in known]
+    around.sort()
+    return exact, joined([(a, min(b, len(text))) for a, b in around])
+
+
 def _word_edges(text: str, s: int, e: int) -> tuple[int, int]:
     while s > 0 and s < len(text) and (text[s].isalpha() and text[s - 1].isalpha()):
         s -= 1
@@ -61,38 +82,28 @@ def _word_edges(text: str, s: int, e: int) -> tuple[int, int]:
 def _trimmed(text: str, s: int, e: int) -> tuple[int, int]:
     """Without titles and joining words at the ends."""
     while m := _FIRST.match(text, s, e):
-        if m.group(1).lower() not in TITLES | BESIDE or m.end() >= e or (m.group(2) and m.group(1).lower() not in TITLES):
+        word = m.group(1).lower()
+        small = m.group(1).islower() and word in JOINING
+        if not (small or word in TITLES) or m.end() >= e or (m.group(2) and word not in TITLES):
             break
         s = m.end()
     while m := _LAST.search(text, s, e):
-        if m.group(1).lower() not in BESIDE:
+        if not (m.group(1).islower() and m.group(1) in JOINING):
             break
         e = m.start()
     return s, e
 
 
-def _is_name(text: str, s: int, e: int, known: frozenset[str], sure: list[tuple[int, int]] | tuple = ()) -> bool:
+def _is_name(text: str, s: int, e: int, known: frozenset[str]) -> bool:
     parts = split_name(text[s:e])
-    if parts is None or e - s > 80:
+    if parts is None or e - s > 80 or parts[1].lower() in OPENERS or parts[0].lower() in JOINING:
         return False
-    own = re.findall(r"[\p{L}\p{M}'’]+", text[s:e].lower())
-    if parts[1].lower().split("-")[-1] in NOT_PERSON or parts[0].lower() in NOT_PERSON:
-        return False
-    if not known or not text[s:e].islower() or any(w in known for w in own):
+    if parts[0][:1].isupper() and parts[1][:1].isupper():
         return True
-    # the lexicon is incomplete: of a name in small letters that it has no part of, what stands before it or the tagger's score decides
-    return bool(_CUE.search(text, max(0, s - 32), s)) or any(min(e, y) - max(s, x) > 0.5 * (e - s) for x, y in sure)
-
-
-def _in_doubt(text: str, tags: np.ndarray, known: frozenset[str]) -> bool:
-    """Whether a name in small letters is proposed that the lexicon has no part of."""
-    if not known or not tags.any():
-        return False
-    names = [text[s:e] for kind, s, e in spans_of(tags) if KINDS[kind] == "name"]
-    return any(n.islower() and not any(w in known for w in re.findall(r"[\p{L}\p{M}'’]+", n)) for n in names)
+    return any(w in known for w in _WORD.findall(lowered(text[s:e]))) or bool(_CUE_BEFORE.search(text, max(0, s - 32), s))
 
 
-def _name(text: str, s: int, e: int, known: frozenset[str] = frozenset(), sure: list[tuple[int, int]] | tuple = ()) -> tuple[int, int] | None:
+def _name(text: str, s: int, e: int, known: frozenset[str] = frozenset()) -> tuple[int, int] | None:
     """The name form that shares most with the proposed span."""
     s, e = _word_edges(text, s, e)
     if e < len(text) and text[e] == "." and e - s >= 2 and text[e - 2 : e - 1] in " \n" and text[e - 1].isalpha():
@@ -102,11 +113,11 @@ def _name(text: str, s: int, e: int, known: frozenset[str] = frozenset(), sure:
     while e > s and not (text[e - 1].isalpha() or text[e - 1] == "."):
         e -= 1
     s, e = _trimmed(text, s, e)
-    if _is_name(text, s, e, known, sure):
+    if _is_name(text, s, e, known):
         return s, e
     if e - s >= 3 and not re.search(r"\s", text[s:e]):  # one part alone: its initial or other part may stand in front
         m = _BEFORE.search(text, max(0, s - 32), s)
-        if m and m.group(1).rstrip(".").lower() not in TITLES | BESIDE and _is_name(text, m.start(1), e, known, sure):
+        if m and m.group(1).rstrip(".").lower() not in TITLES | JOINING and _is_name(text, m.start(1), e, known):
             return m.start(1), e
     best, most = None, 0.5
     starts = [s] + [i + 1 for i in range(max(0, s - 16), e) if text[i] in " \n\t\"(" and i + 1 != s]
@@ -116,7 +127,7 @@ def _name(text: str, s: int, e: int, known: frozenset[str] = frozenset(), sure:
             continue
         for end in sorted({m.end(), min(m.end(), e)}):
             a, b = _trimmed(text, at, end)
-            if b <= a or not _is_name(text, a, b, known, sure):
+            if b <= a or not _is_name(text, a, b, known):
                 continue
             share = max(0, min(b, e) - max(a, s)) / max(1, max(b, e) - min(a, s))
             if share > most:
@@ -124,26 +135,18 @@ def _name(text: str, s: int, e: int, known: frozenset[str] = frozenset(), sure:
     return best
 
 
-def resolve(text: str, tags: np.ndarray, leaning: np.ndarray, known: frozenset[str] = frozenset(), strict: np.ndarray | None = None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of a folded text from its tags and its leaning tags, in order, none overlapping another.
-
-    Names come from the former alone, as their form is a weak check; strict tags have those that the tagger is sure of.
-    """
+def resolve(text: str, tags: np.ndarray, exact: list[tuple[int, int, int]], known: frozenset[str] = frozenset()) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of a folded text from its tags and its forms, in order, none overlapping another."""
     found: list[tuple[int, int, int]] = []
-    sure = [(s, e) for kind, s, e in spans_of(strict) if KINDS[kind] == "name"] if strict is not None else ()
-    proposed = spans_of(tags) + [x for x in spans_of(leaning) if KINDS[x[0]] != "name"]
-    for kind, s, e in proposed:
-        name = KINDS[kind]
-        if name == "name":
+    for kind, s, e in spans_of(tags):
+        if KINDS[kind] == "name":
             cuts = [s, *(x for m in _BETWEEN.finditer(text, s, e) for x in m.span()), e]
             for a, b in zip(cuts[::2], cuts[1::2]):
-                hit = _name(text, a, b, known, sure) if b - a > 3 else None
+                hit = _name(text, a, b, known) if b - a > 3 else None
                 if hit:
                     found.append((kind, *hit))
             continue
-        for a, b in matches(name, text, max(0, s - REACH), e + REACH):
-            if min(b, e) - max(a, s) >= 0.5 * min(b - a, e - s) and min(b, e) > max(a, s):
-                found.append((kind, a, b))
+        found += [(k, a, b) for k, a, b in exact if k == kind and min(b, e) > max(a, s) and min(b, e) - max(a, s) >= 0.5 * min(b - a, e - s)]
     taken, out = [], []
     for kind, a, b in sorted(set(found)):
         if all(b <= x or a >= y for x, y in taken):
@@ -152,21 +155,40 @@ def resolve(text: str, tags: np.ndarray, leaning: np.ndarray, known: frozenset[s
     return sorted(out, key=lambda x: x[1])
 
 
-def known_parts(lexicon: DataFrame, column: str = "name_part") -> frozenset[str]:
-    """The parts of a lexicon, folded; a lexicon of more than MAX_KNOWN rows is refused."""
-    rows = lexicon.select(column).filter(F.col(column).isNotNull()).limit(MAX_KNOWN + 1).collect()
-    if len(rows) > MAX_KNOWN:
-        raise ValueError(f"a lexicon may have {MAX_KNOWN} rows")
-    return frozenset(fold_text(r[0]).lower() for r in rows)
+def spans(texts: list[str | None], known: frozenset[str] | list[frozenset[str]] = frozenset()) -> list[list[tuple[str, int, int]]]:
+    """The spans of each text, as 0-based code points. known holds for all texts, or there is one set for each."""
+    folded = [fold_text(t) if t else "" for t in texts]
+    parts = known if isinstance(known, list) else [known] * len(texts)
+    read = [candidates(f, k) for f, k in zip(folded, parts)]
+    tags = tagger().tag_texts([encode(f) if r[1] else np.empty(0, np.int16) for f, r in zip(folded, read)], [r[1] for r in read], LEAN)
+    return [resolve(f, t, r[0], k) if t.any() else [] for f, t, r, k in zip(folded, tags, read, parts)]
 
 
-def spans(texts: list[str | None], known: frozenset[str] = frozenset()) -> list[list[tuple[str, int, int]]]:
-    """The spans of each text, as 0-based code points."""
-    folded = [fold_text(t) if t else "" for t in texts]
-    plain, leaning = tagger().tag_texts([encode(f) for f in folded], leans=(None, LEAN))
-    doubt = [i for i, (f, t) in enumerate(zip(folded, plain)) if _in_doubt(f, t, known)]
-    strict = dict(zip(doubt, tagger().tag_texts([encode(folded[i]) for i in doubt], leans=(STRICT,))[0])) if doubt else {}
-    return [resolve(f, t, u, known, strict.get(i)) if t.any() or u.any() else [] for i, (f, t, u) in enumerate(zip(folded, plain, leaning))]
+@F.pandas_udf(StringType())
+def _folded_words(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: None if t is None else " ".join(sorted(set(_WORD.findall(lowered(fold_text(t)))))))
+
+
+def _with_known(df: DataFrame, id_col: str, text_col: str, lexicon: DataFrame | None, column: str = "name_part") -> tuple[DataFrame, frozenset[str] | None]:
+    """(id, text, parts) and the parts of the lexicon, folded; or, where it has more than MAX_KNOWN rows, each text's own parts in `parts`.
+
+    Rows of a null id are kept; rows of equal ids and texts share their parts.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    none = rows.withColumn("parts", F.lit(None).cast("array<string>"))
+    if lexicon is None:
+        return none, frozenset()
+    named = lexicon.select(F.col(column).alias("part")).filter(F.col("part").isNotNull())
+    if named.limit(MAX_KNOWN + 1).count() <= MAX_KNOWN:
+        return none, frozenset(lowered(fold_text(r[0])) for r in named.collect())
+    keyed = rows.withColumn("key", F.xxhash64("text"))
+    words = keyed.filter(F.col("text").isNotNull()).select("key", F.explode(F.split(_folded_words("text"), " ")).alias("part")).distinct()
+    own = words.join(named.select(_folded_words("part").alias("part")).distinct(), "part", "left_semi").groupBy("key").agg(F.collect_set("part").alias("parts"))
+    return keyed.join(own, "key", "left").select("id", "text", "parts"), None
+
+
+def _sets(batch: pa.RecordBatch, known: frozenset[str] | None) -> frozenset[str] | list[frozenset[str]]:
+    return known if known is not None else [frozenset(p or ()) for p in batch.column(2).to_pylist()]
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -177,14 +199,14 @@ def _spread(df: DataFrame) -> DataFrame:
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon: DataFrame | None = None) -> DataFrame:
     """(id, kind, start_char, length): one row an occurrence, start_char 1-based in code points."""
-    known = known_parts(lexicon) if lexicon is not None else frozenset()
+    rows, known = _with_known(df, id_col, text_col, lexicon)
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 ids, kinds, starts, lengths = [], [], [], []
-                for key, found in zip(part.column(0).to_pylist(), spans(part.column(1).to_pylist(), known)):
+                for key, found in zip(part.column(0).to_pylist(), spans(part.column(1).to_pylist(), _sets(part, known))):
                     for kind, a, b in found:
                         ids.append(key)
                         kinds.append(kind)
@@ -192,20 +214,19 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon:
                         lengths.append(b - a)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, part.schema.field(0).type), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32())], ["id", "kind", "start_char", "length"])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    return _spread(rows).mapInArrow(tag, f"id {rows.schema['id'].dataType.simpleString()}, kind string, start_char int, length int")
+    return _spread(rows.filter(F.col("text").isNotNull())).mapInArrow(tag, f"id {rows.schema['id'].dataType.simpleString()}, kind string, start_char int, length int")
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexicon: DataFrame | None = None) -> DataFrame:
     """(id, text, replaced): each text with its spans replaced by placeholders, and their number; null texts stay null."""
-    known = known_parts(lexicon) if lexicon is not None else frozenset()
+    rows, known = _with_known(df, id_col, text_col, lexicon)
 
     def swap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts, out, counts = part.column(1).to_pylist(), [], []
-                for text, found in zip(texts, spans(texts, known)):
+                for text, found in zip(texts, spans(texts, _sets(part, known))):
                     counts.append(len(found))
                     if found:
                         bits, at = [], 0
@@ -216,5 +237,4 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lexico
                     out.append(text)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.string()), pa.array(counts, pa.int32())], ["id", "text", "replaced"])
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return _spread(rows).mapInArrow(swap, f"id {rows.schema['id'].dataType.simpleString()}, text string, replaced int")

@@ -61,15 +61,36 @@ NAME = re.compile(
     rf"(?<![\p{{L}}\p{{M}}\d_@.+-])(?:{_PART},\s+(?:{_PART}|{_I})(?:\s+{_I})?|(?:{_PART}|{_I})(?:\s+{_I}){{0,2}}\s+(?:{PARTICLE}\s+)?{_PART})(?![\p{{L}}\p{{M}}\d_@])",
     re.I,
 )
-# Titles, words that follow or join names, and words that end names of gear, rooms, ensembles and works.
+# Titles, and small words that join a name with what stands beside it.
 TITLES = set("mr mrs ms miss mx dr prof professor sir madam herr frau fräulein fraulein monsieur madame mademoiselle mme mlle sr sra srta señor señora senor senora don doña dona".split())
-BESIDE = set("and with by for who the play plays cut signed teaches holds owns took made said from about before und mit von et avec y con engineer words music vocals mixed recorded written thanks ask cc contact attn".split())
-NOT_PERSON = set(
-    "loft sixty mk twelve sixteen four compressor preamp deck echo rhodan verb drive quay yard room harbour harbor island weir foundry arcade basement gate hall almanac meridian pylons carousel hollow refrain static mechanics ministry "
-    "parade orchard sundial tigress trio quartet quintet ensemble orchestra choir band collective suite waltz mix road street lane avenue terrace studio studios records amp pedal organ synth reverb delay".split()
-)
+JOINING = set("and with by for from to the a an of at in on who was is ask cc contact attn dear hi hello thanks about before und mit von bei der die das et avec par de le la chez y con por para el".split())
+#: Words that open a sentence before a comma, and are then no family name before a given one.
+OPENERS = set("also still again then now here there however moreover besides yes no well so but and or today tomorrow yesterday otherwise instead meanwhile please sorry".split())
 _PHONE_NOT = re.compile(r"(?:serial|catalogue|cat\.|batch|order|invoice|ticket|matrix|ref|take|seed|preset|codes?|lengths?|checksums?|no\.|number\s+of|catalog|isrc|session|dBFS)[\s:#.=-]*(?:no\.?|number|nr\.?)?[\s:#=-]*$", re.I)
 PATTERNS = {"email": EMAIL, "phone": PHONE, "id_number": ID, "address": ADDRESS}
+#: Signs without which a form cannot match, looked for in small letters: a sign or word for "at"; six digits close together or a code with
+#: a digit; a house number with a word for streets, or such a word with a number.
+_EN_WORDS = STREET_EN[3:-1].lower()
+_SIGNS = {
+    "email": [r"@|&#64;|[(\[{<]\s?at\s?[)\]}>]|\sat\s+[\w-]+(?:\s+dot\s|\s?[(\[]dot)"],
+    "id_number": [r"\d(?:[ .-]{0,2}\d){5,}|\b(?=[a-z]*\d)[a-z0-9]{9,12}\b"],
+    "address": [
+        rf"(?<![\w#/.,-])\d{{1,5}}[ \t]?[a-z]?(?:[ \t]?[-/][ \t]?\d{{1,5}}[a-z]?)?,?[ \t]+(?:[^\W\d_][\w'’]*[ \t]+){{1,3}}?(?:{_EN_WORDS})\b",
+        rf"(?<![\w#/.,-])\d{{1,5}}(?:[ \t]?(?:bis|ter|quater|[a-d])\b)?,?[ \t]+{STREET_FR}",
+        rf"\b{STREET_ES}[^\n]{{1,90}}?\d",
+        rf"{STREET_DE}[ \t]+\d",
+        r"\b(?:am|an[ \t]+der|im|in[ \t]+der|auf[ \t]+dem|zum|zur|unter[ \t]+den)[ \t]+[\w'’]+[ \t]+\d",
+    ],
+}
+_SIGNS = {kind: [re.compile(p) for p in ps] for kind, ps in _SIGNS.items()}
+#: Characters around a sign in which its form lies.
+_SIGN_REACH = {"email": (72, 72), "id_number": (72, 24), "address": (64, 24)}
+
+
+def lowered(text: str) -> str:
+    """In small letters, of the same length."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
 def matches(kind: str, text: str, lo: int = 0, hi: int | None = None) -> list[tuple[int, int]]:
@@ -80,6 +101,8 @@ def matches(kind: str, text: str, lo: int = 0, hi: int | None = None) -> list[tu
     found = [*PATTERNS[kind].finditer(text, lo, hi), *(ID_BARE.finditer(text, lo, hi) if kind == "id_number" else ())]
     for m in found:
         start, end = m.span(group)
+        if kind == "id_number" and not any(c.isdigit() for c in text[start:end]):
+            continue
         if kind == "phone":
             if _PHONE_NOT.search(text[max(0, start - 24) : start]) or not 7 <= sum(c.isdigit() for c in text[start:end]) <= 15:
                 continue
@@ -89,6 +112,34 @@ def matches(kind: str, text: str, lo: int = 0, hi: int | None = None) -> list[tu
     return out
 
 
+def joined(parts: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted intervals, those that touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in parts:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def forms(text: str) -> list[tuple[int, int, int]]:
+    """(kind number, start, end) of the forms of all kinds but names in a whole text, tried around their signs."""
+    out = [(KINDS.index("phone"), a, b) for a, b in matches("phone", text)]
+    low = lowered(text)
+    for kind, signs in _SIGNS.items():
+        before, after = _SIGN_REACH[kind]
+        near = sorted((max(0, m.start() - before), m.end() + after) for sign in signs for m in sign.finditer(low))
+        for a, b in joined(near):
+            # not from within a word, nor to the middle of one
+            while a > 0 and not text[a - 1].isspace():
+                a -= 1
+            while b < len(text) and not text[b].isspace():
+                b += 1
+            out += [(KINDS.index(kind), x, y) for x, y in matches(kind, text, a, b)]
+    return out
+
+
 class Lexicon:
     """Known parts of names, folded to lower case. Bounded by the table, whose size the caller checks."""
 

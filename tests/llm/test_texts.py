@@ -139,6 +139,7 @@ def test_held_out_accuracy(tables, duck):
     lex = P.load_lexicon(duck.execute("select name_part, role from name_lexicon").fetchall())
     P.learn_endings(lex)
     texts = [r[0] for r in duck.execute("select text from documents where text is not null").fetchall()]
+    P.learn_ordinary(texts)
     want, got = set(), set()
     for n, (text, found) in enumerate(zip(texts, pii.spans(texts, frozenset(lex.given | lex.family)))):
         tags = P.label(crf_tagger.fold_text(text), lex)

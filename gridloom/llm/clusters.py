@@ -2,7 +2,7 @@
 
 A cluster feature is (n, linear sum, exemplar): unit vectors make the square sum equal n. Trees grow per partition, their
 leaves are summed up in a tree of merges whose size is bounded by the leaf limit, and the last merge's leaves are
-agglomerated by Ward's criterion on the driver (at most MAX_LEAVES of them, whatever the input).
+agglomerated by Ward's criterion on the driver. Their number is planned from the count of rows and grows with its root.
 
 Nulls: records without a usable vector or id belong to no cluster. Repeated records count once in links and sizes.
 An empty table gives empty results.
@@ -21,9 +21,12 @@ from pyspark.sql import Window as W
 from . import vectors as V
 from .graph import joined
 
-MAX_LEAVES, MIN_LEAVES = 4096, 256
-#: Leaves never grow beyond this mean square radius by a raised bound; then the smallest join their nearest.
-MAX_RADIUS2 = 0.25
+MIN_LEAVES = 256
+#: Leaves never grow beyond this mean square radius by a raised bound; then the smallest join their nearest, if the union stays within
+#: LOOSE_RADIUS2, or are set aside: records without a like. What is set aside has no say in the centres; its records are assigned like all others.
+MAX_RADIUS2, LOOSE_RADIUS2 = 0.25, 0.5
+#: Rows of the sample that parts of blocks are planned from.
+SAMPLE_ROWS = 20_000
 #: Leaves of one inner node of a tree, before the node is split.
 NODE_LEAVES = 64
 CF_SCHEMA = "pid int, n double, sums binary, ex_id bigint, ex_vec binary"
@@ -34,7 +37,7 @@ class CFTree:
 
     A row descends to the nearest node and is absorbed by the node's nearest leaf if the leaf's mean square radius stays
     within `radius2`; else it becomes a leaf. Beyond the leaf limit the bound is raised, to MAX_RADIUS2 at most, and the leaves are
-    entered anew; if that does not do, the smallest leaves join their nearest, so crowded leaves stay tight.
+    entered anew; if that does not do, the smallest leaves join their nearest or are set aside, so crowded leaves stay tight.
     """
 
     def __init__(self, limit: int, radius2: float = 0.06):
@@ -64,13 +67,15 @@ class CFTree:
                     self._squeeze()
 
     def _squeeze(self) -> None:
-        """The smallest leaves join their nearest, until seven eighths of the limit are left."""
+        """The smallest leaves join their nearest where both are alike, and are set aside elsewhere, until seven eighths of the limit are left."""
         keep = np.argsort(-self.n, kind="stable")[: max(1, self.limit * 7 // 8)]
         rest = np.setdiff1d(np.arange(len(self.n)), keep)
         to = (self._centres(self.n[rest], self.sums[rest]) @ self._centres(self.n[keep], self.sums[keep]).T).argmax(1)
         n, sums = self.n[keep].copy(), self.sums[keep].copy()
-        np.add.at(n, to, self.n[rest])
-        np.add.at(sums, to, self.sums[rest])
+        total, union = n[to] + self.n[rest], sums[to] + self.sums[rest]
+        alike = 1 - (union * union).sum(1) / (total * total) <= LOOSE_RADIUS2
+        np.add.at(n, to[alike], self.n[rest][alike])
+        np.add.at(sums, to[alike], self.sums[rest][alike])
         self.n, self.sums, self.ex_id, self.ex, self.node = n, sums, self.ex_id[keep], self.ex[keep], np.zeros(len(n), np.int32)
         self._split(0)
 
@@ -166,7 +171,7 @@ class CFTree:
 
 
 def leaf_limit(rows: int) -> int:
-    return int(min(MAX_LEAVES, max(MIN_LEAVES, rows // V.ROWS_PER_CELL)))
+    return int(max(MIN_LEAVES, min(rows // V.ROWS_PER_CELL, 4 * rows**0.5)))
 
 
 def leaves(df: DataFrame, id_col: str, limit: int, fan_in: int = 8) -> pa.Table:
@@ -220,11 +225,11 @@ def ward(n: np.ndarray, sums: np.ndarray, radius2: float) -> np.ndarray:
     sq = (c * c).sum(1)
 
     def costs(i: int, alive: np.ndarray) -> np.ndarray:
-        d2 = np.maximum(sq[i] + sq - 2 * (c @ c[i]), 0)
-        total = n + n[i]
-        cost = n * n[i] / total * d2
-        merged = (c * n[:, None] + c[i] * n[i]) / total[:, None]
-        cost[(1 - (merged * merged).sum(1) > radius2) | ~alive] = np.inf
+        dot, total = c @ c[i], n + n[i]
+        cost = n * n[i] / total * np.maximum(sq[i] + sq - 2 * dot, 0)
+        # squared length of the union's mean
+        merged = (n * n * sq + n[i] * n[i] * sq[i] + 2 * n * n[i] * dot) / (total * total)
+        cost[(1 - merged > radius2) | ~alive] = np.inf
         cost[i] = np.inf
         return cost
 
@@ -322,58 +327,88 @@ def describe(df: DataFrame, id_col: str, label_col: str, typical: int = 3, radiu
 def linked(df: DataFrame, id_col: str, floor: float = 0.90, least: int = 3, radius2: float = 0.1) -> DataFrame:
     """(cluster_id, id): what is reachable over links of a similarity of at least floor, in clusters of `least` records or more.
 
-    The clusters of the model are the blocks: a record goes to its nearest and to near-tied ones, records linked to a
-    block's exemplar are joined there at once, and only the others are compared with the whole block. Hot blocks are
-    salted: records linked to the exemplar are spread over the salts, the others go to each.
+    The clusters of the model are the blocks: a record goes to its nearest and to every near-tied one, records linked to a
+    block's exemplar are joined there at once, and only the others are compared with the whole block. A block beyond
+    vectors.PART_ROWS is cut into parts of linked records (cores) and of others (loose ones); a task compares one loose part with
+    one core part or with another loose one, so no task holds more than two parts and cores never meet cores.
     """
-    model = fit(df, id_col, radius2)
+    total = df.count()
+    model = Model(leaves(df, id_col, leaf_limit(total)), radius2)
     centres, ex_id, ex = model.centres, model.ex_id, model.ex
     ex_unit = V.unit(ex) if ex.any() else ex
-    salts = np.maximum(1, np.ceil(model.size / V.HOT_ROWS)).astype(np.int32)
     # a record linked to its block's exemplar is linked to one of another block only within twice the angle of the bound
     apart = 2 * floor * floor - 1 - 1e-6
 
-    def spread(ids, sides, x, y):
-        r, c, home = V.nearest_cells(y, centres, V.PROBES, V.MARGIN)
+    def blocks(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, block, whether it is linked to the exemplar beyond doubt)."""
+        r, c, home = V.near_cells(y, centres)
         at = np.empty(len(y), np.int64)
         at[r[home]] = c[home]
         within = (y * ex_unit[at]).sum(1) >= floor
         stay = home | ~within[r]
         stay[~stay] = (y[r[~stay]] * ex_unit[c[~stay]]).sum(1) >= apart
         r, c = r[stay], c[stay]
-        hot = salts[c] > 1
-        if not hot.any():
-            return r, c, np.zeros(len(r), np.int32)
-        # in a hot block, whatever is not linked to the exemplar meets every salt
-        core = np.zeros(len(r), bool)
-        core[hot] = (y[r[hot]] * ex_unit[c[hot]]).sum(1) >= floor
-        times = np.where(hot & ~core, salts[c], 1)
-        rr, cc = np.repeat(r, times), np.repeat(c, times)
-        within = np.arange(len(rr)) - np.repeat(np.cumsum(times) - times, times)
-        own = np.repeat(np.where(core, V.salt_of(ids[r], salts[c]), 0), times)
-        return rr, cc, np.where(np.repeat(times > 1, times), within, own).astype(np.int32)
+        return r, c, (y[r] * ex_unit[c]).sum(1) >= floor + 1e-5
+
+    sample = V.sample_vectors(df, id_col, SAMPLE_ROWS, total)
+    k = len(centres)
+    cores, loose = np.zeros(k, np.int64), np.ones(k, np.int64)
+    if len(sample):
+        _, c, core = blocks(V.unit(sample))
+        share = total / len(sample)
+        hot = np.bincount(c, minlength=k) * share > V.PART_ROWS
+        cores = np.where(hot, np.ceil(np.bincount(c[core], minlength=k) * share / V.PART_ROWS).astype(np.int64), 0)
+        loose = np.where(hot, V.parts_for(c[~core], k, share), 1)
+
+    def spread(ids, sides, x, y):
+        r, c, core = blocks(y)
+        core &= cores[c] > 0
+        own = V.salt_of(ids[r], np.where(core, cores[c], loose[c])).astype(np.int64)
+        # a core part meets every loose part: tasks core * loose + part
+        a = np.flatnonzero(core)
+        times = loose[c[a]]
+        at = np.repeat(a, times)
+        core_task = own[at] * np.repeat(times, times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+        # a loose part meets every core part, and every loose one in a task of their own
+        b = np.flatnonzero(~core)
+        times = cores[c[b]]
+        mixed = np.repeat(b, times)
+        mixed_task = (np.arange(len(mixed)) - np.repeat(np.cumsum(times) - times, times)) * loose[c[mixed]] + own[mixed]
+        pair, pair_task, pair_side = V.in_pairs(own[b], loose[c[b]])
+        pair = b[pair]
+        pair_task = pair_task + cores[c[pair]] * loose[c[pair]]
+        every = np.concatenate([at, mixed, pair])
+        side = np.concatenate([np.zeros(len(at), np.int8), np.ones(len(mixed), np.int8), pair_side])
+        return r[every], c[every], np.concatenate([core_task, mixed_task, pair_task]), side
 
     def block(key: tuple, table: pa.Table) -> pa.Table:
-        cell = key[0].as_py()
-        ids, _, x, y = V.group_rows(table)
+        cell, task = key[0].as_py(), key[1].as_py()
+        nc, nl = int(cores[cell]), int(loose[cell])
+        ids, sides, x, y = V.group_rows(table)
+        first = int((sides == 0).sum())
         ids, x, y = np.append(ids, ex_id[cell]), np.concatenate([x, ex[cell : cell + 1]]), np.concatenate([y, ex_unit[cell : cell + 1]])
-        n = len(ids)
-        core = np.zeros(n, bool)
-        for i, _j in V.links(y, y[-1:], x, x[-1:], floor):
-            core[i] = True
-        label = np.arange(n)
-        label[core] = np.flatnonzero(core)[0]
-        loose = np.flatnonzero(~core)
-        for a, b in V.links(y[loose], y, x[loose], x, floor):
-            label = V.join_labels(label, loose[a], b)
-        low = np.full(n, np.iinfo(np.int64).max)
+        label = np.arange(len(ids))
+        if task < nc * nl:  # cores (side 0) with a loose part: every core is linked to the exemplar
+            label[:first] = len(ids) - 1
+            pairs = ((first + a, b) for a, b in V.links(y[first:-1], y[:first], x[first:-1], x[:first], floor))
+        elif (task - nc * nl) % (nl + 1):  # two loose parts
+            pairs = ((a, first + b) for a, b in V.links(y[:first], y[first:], x[:first], x[first:], floor))
+        else:  # a part with itself, the exemplar's links first
+            near = [i for i, _ in V.links(y, y[-1:], x, x[-1:], floor)]
+            near = np.concatenate(near) if near else np.empty(0, np.int64)
+            label[near] = len(ids) - 1
+            rest = np.setdiff1d(np.arange(len(ids)), near)
+            pairs = ((rest[a], b) for a, b in V.links(y[rest], y, x[rest], x, floor))
+        for a, b in pairs:
+            label = V.join_labels(label, a, b)
+        low = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(low, label, ids)
         root = low[label]
         keep = root != ids
         return pa.table({"u": ids[keep], "v": root[keep]})
 
     rows = V.staged(df, id_col, spread)
-    edges = rows.groupBy("cell", "salt").applyInArrow(block, "u bigint, v bigint")
+    edges = rows.groupBy("cell", "task").applyInArrow(block, "u bigint, v bigint")
     found = joined(edges)
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     return found.join(sizes, "root").select(F.col("root").alias("cluster_id"), F.col("id"))

@@ -1,9 +1,11 @@
 """Most similar vectors for every vector: probed lists and an adaptive scan over blocks of rotated dimensions.
 
 Lists are cells of spherical k-means fitted on a bounded sample (vectors.PER_CELL rows a cell); centres that split one dense
-group are merged. Every row is indexed, in its best list and in near-tied ones, and two rows meet if they share a list. Inside a list vectors are rotated at random and
-read in blocks of dimensions; after each block a pair is abandoned when its partial distance, scaled up, exceeds the bound
-by more than the test allows. What is left is computed exactly in double precision.
+group are merged. Every row is indexed, in its best list and in every near-tied one, and two rows meet if they share a list.
+Lists beyond vectors.PART_ROWS are cut into parts, and a task compares two parts. Inside a task vectors are rotated at random
+and read in blocks of dimensions; after each block a pair is abandoned when its partial distance, scaled up, exceeds the bound
+by more than the test allows. The bound is that of the row's k-th best so far, or the floor's. What is left is computed
+exactly in double precision.
 
 Exact copies: only the k + 1 smallest ids of a group of copies are searched; the others take over the neighbours of the first,
 so a group of copies costs no more than its size. Nulls and unusable vectors have no neighbours.
@@ -11,7 +13,7 @@ so a group of copies costs no more than its size. Nulls and unusable vectors hav
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -38,35 +40,36 @@ def _allowed(d: int, bound2: np.ndarray | float):
     return bound2 * d / V.DIM * (1 + EPSILON * np.sqrt(2.0 / d * (1 - d / V.DIM)))
 
 
-#: Above this share of pairs left by the first block, whole blocks are cheaper than picked pairs.
-CROWDED = 0.03
+#: Above this share of pairs left in a tile, the next block is multiplied for the whole tile; below, for the pairs left.
+DENSE = 0.04
 
 
-def scan(z_a: np.ndarray, z_b: np.ndarray, own: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of a, row of b, similarity in single precision) of the pairs of rotated unit rows that were not abandoned.
+def scan(z_a: np.ndarray, z_b: np.ndarray, own: np.ndarray, bound2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, similarity in single precision) of the pairs of rotated unit rows that no test abandoned.
 
-    own is the number in b of each row of a, which is no pair. In a crowded tile all blocks are read, and a row's k-th best
-    abandons what is farther; elsewhere the pairs left after a block are read in the next one.
+    own is the number in b of each row of a, which is no pair, or less than 0. bound2 is the squared distance beyond which a row
+    wants nothing. Partial distances grow block by block, and every block's test abandons pairs.
     """
-    bound2 = 2 - 2 * floor
-    half_b = -0.5 * (z_b[:, :BLOCK] ** 2).sum(1)
-    first = np.concatenate([z_a[:, :BLOCK], np.ones((len(z_a), 1), np.float32)], 1) @ np.concatenate([z_b[:, :BLOCK], half_b[:, None]], 1).T
-    left = first >= (0.5 * (z_a[:, :BLOCK] ** 2).sum(1) - 0.5 * _allowed(BLOCK, bound2))[:, None]
-    left[np.arange(len(own)), own] = False
-    if np.count_nonzero(left) > CROWDED * left.size:
-        s = z_a @ z_b.T
-        s[np.arange(len(own)), own] = -2
-        n = s.shape[1]
-        kth = np.partition(s, n - k, axis=1)[:, n - k] if n > k else np.full(len(s), -2, np.float32)
-        i, j = np.nonzero(s >= (np.maximum(kth, floor) - 2e-6)[:, None])
-        return i, j, s[i, j]
+    rest = bound2[:, None]
+    part, d = None, 0
+    while d < V.DIM:
+        a, b = z_a[:, d : d + BLOCK], z_b[:, d : d + BLOCK]
+        step = a @ (-2 * b.T)
+        step += (a * a).sum(1)[:, None]
+        step += (b * b).sum(1)
+        part = step if part is None else np.add(part, step, out=part)
+        d += BLOCK
+        left = part <= (_allowed(d, rest) if d < V.DIM else rest + 4e-6)
+        if np.count_nonzero(left) <= DENSE * left.size:
+            break
+    has = np.flatnonzero(own >= 0)
+    left[has, own[has]] = False
     i, j = np.nonzero(left)
-    gap = z_a[i, :BLOCK] - z_b[j, :BLOCK]
-    part = (gap * gap).sum(1)
-    for d in range(BLOCK, V.DIM, BLOCK):
+    part = part[i, j]
+    for d in range(d, V.DIM, BLOCK):
         gap = z_a[i, d : d + BLOCK] - z_b[j, d : d + BLOCK]
         part = part + (gap * gap).sum(1)
-        keep = part <= (_allowed(d + BLOCK, bound2) if d + BLOCK < V.DIM else bound2 + 4e-6)
+        keep = part <= (_allowed(d + BLOCK, bound2[i]) if d + BLOCK < V.DIM else bound2[i] + 4e-6)
         i, j, part = i[keep], j[keep], part[keep]
     return i, j, 1 - part / 2
 
@@ -77,23 +80,35 @@ def _places(i: np.ndarray) -> np.ndarray:
     return np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
 
 
-def search(ids: np.ndarray, x: np.ndarray, y: np.ndarray, queries: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, other row, similarity) of the k nearest of each query row within one list; ties to the smaller id."""
+def search(ids: np.ndarray, x: np.ndarray, y: np.ndarray, queries: np.ndarray, among: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, other row, similarity) of the k nearest of each query row among the rows `among`; ties to the smaller id.
+
+    queries and among are ranges of row numbers, the same one or apart.
+    """
     z = y @ _ROTATION
     outs = []
-    for lo, hi in V.tiles(len(queries), len(ids), 2_000_000):
-        q = queries[lo:hi]
-        i, j, approx = scan(z[q], z, q, k, floor)
-        if not len(i):
+    for lo in range(0, len(queries), 1024):
+        q = queries[lo : lo + 1024]
+        best = np.full((len(q), k), floor - 4e-6, np.float32)  # the k best so far, in single precision
+        kept: list[tuple] = []
+        for at in range(0, len(among), 4096):
+            part = among[at : at + 4096]
+            own = q - part[0]
+            i, j, s = scan(z[q], z[part], np.where((own >= 0) & (own < len(part)), own, -1), 2 - 2 * best.min(1) + 8e-6)
+            if not len(i):
+                continue
+            kept.append((i, part[j], s))
+            order = np.lexsort((-s, i))
+            place = _places(i[order])
+            top = place < k
+            new = np.full((len(q), k), -2, np.float32)
+            new[i[order][top], place[top]] = s[order][top]
+            best = -np.partition(-np.concatenate([best, new], 1), k - 1, axis=1)[:, :k]
+        if not kept:
             continue
-        # the k-th best of each row, less what rounding may hide, before the exact computation
-        order = np.lexsort((-approx, i))
-        i, j, approx = i[order], j[order], approx[order]
-        kth = np.full(len(q), -2.0, np.float32)
-        at_k = _places(i) == k - 1
-        kth[i[at_k]] = approx[at_k]
-        keep = approx >= kth[i] - 4e-6
-        i, j = i[keep], j[keep]
+        i, j, s = (np.concatenate(c) for c in zip(*kept))
+        near = s >= best.min(1)[i] - 8e-6  # less what rounding may hide
+        i, j = i[near], j[near]
         exact = V.cosine(x[q[i]], x[j])
         good = exact >= floor
         i, j, exact = i[good], j[good], exact[good]
@@ -109,49 +124,58 @@ def search(ids: np.ndarray, x: np.ndarray, y: np.ndarray, queries: np.ndarray, k
 
 def copies(df: DataFrame, id_col: str, k: int) -> DataFrame:
     """(id, firsts): records beyond the k + 1 smallest ids of their group of exact copies, with the k smallest ids."""
+    rows = df.filter(F.col(id_col).isNotNull() & V.is_usable()).select(F.col(id_col).cast("bigint").alias("id"), V.vector_hash().alias("h"))
+    # a hot group is ranked in slices first: only the first of a slice can be among the first of all
+    slices = rows.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64))).groupBy("h", "slice").agg(F.collect_set("id").alias("ids"))
+    slices = slices.select("h", F.slice(F.sort_array("ids"), 1, k + 2).alias("ids"))
+    heads = slices.groupBy("h").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 2).alias("heads"))  # of 64 slices at most
+    heads = heads.filter(F.size("heads") > k + 1)
+    return rows.join(heads, "h").filter(F.col("id") > F.element_at("heads", k + 1)).select("id", F.slice("heads", 1, k).alias("firsts")).distinct()
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        for batch in batches:
-            rows, x = V.dense(batch.column("embedding"))
-            ids = batch.column(0).cast(pa.int64()).take(pa.array(rows))
-            x = x + np.float32(0)  # one zero
-            yield pa.RecordBatch.from_arrays([ids, pa.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in x], pa.uint64()).cast(pa.int64(), safe=False)], ["id", "h"])
-
-    rows = df.filter(F.col(id_col).isNotNull()).select(id_col, "embedding").mapInArrow(hashed, "id bigint, h bigint")
-    rows = rows.distinct()
-    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > k + 1)
-    first = rows.join(often, "h", "left_semi").withColumn("rank", F.row_number().over(W.partitionBy("h").orderBy("id"))).filter(F.col("rank") <= k + 1)
-    heads = first.groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("heads"))  # k + 1 at most
-    return rows.join(heads, "h").filter(F.col("id") > F.element_at("heads", k + 1)).select("id", F.slice("heads", 1, k).alias("firsts"))
+def _ranked(rows: DataFrame, k: int) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).filter(F.col("rank") <= k)
 
 
 def nearest(df: DataFrame, id_col: str, k: int = 5, floor: float = 0.90) -> DataFrame:
     """(id, other, similarity, rank): the k most similar other records of every record, of a similarity of at least floor."""
+    spark = df.sparkSession
     total = df.count()
-    sample = V.sample_vectors(df, id_col, V.PER_CELL * V.cells_for(total), total)
-    centres = V.merge_close(V.fit_cells(sample, V.cells_for(total)), sample, total)
-    beyond = copies(df, id_col, k).persist()
+    cells = V.cells_for(total)
+    sample = V.sample_vectors(df, id_col, V.PER_CELL * cells, total)
+    centres = V.merge_close(V.fit_cells(sample, cells), sample, total)
+    parts = V.parts_for(V.near_cells(V.unit(sample), centres)[1], len(centres), total / len(sample)) if len(sample) else np.ones(len(centres), np.int64)
+    base = f"{V.shared_dir(spark).rstrip('/')}/nearest-{uuid.uuid4().hex}"
+    copies(df, id_col, k).write.parquet(base + "/copies")
+    beyond = spark.read.parquet(base + "/copies")
     has_copies = bool(beyond.limit(1).count())
     source = df.join(beyond.select(F.col("id").alias(id_col)), id_col, "left_anti") if has_copies else df
 
     def spread(ids, sides, x, y):
-        r, c, _ = V.nearest_cells(y, centres, V.PROBES, V.MARGIN)
-        return r, c, np.zeros(len(r), np.int32)
-
-    def in_list(table: pa.Table) -> pa.Table:
-        ids, _, x, y = V.group_rows(table)
-        i, j, s = search(ids, x, y, np.arange(len(ids)), k, floor)
+        r, c, _ = V.near_cells(y, centres)
+        at, task, side = V.in_pairs(V.salt_of(ids[r], parts[c]).astype(np.int64), parts[c])
+        return r[at], c[at], task, side
+
+    def in_list(key: tuple, table: pa.Table) -> pa.Table:
+        n = int(parts[key[0].as_py()])
+        ids, sides, x, y = V.group_rows(table)
+        every, cut = np.arange(len(ids)), int((sides == 0).sum())
+        if key[1].as_py() % (n + 1) == 0:  # a part with itself
+            runs = [(every, every)]
+        else:
+            runs = [(every[:cut], every[cut:]), (every[cut:], every[:cut])]
+        found = [search(ids, x, y, a, b, k, floor) for a, b in runs if len(a) and len(b)]
+        i, j, s = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         return pa.table({"id": ids[i], "other": ids[j], "similarity": s})
 
-    pairs = V.staged(source, id_col, spread).groupBy("cell").applyInArrow(in_list, "id bigint, other bigint, similarity double")
-    best = pairs.distinct().withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).filter(F.col("rank") <= k)
+    pairs = V.staged(source, id_col, spread).groupBy("cell", "task").applyInArrow(in_list, "id bigint, other bigint, similarity double")
+    best = _ranked(pairs.distinct(), k)
     if not has_copies:
         return best
+    best.write.parquet(base + "/best")  # read twice below
+    best = spark.read.parquet(base + "/best")
     # a copy is as similar to everything as the first of its group, so its nearest are among that one and that one's nearest
     heads = beyond.select("id", F.element_at("firsts", 1).alias("head"))
     near = heads.join(best.select(F.col("id").alias("head"), "other", "similarity"), "head").select("id", "other", "similarity")
     near = near.unionByName(heads.select("id", F.col("head").alias("other"), F.lit(1.0).alias("similarity")))
-    same = near.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).filter(F.col("rank") <= k)
-    return best.unionByName(same)
+    return best.unionByName(_ranked(near, k))

@@ -56,7 +56,7 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from .varied import crowds
 
-    return crowds(_table(spark, d, "genre_embeddings"), "emb_id", 0.995, 8).select("group_id", F.col("id").alias("emb_id"))
+    return crowds(_table(spark, d, "genre_embeddings"), "emb_id", "genre", 0.995, 8).select("group_id", F.col("id").alias("emb_id"))
 
 
 def p4_subset(spark: SparkSession, d: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Choosing a varied subset: density from repeated locality-sensitive hash buckets, then a draw inversely weighted.
 
-Each record gets TABLES sign codes of BITS random hyperplanes. The counts of its buckets by the first DENSITY_BITS bits,
-averaged over the tables, estimate how crowded it is. The subset holds the records of smallest -ln(u) * density, a
-weighted sample without replacement of fixed size, after one record of each category was taken.
-
-Crowds (groups of near-identical records) come from cells around fitted centres. A record goes to its nearest centre's cell and
+Each record gets TABLES sign codes of random hyperplanes, of as many bits as the count of records asks for, so that a bucket
+holds about one record of no crowd at every size. The counts of its buckets, averaged over the tables, estimate how crowded it
+is. The subset holds the records of smallest -ln(u) * density, a weighted sample without replacement of fixed size, after one
+record of each category was taken. The key that parts the subset from the rest is found by histograms, so nothing is sorted
+in one task.
+
+Crowds (groups of near-identical records) are found with such a subset: it covers the variety of the data and holds few of any
+crowd, so it gives the centres of cells, a pivot record for each, and by its weights how many rows a cell will hold. A record goes to its nearest centre's cell and
 to every cell that one linked to it may be at home in: two linked records differ by a chord of known length at most, so one
 that is farther than that from the plane between two centres has no link beyond it. No link is lost whatever the centres are.
 A large cell is cut into parts, each compared with each; records linked to the cell's pivot are joined there and meet the others
@@ -27,7 +30,11 @@ from pyspark.sql import Window as W
 from . import vectors as V
 from .graph import components
 
-TABLES, BITS, DENSITY_BITS = 10, 44, 10
+TABLES, MAX_BITS = 6, 44
+#: A code that more than this part of all entries share is heavy: there are at most as many heavy codes, and their counts are broadcast.
+HEAVY_PART = 50_000
+#: Ranges of a histogram, and rows beyond which the range of the cut is divided again.
+BINS, FEW_ROWS = 1000, 10_000
 #: Rows that a cell is planned for, and rows of the sample that centres and part numbers are taken from, at least.
 CELL_ROWS, SAMPLE_ROWS = 2048, 20_000
 #: A cell expected to hold more rows than this is cut into parts of about so many; every part meets every other.
@@ -36,56 +43,44 @@ PART_ROWS = 16_384
 BROADCAST_PAIRS = 500_000
 
 
-def planes(seed: int = 31) -> np.ndarray:
-    return np.random.default_rng(seed).normal(size=(V.DIM, TABLES * BITS)).astype(np.float32)
+def planes(bits: int, seed: int = 31) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(V.DIM, TABLES * MAX_BITS)).reshape(V.DIM, TABLES, MAX_BITS)[:, :, :bits].reshape(V.DIM, -1).astype(np.float32)
 
 
-_WEIGHTS = (1 << np.arange(BITS, dtype=np.int64))
+def bits_for(rows: int) -> int:
+    """Bits of a code, such that there are about as many codes as rows."""
+    return int(min(MAX_BITS, max(6, np.ceil(np.log2(max(2, rows))))))
 
 
 def codes_of(y: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """(rows, TABLES) sign codes of unit vectors."""
-    out = np.empty((len(y), TABLES), np.int64)
+    """(rows, TABLES) sign codes of unit vectors, the number of the table in front."""
+    bits = p.shape[1] // TABLES
+    weights, out = 1 << np.arange(bits, dtype=np.int64), np.empty((len(y), TABLES), np.int64)
     for lo in range(0, len(y), 4096):
-        bits = (y[lo : lo + 4096] @ p > 0).reshape(-1, TABLES, BITS)
-        out[lo : lo + 4096] = bits @ _WEIGHTS
-    return out
+        out[lo : lo + 4096] = (y[lo : lo + 4096] @ p > 0).reshape(-1, TABLES, bits) @ weights
+    return out + (np.arange(TABLES, dtype=np.int64) << MAX_BITS)
 
 
-def _coded(df: DataFrame, id_col: str, category_col: str | None) -> DataFrame:
-    """(id, category, h, codes) of the usable records; h is a hash of the exact vector."""
-    p = planes()
+def _coded(df: DataFrame, id_col: str, category_col: str | None, bits: int) -> DataFrame:
+    """(id, category, codes) of the usable records."""
+    p = planes(bits)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             rows, x = V.dense(batch.column("embedding"))
             take = pa.array(rows)
-            x = x + np.float32(0)
-            h = pa.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in x], pa.uint64()).cast(pa.int64(), safe=False)
             c = codes_of(V.unit(x) if len(x) else x, p)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * TABLES), pa.array(c.ravel()))
-            cols, names = [batch.column(0).cast(pa.int64()).take(take), batch.column(1).take(take), h, lists], ["id", "category", "h", "codes"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(take), batch.column(1).take(take), lists], ["id", "category", "codes"])
 
     category = F.col(category_col).cast("string") if category_col else F.lit(None).cast("string")
     rows = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), category.alias("category"), "embedding")
-    return rows.mapInArrow(code, "id bigint, category string, h bigint, codes array<bigint>")
+    return rows.mapInArrow(code, "id bigint, category string, codes array<bigint>")
 
 
 def _hashed(df: DataFrame, id_col: str) -> DataFrame:
     """(id, h) of the usable records; h is a hash of the exact vector."""
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            rows, x = V.dense(batch.column("embedding"))
-            h = pa.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in x + np.float32(0)], pa.uint64()).cast(pa.int64(), safe=False)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), h], ["id", "h"])
-
-    return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), "embedding").mapInArrow(hashes, "id bigint, h bigint")
+    return df.filter(F.col(id_col).isNotNull() & V.is_usable()).select(F.col(id_col).cast("bigint").alias("id"), V.vector_hash().alias("h"))
 
 
 #: Unit vectors travel as 16-bit numbers; SLACK bounds what that changes of a similarity: 2 * sqrt(DIM) * half a step, and single precision.
@@ -118,32 +113,72 @@ def _vectors(df: DataFrame, id_col: str, exact: bool) -> DataFrame:
     return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), "embedding").mapInArrow(read, "id bigint, vec binary")
 
 
-def density(df: DataFrame, id_col: str, category_col: str) -> DataFrame:
+def density(df: DataFrame, id_col: str, category_col: str | None, total: int | None = None) -> DataFrame:
     """(id, category, density): mean count of the record's buckets over the tables."""
-    rows = _coded(df, id_col, category_col).select("id", "category", F.transform("codes", lambda c: c.bitwiseAND((1 << DENSITY_BITS) - 1).cast("int")).alias("codes"))
-    rows = rows.groupBy("id").agg(F.min(F.struct("category", "codes")).alias("r")).select("id", "r.category", "r.codes")
-    rows = rows.withColumn("codes", F.transform("codes", lambda c, t: t * (1 << DENSITY_BITS) + c))
-    # TABLES * 2 ** DENSITY_BITS buckets whatever the input, so their counts are one small row
-    buckets = TABLES << DENSITY_BITS
-    size = rows.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    every = df.sparkSession.range(buckets).select(F.col("id").cast("int").alias("code")).join(size, "code", "left")
-    array = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("code", F.coalesce("n", F.lit(0)).alias("n")))), lambda s: s["n"]).alias("sizes"))
-    counted = rows.crossJoin(F.broadcast(array))  # one row of bounded size
-    mean = F.aggregate("codes", F.lit(0).cast("bigint"), lambda a, c: a + F.get(F.col("sizes"), c)) / F.lit(float(TABLES))
-    return counted.select("id", "category", F.round(mean, 6).alias("density"))
-
-
-def subset(df: DataFrame, id_col: str, category_col: str, size: int, seed: int = 37) -> DataFrame:
-    """(id, category, density): a varied subset of the given size, or all records if there are no more."""
+    total = df.count() if total is None else total
+    rows = _coded(df, id_col, category_col, bits_for(total)).groupBy("id").agg(F.min(F.struct("category", "codes")).alias("r"))
+    rows = rows.select("id", "r.category", "r.codes")
+    entries = rows.select("id", "category", F.explode("codes").alias("code"))
+    counts = entries.groupBy("code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    bound = max(2, total * TABLES // HEAVY_PART)
+    # the counts of heavy codes are broadcast, so that no task gets a crowd's entries; the others' are joined
+    heavy = F.broadcast(counts.filter(F.col("n") > bound).select("code", F.col("n").alias("many")))
+    marked = entries.join(heavy, "code", "left")
+    key = F.when(F.col("many").isNull(), F.col("code")).otherwise(-F.col("id") - 1)  # a heavy one meets nothing in the join
+    joined = marked.withColumn("key", key).join(counts.filter(F.col("n") <= bound).select(F.col("code").alias("key"), "n"), "key", "left")
+    mean = F.sum(F.coalesce("many", "n", F.lit(1))) / F.lit(float(TABLES))
+    return joined.groupBy("id").agg(F.min("category").alias("category"), F.round(mean, 6).alias("density"))
+
+
+def cut(rows: DataFrame, key: str, size: int) -> tuple | None:
+    """The (key, id) of the row that is number `size` in the order of key and id, or None if there are no more than `size` rows."""
+    lo, hi, n = rows.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    if n <= size:
+        return None
+    inside, need = rows, size
+    while n > FEW_ROWS and lo < hi:
+        bins = inside.groupBy(F.least(F.floor((F.col(key) - lo) / (hi - lo) * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n"))
+        for b in sorted(bins.collect(), key=lambda b: b["bin"]):  # BINS rows at most
+            if need <= b["n"]:
+                break
+            need -= b["n"]
+        lo, hi, n = b["lo"], b["hi"], b["n"]
+        inside = rows.filter(F.col(key).between(lo, hi))
+    if n > FEW_ROWS and key != "id":  # equal keys: the ids decide
+        return lo, (cut(inside, "id", need) or inside.agg(F.lit(0), F.max("id")).first())[1]
+    last = inside.select(F.col(key).alias("k"), "id").orderBy("k", "id").limit(need).collect()[-1]  # FEW_ROWS rows at most
+    return last["k"], last["id"]
+
+
+def drawn(df: DataFrame, id_col: str, category_col: str | None, size: int, seed: int = 37) -> tuple[DataFrame, float | None]:
+    """(id, category, density) of the varied subset, and the key that its records stay within (None: all records are in it)."""
+    spark = df.sparkSession
+    path = V.shared_dir(spark).rstrip("/") + "/density-" + uuid.uuid4().hex
+    u = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    density(df, id_col, category_col).withColumn("key", -F.log(u) * F.col("density")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    bound = cut(rows, "key", size)
+    if bound is None:
+        return rows.select("id", "category", "density"), None
+    if category_col is None:
+        return rows.filter((F.col("key") < bound[0]) | ((F.col("key") == bound[0]) & (F.col("id") <= bound[1]))).select("id", "category", "density"), bound[0]
     from .quota import canonical_udf
 
-    rows = density(df, id_col, category_col)
-    u = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-    rows = rows.withColumn("key", -F.log(u) * F.col("density"))
     spelled = rows.groupBy("category").agg(F.min_by(F.struct("id", "key"), F.struct("key", "id")).alias("best")).withColumn("c", canonical_udf("category"))
     first = spelled.filter(F.col("c").isNotNull()).groupBy("c").agg(F.min_by("best.id", F.struct("best.key", "best.id")).alias("id"))
     marked = rows.join(first.select("id", F.lit(0).alias("late")), "id", "left").withColumn("late", F.coalesce("late", F.lit(1)))
-    return marked.orderBy("late", "key", "id").limit(size).select("id", "category", "density")
+    early = marked.filter("late = 0")
+    n = early.count()
+    group, left = (1, size - n) if n < size else (0, size)
+    bound = cut(marked.filter(F.col("late") == group), "key", left) if left else None
+    within = F.lit(True) if bound is None and left else F.lit(False) if bound is None else (F.col("key") < bound[0]) | ((F.col("key") == bound[0]) & (F.col("id") <= bound[1]))
+    chosen = marked.filter((F.col("late") < group) | ((F.col("late") == group) & within))
+    return chosen.select("id", "category", "density"), bound[0] if bound else None
+
+
+def subset(df: DataFrame, id_col: str, category_col: str | None, size: int, seed: int = 37) -> DataFrame:
+    """(id, category, density): a varied subset of the given size, or all records if there are no more."""
+    return drawn(df, id_col, category_col, size, seed)[0]
 
 
 class Cells:
@@ -152,11 +187,13 @@ class Cells:
     All of it decides costs alone: whatever the centres, pivots and part numbers are, every linked pair meets or has a common pivot.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, total: int, floor: float):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, total: int, floor: float, weight: np.ndarray | None = None):
+        """weight is how many rows of the table each row of the sample stands for, alike for all if not given."""
+        weight = np.full(len(x), total / max(1, len(x))) if weight is None else weight
         self.sure = floor + SLACK
         self.reach = (2 - 2 * floor) ** 0.5 + SLACK
         y = V.unit(x) if len(x) else x
-        c = V.fit_cells(x, int(min(V.MAX_CELLS, max(4, total // CELL_ROWS))))
+        c = V.fit_cells(x, V.cells_for(total, CELL_ROWS))
         home, best = self._home(y, c)
         rows = np.bincount(home, minlength=len(c))
         # centres that split one tight group are one: its rows would visit all of them
@@ -177,8 +214,8 @@ class Cells:
         self.pivot_id[home[first]], self.pivot[home[first]] = ids[first], y[first]
         r, to, _ = self.visits(y)
         core = (y[r] * self.pivot[to]).sum(1) >= self.sure
-        parts = [np.ceil(np.bincount(to[m], minlength=k) * (total / len(x)) / PART_ROWS).astype(np.int64) for m in (core, ~core)]
-        hot = np.bincount(to, minlength=k) * (total / len(x)) > PART_ROWS
+        parts = [np.ceil(np.bincount(to[m], weight[r[m]], minlength=k) / PART_ROWS).astype(np.int64) for m in (core, ~core)]
+        hot = np.bincount(to, weight[r], minlength=k) > PART_ROWS
         self.cores, self.loose = np.where(hot, parts[0], 0), np.where(hot, np.maximum(parts[1], 1), 1)
 
     @staticmethod
@@ -230,20 +267,24 @@ class Cells:
         return task < nc * nl and task % nl == 0
 
 
-def _cells(df: DataFrame, id_col: str, floor: float) -> Cells:
+def _cells(df: DataFrame, id_col: str, category_col: str | None, floor: float) -> Cells:
+    """Cells around a varied subset of the records, of a size that grows with the number of cells alone."""
     total = df.count()
-    most = max(SAMPLE_ROWS, V.PER_CELL * min(V.MAX_CELLS, total // CELL_ROWS))
-    chosen = df if total <= most else df.filter(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1_000_000)) < int(most / total * 1_000_000))
-    table = _vectors(chosen, id_col, True).toArrow()
-    return Cells(np.asarray(table.column("id")), V.unpack(table.column("vec")), total, floor)
+    chosen, bound = drawn(df, id_col, category_col, max(SAMPLE_ROWS, V.PER_CELL * V.cells_for(total, CELL_ROWS)))
+    table = _vectors(df, id_col, True).join(F.broadcast(chosen.select("id", "density")), "id").toArrow()  # the subset's size bounds both
+    ids, first = np.unique(np.asarray(table.column("id")), return_index=True)
+    thick = np.asarray(table.column("density"))[first]
+    # a record of density d is taken with the chance 1 - exp(-bound / d)
+    weight = np.ones(len(ids)) if bound is None else 1 / np.maximum(-np.expm1(-bound / thick), 1e-9)
+    return Cells(ids, V.unpack(table.column("vec"))[first], total, floor, weight)
 
 
-def crowds(df: DataFrame, id_col: str, floor: float = 0.995, least: int = 8) -> DataFrame:
+def crowds(df: DataFrame, id_col: str, category_col: str | None = None, floor: float = 0.995, least: int = 8) -> DataFrame:
     """(group_id, id): groups of `least` or more records linked by a similarity of at least floor; group_id is the smallest id."""
     rows = _hashed(df, id_col)
     heads = rows.groupBy("h").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
     same = rows.join(heads.filter("n > 1"), "h").filter("id != head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
-    cells = _cells(df, id_col, floor)
+    cells = _cells(df, id_col, category_col, floor)
     # one delivered twice is compared twice, to no effect
     vectors = _vectors(df, id_col, False).join(heads.select(F.col("head").alias("id")), "id", "left_semi").select("id", "vec")
 

@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 LAYERS, WIDTH = 4, 16
 DIM = LAYERS * WIDTH
-#: Rows that cells are fitted on: at most PER_CELL for each cell, and MAX_CELLS cells.
-PER_CELL, MAX_CELLS, ROWS_PER_CELL = 12, 8192, 192
-#: A record goes to its best cell and to at most PROBES - 1 others whose score is within MARGIN of the best.
-PROBES, MARGIN = 5, 0.11
-#: A cell expected to hold more rows than this is salted.
-HOT_ROWS = 20_000
-ROWS_SCHEMA = "cell int, salt int, id bigint, side tinyint, vec binary"
+#: Rows that cells are fitted on: PER_CELL for each cell. A cell is planned for ROWS_PER_CELL rows; beyond FEW_CELLS their number grows with the root of the rows.
+PER_CELL, FEW_CELLS, ROWS_PER_CELL = 12, 8192, 192
+#: A record goes to its best cell and to every other whose score is within MARGIN of the best.
+MARGIN = 0.07
+#: A cell expected to hold more rows than this is cut into parts; tasks compare two parts at a time.
+PART_ROWS = 32_768
+ROWS_SCHEMA = "cell int, task bigint, id bigint, side tinyint, vec binary"
 #: Similarities this near to a bound are computed again in double precision.
 _NEAR = 2e-6
 
@@ -104,9 +104,14 @@ def sample_vectors(df: DataFrame, id_col: str, at_most: int, total: int, seed: i
     return np.concatenate([unpack(c) for c in table.column(0).chunks] or [np.empty((0, DIM), np.float32)])[: 2 * at_most]
 
 
-def cells_for(rows: int) -> int:
-    """Cells for a collection of so many rows."""
-    return int(min(MAX_CELLS, max(4, rows // ROWS_PER_CELL)))
+def cells_for(rows: int, per_cell: int = ROWS_PER_CELL) -> int:
+    """Cells for a collection of so many rows; their centres are broadcast, 256 bytes each."""
+    return int(max(4, min(rows // per_cell, max(FEW_CELLS, 2 * rows**0.5))))
+
+
+def shares(y: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The best cell of each unit row."""
+    return np.concatenate([(y[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(y), 4096)] or [np.empty(0, np.int64)])
 
 
 def fit_cells(x: np.ndarray, cells: int, rounds: int = 5, seed: int = 3) -> np.ndarray:
@@ -128,65 +133,62 @@ def fit_cells(x: np.ndarray, cells: int, rounds: int = 5, seed: int = 3) -> np.n
     return np.ascontiguousarray(centres, np.float32)
 
 
-def merge_close(centres: np.ndarray, sample: np.ndarray, total: int, near: float = 0.9, most_rows: int = HOT_ROWS) -> np.ndarray:
+def merge_close(centres: np.ndarray, sample: np.ndarray, total: int, near: float = 0.9, most_rows: int = 1_000_000) -> np.ndarray:
     """Centres of which those that split one dense group are one again, while its cell is expected to hold most_rows at most.
 
-    A group that a sample gives several centres would else lie in several cells, and near neighbours in different ones.
+    A group that a sample gives several centres would else lie in several cells, and near neighbours in different ones. The
+    busiest centre takes the free ones around it, then the next busiest that is left: one vector of similarities at a time.
     """
     if len(centres) < 2 or not len(sample):
         return centres
     y = unit(sample)
-    home = np.concatenate([(y[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(y), 4096)])
+    home = shares(y, centres)
     rows = np.bincount(home, minlength=len(centres)) * (total / len(y))
     sums = np.zeros(centres.shape)
     np.add.at(sums, home, y)
-    owner = np.arange(len(centres))
-    i, j = np.nonzero(np.triu(centres @ centres.T >= near, 1))
-    for k in np.argsort(-(centres[i] * centres[j]).sum(1), kind="stable"):
-        a, b = i[k], j[k]
-        while owner[a] != a:
-            a = owner[a]
-        while owner[b] != b:
-            b = owner[b]
-        if a != b and rows[a] + rows[b] <= most_rows:
-            owner[b] = a
-            rows[a] += rows[b]
-            sums[a] += sums[b]
-    kept = np.flatnonzero(owner == np.arange(len(centres)))
-    norm = np.sqrt((sums[kept] ** 2).sum(1, keepdims=True))
-    return np.ascontiguousarray(np.where(norm > 0, sums[kept] / np.maximum(norm, 1e-12), centres[kept]), np.float32)
-
-
-def salts_for(centres: np.ndarray, sample: np.ndarray, total: int, hot_rows: int = HOT_ROWS) -> np.ndarray:
-    """Salts of each cell, from the share of a sample that it is home to."""
-    if not len(sample):
-        return np.ones(len(centres), np.int32)
-    y = unit(sample)
-    home = np.concatenate([(y[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(y), 4096)])
-    share = np.bincount(home, minlength=len(centres)) / len(y)
-    return np.maximum(1, np.ceil(share * total / hot_rows)).astype(np.int32)
-
-
-def nearest_cells(y: np.ndarray, centres: np.ndarray, probes: int, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, is home) for the cells each unit row goes to: at most probes, of scores within margin of its best."""
-    rows, cells, home = [], [], []
-    probes = min(probes, len(centres))
-    for lo in range(0, len(y), 4096):
-        s = y[lo : lo + 4096] @ centres.T
-        best = s.max(1)
+    owner = np.full(len(centres), -1)
+    for k in np.argsort(-rows, kind="stable"):
+        if owner[k] >= 0:
+            continue
+        owner[k] = k
+        s = centres @ centres[k]
+        free = np.flatnonzero((s >= near) & (owner < 0))
+        free = free[np.argsort(-s[free], kind="stable")]
+        owner[free[rows[k] + np.cumsum(rows[free]) <= most_rows]] = k
+    kept, label = np.unique(owner, return_inverse=True)
+    merged = np.zeros((len(kept), centres.shape[1]))
+    np.add.at(merged, label, sums)
+    norm = np.sqrt((merged**2).sum(1, keepdims=True))
+    return np.ascontiguousarray(np.where(norm > 0, merged / np.maximum(norm, 1e-12), centres[kept]), np.float32)
+
+
+def near_cells(y: np.ndarray, centres: np.ndarray, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, is home) for the cells each unit row goes to: all of scores within margin of its best."""
+    rows, cells, home = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+    for lo in range(0, len(y), 2048):
+        s = y[lo : lo + 2048] @ centres.T
         first = s.argmax(1)
-        r, c = np.nonzero(s >= (best - margin)[:, None])
-        n = np.bincount(r, minlength=len(s))
-        over = np.flatnonzero(n > probes)
-        if len(over):
-            keep = ~np.isin(r, over)
-            top = np.argpartition(-s[over], probes - 1, axis=1)[:, :probes]
-            r, c = np.concatenate([r[keep], np.repeat(over, probes)]), np.concatenate([c[keep], top.ravel()])
+        r, c = np.nonzero(s >= (s.max(1) - margin)[:, None])
         rows.append(r + lo)
         cells.append(c)
         home.append(c == first[r])
-    empty = np.empty(0, np.int64)
-    return np.concatenate(rows or [empty]), np.concatenate(cells or [empty]).astype(np.int32), np.concatenate(home or [empty.astype(bool)])
+    return np.concatenate(rows), np.concatenate(cells), np.concatenate(home)
+
+
+def parts_for(cells: np.ndarray, count: int, share: float, most: int | None = None) -> np.ndarray:
+    """Parts of each cell: cells has those that the rows of a sample go to, share is how much of the table a sample row stands for."""
+    return np.maximum(1, np.ceil(np.bincount(cells, minlength=count) * share / (most or PART_ROWS))).astype(np.int64)
+
+
+def in_pairs(own: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, task, side): a row of part `own` of `parts` goes to the task of every pair of parts that has its own.
+
+    The task of parts i <= j is i * parts + j; the rows of the smaller part are side 0, of the larger one side 1.
+    """
+    at = np.repeat(np.arange(len(own)), parts)
+    other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+    mine = own[at]
+    return at, np.minimum(mine, other) * parts[at] + np.maximum(mine, other), (mine > other).astype(np.int8)
 
 
 def tiles(n: int, m: int, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
@@ -228,7 +230,7 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def staged(df: DataFrame, id_col: str, spread: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple], side: str | None = None) -> DataFrame:
-    """Rows (cell, salt, id, side, vec) of the usable records. spread gets ids, sides, raw and unit vectors and returns row numbers, cells, salts."""
+    """Rows (cell, task, id, side, vec) of the usable records. spread gets ids, sides, raw and unit vectors and returns row numbers, cells, tasks, sides."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,22 +242,36 @@ def staged(df: DataFrame, id_col: str, spread: Callable[[np.ndarray, np.ndarray,
                 continue
             key = np.asarray(ids.fill_null(0))[rows]
             sides = np.asarray(batch.column("side").cast(pa.int8()).fill_null(0))[rows] if side else np.zeros(len(rows), np.int8)
-            r, c, s = spread(key, sides, x, unit(x))
+            r, c, t, sd = spread(key, sides, x, unit(x))
             for lo in range(0, len(r), 20_000):
                 part = slice(lo, lo + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(c[part].astype(np.int32)), pa.array(s[part].astype(np.int32)), pa.array(key[r[part]]), pa.array(sides[r[part]]), pack(x[r[part]])], ["cell", "salt", "id", "side", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[part].astype(np.int32)), pa.array(t[part].astype(np.int64)), pa.array(key[r[part]]), pa.array(sd[part].astype(np.int8)), pack(x[r[part]])], ["cell", "task", "id", "side", "vec"])
 
     columns = [F.col(id_col), F.col("embedding")] + ([F.expr(side).cast("tinyint").alias("side")] if side else [])
     return df.select(*columns).mapInArrow(emit, ROWS_SCHEMA)
 
 
 def group_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, sides, raw vectors and unit vectors of a group, each id once, in order of id."""
+    """ids, sides, raw vectors and unit vectors of a group, each id once, in order of side and id."""
     ids = np.asarray(table.column("id").combine_chunks())
-    ids, first = np.unique(ids, return_index=True)
-    x = np.concatenate([unpack(c) for c in table.column("vec").chunks] or [np.empty((0, DIM), np.float32)])[first]
-    sides = np.asarray(table.column("side").combine_chunks())[first]
-    return ids, sides, x, unit(x) if len(x) else x
+    sides = np.asarray(table.column("side").combine_chunks())
+    order = np.lexsort((ids, sides))
+    again = (ids[order][1:] == ids[order][:-1]) & (sides[order][1:] == sides[order][:-1])
+    order = order[np.concatenate([np.ones(min(1, len(order)), bool), ~again])]
+    x = np.concatenate([unpack(c) for c in table.column("vec").chunks] or [np.empty((0, DIM), np.float32)])[order]
+    return ids[order], sides[order], x, unit(x) if len(x) else x
+
+
+def vector_hash(column: str = "embedding") -> F.Column:
+    """A hash of the exact vector, in the engine: null layers and zeros of either sign count alike."""
+    return F.xxhash64(F.transform(F.flatten(F.col(column)), lambda v: F.when(v == 0, F.lit(0.0).cast("float")).otherwise(v)))
+
+
+def is_usable(column: str = "embedding") -> F.Column:
+    """The rule of `dense`, as an expression."""
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
+    whole = F.forall(F.col(column), lambda r: (F.coalesce(F.size(r), F.lit(-1)) == WIDTH) & F.forall(r, finite))
+    return F.coalesce((F.size(column) == LAYERS) & whole & F.exists(F.col(column), lambda r: F.exists(r, lambda v: v != 0)), F.lit(False))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -263,6 +279,8 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not known:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         known = "file://" + tempfile.mkdtemp(prefix="gridloom-")

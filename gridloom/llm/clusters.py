@@ -42,6 +42,7 @@ class CFTree:
 
     def __init__(self, limit: int, radius2: float = 0.06):
         self.limit, self.radius2 = limit, radius2
+        self.aside = 0.0  # rows of leaves that were set aside
         self._clear()
 
     def _clear(self) -> None:
@@ -74,6 +75,7 @@ class CFTree:
         n, sums = self.n[keep].copy(), self.sums[keep].copy()
         total, union = n[to] + self.n[rest], sums[to] + self.sums[rest]
         alike = 1 - (union * union).sum(1) / (total * total) <= LOOSE_RADIUS2
+        self.aside += self.n[rest][~alike].sum()
         np.add.at(n, to[alike], self.n[rest][alike])
         np.add.at(sums, to[alike], self.sums[rest][alike])
         self.n, self.sums, self.ex_id, self.ex, self.node = n, sums, self.ex_id[keep], self.ex[keep], np.zeros(len(n), np.int32)

@@ -29,6 +29,8 @@ GRAM, RUN = 5, 10
 MATCH, MISMATCH, GAP, AROUND = 2, -1, -1, 40
 #: Item grams are broadcast up to this many rows (12 bytes each); more are joined by a shuffle.
 BROADCAST_GRAMS = 2_000_000
+#: Ids of documents that share a seed are broadcast up to this many (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 _INLINE = re.compile(r"</?(?:b|i|u|s|em|strong|span|a|mark|small|big|sub|sup|font|code|tt|abbr|cite|q|del|ins|kbd|wbr)(?:\s[^<>]*)?/?>", re.I)
 _TAG = re.compile(r"<(?:/?[a-zA-Z][^<>]*|!--.*?--)>", re.S)
 _INVISIBLE = re.compile(r"[\p{Cf}͏︀-️]")
@@ -153,10 +155,15 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     ranked = wanted.join(often, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     windows = ranked.withColumn("first", F.min(F.struct("df", "at", "gram")).over(W.partitionBy("item").orderBy("at").rowsBetween(0, reach))).withColumn("last", F.max("at").over(W.partitionBy("item")))
     seeds = windows.filter(F.col("at") + reach <= F.col("last")).select("item", "first.gram").distinct()
-    pairs = hits.join(seeds, "gram").groupBy("id", "item").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    hits.join(seeds, "gram").groupBy("id", "item").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi")).write.parquet(base + "/pairs")
+    pairs = spark.read.parquet(base + "/pairs")
     # each text of the two sides once; the aligned part of a document is around its seeds
     with_item = pairs.join(items.select(F.col(item_id).cast("bigint").alias("item"), F.col(text_col).alias("item_text")).dropDuplicates(["item"]), "item")
-    both = with_item.join(docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text_col).alias("doc_text")), "id")
+    texts = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("id"), F.col(text_col).alias("doc_text"))
+    # texts that share no seed with an item are left at the scan, before any text is shuffled
+    few = pairs.select("id").distinct()
+    texts = texts.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, "id", "left_semi")
+    both = with_item.join(texts, "id")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, np.ndarray] = {}
@@ -178,7 +185,8 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
 
 def found(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id): documents with at least RUN consecutive words of the item."""
-    return leaks(docs, items).filter(F.col("run") >= RUN).select("doc_id", "item_id").distinct()
+    # the alignment's score finds them, the run of equal words checks them: RUN words in a row score MATCH each
+    return leaks(docs, items).filter(F.col("score") >= MATCH * RUN).filter(F.col("run") >= RUN).select("doc_id", "item_id").distinct()
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, least_score: int = 2 * RUN) -> DataFrame:

@@ -12,12 +12,16 @@ or source are not used; an empty text has size 0. Repeated rows of one doc_id co
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Hash ranges of a source.
-RANGES = 1024
+from .vectors import shared_dir
+
+#: Documents of a hash range, about.
+RANGE_ROWS = 20_000
 _TOKEN = r"(?U)\p{L}+|\p{Nd}+|[^\s\p{L}\p{Nd}]"
 
 
@@ -60,21 +64,30 @@ def rates(targets: DataFrame, per_source: DataFrame) -> DataFrame:
     return rows.select("plan_id", "source", "key", "target_share", "max_repeats", size.alias("size"), wanted.alias("wanted"), rate.alias("rate"), "t")
 
 
-def unreachable(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """(plan_id, source): targets that max_repeats copies of every text of the source do not reach."""
-    return rates(targets, totals(sized(docs))).filter(F.col("wanted") > F.col("max_repeats") * F.col("size")).select("plan_id", "source")
+def unreachable(docs: DataFrame, targets: DataFrame, seed: int = 43, tokenizer: str | None = None) -> DataFrame:
+    """(plan_id, source): targets that the mixture misses although it uses every text of the source as often as it may."""
+    rows = shares(docs, targets, seed, tokenizer)
+    return rows.filter((F.col("tokens") < F.col("wanted")) & (F.col("tokens") >= F.col("max_repeats") * F.col("size"))).select("plan_id", "source")
 
 
 def mixture(docs: DataFrame, targets: DataFrame, seed: int = 43, tokenizer: str | None = None) -> DataFrame:
     """(plan_id, source, doc_id, size, copies): the documents of each plan's mixture, copies of 1 or more."""
-    rows = sized(docs, tokenizer)
+    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/mixture-{uuid.uuid4().hex}"
+    sized(docs, tokenizer).withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)  # sizes are counted once
+    return _drawn(rows, targets, seed)
+
+
+def _drawn(rows: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     plan = rates(targets, totals(rows)).filter("rate > 0").select("plan_id", "key", "rate", F.col("source").alias("named"))
-    keyed = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("range", F.pmod(F.shiftright("h", 20), F.lit(RANGES)))
+    ranges = max(16, rows.count() // RANGE_ROWS)
+    keyed = rows.withColumn("range", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint") * ranges / F.lit(1 << 32)))
     n = keyed.groupBy("source", "range").agg(F.count(F.lit(1)).alias("n"))
     before = n.select("source", "range", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(W.partitionBy("source", "range").orderBy("h", "doc_id"))
+    place = F.row_number().over(W.partitionBy("source", "range").orderBy("h", "doc_id", "size"))
     placed = keyed.withColumn("place", place).join(before, ["source", "range"]).withColumn("k", F.col("before") + F.col("place") - 1)
-    offset = F.pmod(F.xxhash64(F.lit(seed), "plan_id", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col("plan_id").cast("string"), F.lit(":"), F.col("key")))
+    offset = F.conv(F.substring(draw, 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
     joined = placed.join(plan.withColumn("offset", offset), placed["source"] == plan["key"])
     # rounding keeps a sum that is an integer up to rounding errors on one side for both of its neighbours
     upto = lambda k: F.floor(F.round(k * F.col("rate") + F.col("offset"), 9))
@@ -82,10 +95,13 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 43, tokenizer: str
     return joined.withColumn("copies", copies).filter("copies > 0").select("plan_id", F.col("named").alias("source"), "doc_id", "size", "copies")
 
 
-def shares(docs: DataFrame, targets: DataFrame, seed: int = 43) -> DataFrame:
-    """(plan_id, source, target_share, reached_share, documents, tokens): what the mixture reaches of each target."""
-    per_source = totals(sized(docs))
-    got = mixture(docs, targets, seed).groupBy("plan_id", "source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("size") * F.col("copies")).alias("tokens"))
-    rows = rates(targets, per_source).join(got, ["plan_id", "source"], "left")
+def shares(docs: DataFrame, targets: DataFrame, seed: int = 43, tokenizer: str | None = None) -> DataFrame:
+    """(plan_id, source, target_share, max_repeats, size, wanted, reached_share, documents, tokens): what the mixture reaches of each target."""
+    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/shares-{uuid.uuid4().hex}"
+    sized(docs, tokenizer).withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    got = _drawn(rows, targets, seed).groupBy(F.col("plan_id").alias("p"), F.col("source").alias("s")).agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("size") * F.col("copies")).alias("tokens"))
+    plan = rates(targets, totals(rows))
+    both = plan.join(got, (F.col("plan_id") == F.col("p")) & (F.col("source") == F.col("s")), "left")
     tokens = F.coalesce("tokens", F.lit(0))
-    return rows.select("plan_id", "source", "target_share", F.round(tokens / F.col("t"), 6).alias("reached_share"), F.coalesce("documents", F.lit(0)).alias("documents"), tokens.alias("tokens"))
+    return both.select("plan_id", "source", "target_share", "max_repeats", "size", F.round("wanted", 6).alias("wanted"), F.round(F.when(F.col("t") > 0, tokens / F.col("t")), 6).alias("reached_share"), F.coalesce("documents", F.lit(0)).alias("documents"), tokens.alias("tokens"))

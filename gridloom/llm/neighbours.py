@@ -25,6 +25,8 @@ from . import vectors as V
 
 #: Width of a block of dimensions and the significance of the test, in standard deviations of the partial distance.
 BLOCK, EPSILON = 16, 4.5
+#: Rows that a list is planned for, and how much less than its best score a further list of a row may have.
+LIST_ROWS, MARGIN = 192, 0.07
 
 
 def rotation(dim: int, seed: int = 29) -> np.ndarray:
@@ -141,10 +143,10 @@ def nearest(df: DataFrame, id_col: str, k: int = 5, floor: float = 0.90) -> Data
     """(id, other, similarity, rank): the k most similar other records of every record, of a similarity of at least floor."""
     spark = df.sparkSession
     total = df.count()
-    cells = V.cells_for(total)
+    cells = V.cells_for(total, LIST_ROWS)
     sample = V.sample_vectors(df, id_col, V.PER_CELL * cells, total)
     centres = V.merge_close(V.fit_cells(sample, cells), sample, total)
-    parts = V.parts_for(V.near_cells(V.unit(sample), centres)[1], len(centres), total / len(sample)) if len(sample) else np.ones(len(centres), np.int64)
+    parts = V.parts_for(V.near_cells(V.unit(sample), centres, MARGIN)[1], len(centres), total / len(sample)) if len(sample) else np.ones(len(centres), np.int64)
     base = f"{V.shared_dir(spark).rstrip('/')}/nearest-{uuid.uuid4().hex}"
     copies(df, id_col, k).write.parquet(base + "/copies")
     beyond = spark.read.parquet(base + "/copies")
@@ -152,7 +154,7 @@ def nearest(df: DataFrame, id_col: str, k: int = 5, floor: float = 0.90) -> Data
     source = df.join(beyond.select(F.col("id").alias(id_col)), id_col, "left_anti") if has_copies else df
 
     def spread(ids, sides, x, y):
-        r, c, _ = V.near_cells(y, centres)
+        r, c, _ = V.near_cells(y, centres, MARGIN)
         at, task, side = V.in_pairs(V.salt_of(ids[r], parts[c]).astype(np.int64), parts[c])
         return r[at], c[at], task, side
 

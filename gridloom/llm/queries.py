@@ -56,7 +56,7 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from .varied import crowds
 
-    return crowds(_table(spark, d, "genre_embeddings"), "emb_id", "genre", 0.995, 8).select("group_id", F.col("id").alias("emb_id"))
+    return crowds(_table(spark, d, "genre_embeddings"), "emb_id", 0.995, 8, "genre").select("group_id", F.col("id").alias("emb_id"))
 
 
 def p4_subset(spark: SparkSession, d: str) -> DataFrame:
@@ -124,16 +124,15 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p3_found, p3_sample, p3_report, p4_found, p4_subset, p5_found, p5_report, p6_found, p6_items, p7_found, p7_mixture, p7_shares, p8_found, p8_redacted)}
 
 # ---------------------------------------------------------------------------------------------------
-# SQL for what SQL expresses; the others are tested against brute force, an exact round trip or held-out accuracy.
+# SQL for what SQL expresses, brute force over all pairs included; the others are tested against brute force, an exact round trip or held-out accuracy.
 
 _CANON = "nullif(regexp_replace(strip_accents(lower(replace({0}, '&', ' and '))), '[^\\p{{L}}\\p{{N}}]', '', 'g'), '')"
+_USABLE = """len(embedding) = 4
+    AND len(list_filter(embedding, lambda r: len(r) = 16 AND len(list_filter(r, lambda v: isfinite(v))) = 16)) = 4
+    AND len(list_filter(flatten(embedding), lambda v: v <> 0)) > 0"""
 _WANTED = f"""
 WITH usable AS (
-  SELECT emb_id AS id, min(genre) AS spelled FROM genre_embeddings
-  WHERE emb_id IS NOT NULL AND genre IS NOT NULL AND len(embedding) = 4
-    AND len(list_filter(embedding, lambda r: len(r) = 16 AND len(list_filter(r, lambda v: isfinite(v))) = 16)) = 4
-    AND len(list_filter(flatten(embedding), lambda v: v <> 0)) > 0
-  GROUP BY emb_id),
+  SELECT emb_id AS id, min(genre) AS spelled FROM genre_embeddings WHERE emb_id IS NOT NULL AND genre IS NOT NULL AND {_USABLE} GROUP BY emb_id),
 have AS (SELECT {_CANON.format('spelled')} AS category, count(*) AS available FROM usable GROUP BY 1 HAVING category IS NOT NULL),
 size AS (SELECT coalesce(sum(available), 0) // 10 AS n FROM have),
 wanted AS (
@@ -142,13 +141,50 @@ wanted AS (
 """
 _SIZED = """
 WITH sized AS (
-  SELECT lower(trim(source)) AS source, len(regexp_extract_all(text, '\\p{L}+|\\p{Nd}+|[^\\s\\v\\x{85}\\p{Z}\\p{L}\\p{Nd}]')) AS size
+  SELECT doc_id, lower(trim(source)) AS source, len(regexp_extract_all(text, '\\p{L}+|\\p{Nd}+|[^\\s\\v\\x{85}\\p{Z}\\p{L}\\p{Nd}]')) AS size
   FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND trim(source) <> ''),
 per AS (SELECT source, sum(size) AS size FROM sized GROUP BY source),
 total AS (SELECT coalesce(sum(size), 0) // 2 AS t FROM per)
 """
+_MIXED = _SIZED + """,
+plan AS (
+  SELECT plan_id, m.source, lower(trim(m.source)) AS key, target_share, max_repeats, coalesce(size, 0) AS size, t, target_share * t AS wanted,
+    CASE WHEN size > 0 THEN least(target_share * t / size, max_repeats) ELSE 0 END AS rate,
+    CAST(('0x' || substr(md5('43:' || plan_id || ':' || lower(trim(m.source))), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS offs
+  FROM mix_targets m LEFT JOIN per ON lower(trim(m.source)) = per.source, total),
+placed AS (SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY md5('43:' || doc_id), doc_id) - 1 AS k FROM sized),
+drawn AS (
+  SELECT plan_id, p.source, doc_id, d.size, CAST(floor(round((k + 1) * rate + offs, 9)) - floor(round(k * rate + offs, 9)) AS BIGINT) AS copies
+  FROM placed d JOIN plan p ON d.source = p.key WHERE rate > 0),
+mixed AS (SELECT * FROM drawn WHERE copies > 0)
+"""
+#: The vectors of a table, one a record, with the numbers that its similarity needs.
+_VECTORS = """SELECT {1} AS id, any_value(CAST(flatten(embedding) AS DOUBLE[64])) AS v FROM {0} WHERE {1} IS NOT NULL AND """ + _USABLE + " GROUP BY 1"
+_LINKS = "SELECT a.id AS u, b.id AS v FROM vecs a JOIN vecs b ON a.id < b.id WHERE round(array_cosine_similarity(a.v, b.v), 9) >= {0}"
+
+
+def _grouped(table: str, key: str, floor: float, least: int, name: str) -> str:
+    """Groups reachable over links of all pairs."""
+    return f"""
+WITH RECURSIVE vecs AS MATERIALIZED ({_VECTORS.format(table, key)}),
+links AS MATERIALIZED ({_LINKS.format(floor)}),
+ways AS MATERIALIZED (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(id, root) AS (
+  SELECT DISTINCT u, u FROM ways
+  UNION
+  SELECT b.v, r.root FROM reach r JOIN ways b ON b.u = r.id WHERE r.root < b.v),
+rooted AS (SELECT id, min(root) AS root FROM reach GROUP BY id)
+SELECT root AS {name}, id AS {key} FROM rooted WHERE root IN (SELECT root FROM rooted GROUP BY root HAVING count(*) >= {least})"""
+
 
 SQL: dict[str, str] = {
+    "p1_found": _grouped("annotated_embeddings", "rec_id", 0.90, 3, "cluster_id"),
     "p3_found": _WANTED + "SELECT plan_id, genre FROM wanted LEFT JOIN have USING (category) WHERE wanted > coalesce(available, 0)",
+    "p4_found": _grouped("genre_embeddings", "emb_id", 0.995, 8, "group_id"),
     "p7_found": _SIZED + "SELECT plan_id, m.source FROM mix_targets m LEFT JOIN per ON lower(trim(m.source)) = per.source, total WHERE target_share * t > max_repeats * coalesce(size, 0)",
+    "p7_mixture": _MIXED + "SELECT plan_id, source, doc_id, size, copies FROM mixed",
+    "p7_shares": _MIXED + """
+SELECT p.plan_id, p.source, target_share, max_repeats, p.size, round(wanted, 6) AS wanted, round(coalesce(tokens, 0) / nullif(t, 0), 6) AS reached_share,
+       coalesce(documents, 0) AS documents, coalesce(tokens, 0) AS tokens
+FROM plan p LEFT JOIN (SELECT plan_id, source, count(*) AS documents, sum(size * copies) AS tokens FROM mixed GROUP BY ALL) g ON p.plan_id = g.plan_id AND p.source = g.source""",
 }

@@ -1,37 +1,34 @@
 """A sample whose categories match target shares, allocated top-down over a category tree and drawn at the leaves.
 
 Categories are equal when they differ only in letter case, blanks, punctuation, accents or `&` for `and`. A plan wants
-max(min_rows, ceil(target_share * sample size)) records of each category. What a category cannot supply goes to its
-siblings, then to its cousins, in proportion to their wishes and within what they have left.
+max(min_rows, ceil(target_share * sample size)) records of each category. The tree is a table (category, parent); without one, a
+category stands below the longest other one that its name ends with (`acid jazz` below `jazz`), else below the root. Quotas are
+set at the root and handed down: a node's quota is split among its children by what their subtrees want and have; what one
+cannot supply goes to its siblings, and what all of them cannot to their parent's siblings, whose children are cousins. At a
+leaf the records of lowest permuted dense rank are drawn.
 
 Rows with a null id, a null or blank category or no usable vector are not considered; a record delivered twice is one.
-An empty table gives a sample size of zero. Only counts per category, as many as the plan has rows, reach the driver.
+An empty table gives a sample size of zero. A plan is allocated in one task of its own, which holds its rows.
 """
 
 from __future__ import annotations
 
-import math
 import unicodedata
+import uuid
 
 import pandas as pd
+import pyarrow as pa
+import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .vectors import LAYERS, WIDTH
+from .vectors import is_usable as usable
+from .vectors import shared_dir
 
-# The tree over genres, parent by canonical genre; others stand directly below the root.
-PARENT = {
-    "rock": "guitar", "metal": "guitar", "shoegaze": "guitar",
-    "hiphop": "urban", "rhythmandblues": "urban",
-    "drumandbass": "electronic", "ambient": "electronic", "dub": "electronic", "glitch": "electronic", "lofi": "electronic",
-    "folk": "roots", "seashanty": "roots", "polka": "roots", "spectralpolka": "roots",
-    "forro": "latin", "musicallanera": "latin", "candombe": "latin",
-    "jazz": "concert", "classical": "concert",
-}
-#: A plan has at most this many rows; more are refused rather than collected.
-MAX_PLAN_ROWS = 100_000
+#: Records of a category that are ranked in one task, about.
+RANGE_ROWS = 20_000
 
 
 def canonical(text: str | None) -> str | None:
@@ -49,13 +46,6 @@ def canonical_udf(s: pd.Series) -> pd.Series:
     return s.map(known)
 
 
-def usable(column: str = "embedding") -> F.Column:
-    """The vector rule of vectors.dense, as an expression."""
-    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
-    whole = F.forall(F.col(column), lambda r: (F.coalesce(F.size(r), F.lit(-1)) == WIDTH) & F.forall(r, finite))
-    return F.coalesce((F.size(column) == LAYERS) & whole & F.exists(F.col(column), lambda r: F.exists(r, lambda v: v != 0)), F.lit(False))
-
-
 def considered(df: DataFrame, id_col: str, category_col: str) -> DataFrame:
     """(id, category), one row a record."""
     rows = df.filter(F.col(id_col).isNotNull() & F.col(category_col).isNotNull() & usable()).select(F.col(id_col).alias("id"), F.col(category_col).alias("spelled"))
@@ -82,67 +72,124 @@ def wishes(plan: DataFrame, available: DataFrame, fraction: int = 10) -> DataFra
     return joined.select("plan_id", "genre", "category", F.greatest(F.coalesce("min_rows", F.lit(0)).cast("bigint"), F.coalesce(share, F.lit(0))).alias("wanted"), F.coalesce("available", F.lit(0)).alias("available"), "sample_size")
 
 
-def spread_unmet(rows: list[dict], parent: dict[str, str] = PARENT) -> list[dict]:
-    """Adds `granted` to rows of one plan (category, wanted, available): top-down shares, unmet quota to siblings, then cousins."""
-    for r in rows:
-        r["granted"] = min(r["wanted"], r["available"])
-        r["unmet"] = r["wanted"] - r["granted"]
-
-    def give(group: list[dict], unmet: int) -> int:
-        while unmet > 0:
-            room = [r for r in group if r["available"] > r["granted"]]
-            if not room:
-                break
-            weight = sum(max(1, r["wanted"]) for r in room)
-            before = unmet
-            for r in sorted(room, key=lambda r: (-r["wanted"], r["category"] or "")):
-                more = min(unmet, r["available"] - r["granted"], max(1, math.floor(before * max(1, r["wanted"]) / weight)))
-                r["granted"] += more
+def words_tree(categories: list[tuple[str, str]]) -> dict[str, str]:
+    """Parent by canonical category of (category, spelling) pairs, from the words of the spellings; those without one are missing."""
+    words = {c: [w for w in (canonical(x) for x in re.split(r"[\s_\-]+", s or "")) if w] for c, s in categories if c}
+    out = {}
+    for c, own in words.items():
+        ends = [d for d in ("".join(own[k:]) for k in range(1, len(own))) if d in words and d != c]
+        if ends:
+            out[c] = max(ends, key=len)
+    return out
+
+
+def hand_down(rows: list[dict], parent: dict[str, str]) -> list[dict]:
+    """Adds `granted` and `unmet` to the rows of one plan (category, wanted, available). Quotas go from the root down the tree."""
+    children: dict[str, list[str]] = {}
+    at: dict[str, list[dict]] = {}
+    for k, r in enumerate(rows):
+        at.setdefault(r["category"] or f"?{k}", []).append(r)
+    known = set()
+    for c in at:  # a chain of parents that runs in a circle ends below the root
+        path = [c]
+        while path[-1] in parent and parent[path[-1]] not in path:
+            path.append(parent[path[-1]])
+        for low, high in zip(path, [*path[1:], ""]):
+            if low not in known:
+                known.add(low)
+                children.setdefault(high, []).append(low)
+
+    totals: dict[str, tuple[int, int]] = {}
+
+    def below(node: str) -> tuple[int, int]:
+        """What a subtree wants and has."""
+        if node not in totals:
+            parts = [below(c) for c in children.get(node, ())]
+            own = at.get(node, ())
+            # spellings of one category share its records
+            totals[node] = (sum(p[0] for p in parts) + sum(r["wanted"] for r in own), sum(p[1] for p in parts) + max([r["available"] for r in own], default=0))
+        return totals[node]
+
+    def split(wants: list[int], has: list[int], quota: int) -> list[int]:
+        """Shares of a quota: first what each wants and has, then what is unmet to those with room, by their wishes."""
+        got = [min(w, h) for w, h in zip(wants, has)]
+        while sum(got) > quota:  # less than all want: the largest give way
+            k = max(range(len(got)), key=lambda k: got[k])
+            got[k] -= sum(got) - quota if got[k] >= sum(got) - quota else got[k]
+        unmet = quota - sum(got)
+        while unmet > 0 and (room := [k for k in range(len(got)) if has[k] > got[k]]):
+            weight, before = sum(max(1, wants[k]) for k in room), unmet
+            for k in sorted(room, key=lambda k: -wants[k]):
+                more = min(unmet, has[k] - got[k], max(1, before * max(1, wants[k]) // weight))
+                got[k] += more
                 unmet -= more
-        return unmet
-
-    families: dict[str, list[dict]] = {}
+        return got
+
+    def allot(node: str, quota: int) -> None:
+        kids = children.get(node, [])
+        own = at.get(node, [])
+        mine = [max([r["available"] for r in own], default=0)] if own else []
+        shares = split([below(c)[0] for c in kids] + ([sum(r["wanted"] for r in own)] if own else []), [below(c)[1] for c in kids] + mine, quota)
+        for c, q in zip(kids, shares):
+            allot(c, q)
+        if own:
+            left = shares[-1]
+            for k, r in enumerate(own):
+                r["granted"] = left if k == len(own) - 1 else min(r["wanted"], left)
+                left -= r["granted"]
+
+    allot("", below("")[0])
     for r in rows:
-        families.setdefault(parent.get(r["category"] or "", ""), []).append(r)
-    left = 0
-    for family in families.values():
-        left += give(family, sum(r["unmet"] for r in family))
-    give(rows, left)
+        r["unmet"] = max(0, r["wanted"] - r["granted"])
     return rows
 
 
-def allocate(plan: DataFrame, available: DataFrame, fraction: int = 10) -> DataFrame:
-    """(plan_id, genre, category, wanted, available, granted, unmet), the report of a plan."""
-    wanted = wishes(plan, available, fraction)
-    rows = [r.asDict() for r in wanted.limit(MAX_PLAN_ROWS + 1).collect()]
-    if len(rows) > MAX_PLAN_ROWS:
-        raise ValueError(f"a plan may have {MAX_PLAN_ROWS} rows")
-    plans: dict = {}
-    for r in rows:
-        plans.setdefault(r["plan_id"], []).append(r)
-    out = [(r["plan_id"], r["genre"], r["category"], r["wanted"], r["available"], r["granted"], r["unmet"]) for p in plans.values() for r in spread_unmet(p)]
-    return plan.sparkSession.createDataFrame(out, "plan_id int, genre string, category string, wanted bigint, available bigint, granted bigint, unmet bigint")
+_REPORT = "plan_id int, genre string, category string, wanted bigint, available bigint, granted bigint, unmet bigint"
+
+
+def allocate(plan: DataFrame, available: DataFrame, fraction: int = 10, tree: DataFrame | None = None) -> DataFrame:
+    """(plan_id, genre, category, wanted, available, granted, unmet), the report of a plan. tree is a table (category, parent)."""
+    wanted = wishes(plan, available, fraction).select("plan_id", "genre", "category", "wanted", "available")
+    parents = None
+    if tree is not None:
+        edges = tree.select(canonical_udf("category").alias("category"), canonical_udf("parent").alias("parent")).filter("category is not null and parent is not null")
+        wanted = wanted.withColumn("parent", F.lit(None).cast("string")).unionByName(wanted.select("plan_id").distinct().crossJoin(edges).select("plan_id", F.lit(None).cast("string").alias("genre"), "category", F.lit(-1).cast("bigint").alias("wanted"), F.lit(0).cast("bigint").alias("available"), "parent"))  # the tree goes with each plan
+        parents = True
+
+    def of_plan(table: pa.Table) -> pa.Table:
+        every = sorted(table.to_pylist(), key=lambda r: (r["genre"] is None, r["genre"] or "", r["wanted"]))
+        rows = [r for r in every if r["wanted"] >= 0]
+        parent = {r["category"]: r["parent"] for r in every if r["wanted"] < 0} if parents else words_tree([(r["category"], r["genre"]) for r in rows])
+        return pa.Table.from_pylist([{k: r[k] for k in _SCHEMA.names} for r in hand_down(rows, parent)], _SCHEMA)
+
+    return wanted.groupBy("plan_id").applyInArrow(of_plan, _REPORT)
+
+
+_SCHEMA = pa.schema([("plan_id", pa.int32()), ("genre", pa.string()), ("category", pa.string()), ("wanted", pa.int64()), ("available", pa.int64()), ("granted", pa.int64()), ("unmet", pa.int64())])
 
 
-def draw(df: DataFrame, id_col: str, category_col: str, plan: DataFrame, fraction: int = 10, seed: int = 23) -> DataFrame:
+def draw(df: DataFrame, id_col: str, category_col: str, plan: DataFrame, fraction: int = 10, seed: int = 23, tree: DataFrame | None = None) -> DataFrame:
     """(plan_id, genre, id): for each plan and category the `granted` records of lowest permuted dense rank."""
-    rows = considered(df, id_col, category_col)
-    report = allocate(plan, counts(df, id_col, category_col), fraction).filter("granted > 0")
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/quota-{uuid.uuid4().hex}"
+    allocate(plan, counts(df, id_col, category_col), fraction, tree).write.parquet(path)
+    report = df.sparkSession.read.parquet(path).filter("granted > 0")
     most = report.groupBy("category").agg(F.max("granted").alias("most"))
-    key = F.xxhash64(F.lit(seed), F.col("id"))
-    # a hot category is ranked in slices first: only the lowest `most` of a slice can be among the lowest of all
-    sliced = rows.join(F.broadcast(most), "category").withColumn("key", key).withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64)))
-    first = sliced.withColumn("r", F.dense_rank().over(W.partitionBy("category", "slice").orderBy("key", "id"))).filter(F.col("r") <= F.col("most"))
-    # then a rank over all slices from their counts by key range, without one task for the category
-    bucket = F.shiftright(F.col("key"), 54)  # 1024 ranges of the key
-    parts = first.withColumn("bucket", bucket)
-    sizes = parts.groupBy("category", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(W.partitionBy("category").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
-    ranked = parts.join(before.select("category", "bucket", F.coalesce("before", F.lit(0)).alias("before")), ["category", "bucket"])
-    ranked = ranked.withColumn("rank", F.col("before") + F.dense_rank().over(W.partitionBy("category", "bucket").orderBy("key", "id")))
-    return ranked.join(F.broadcast(report.select("plan_id", "genre", "category", "granted")), "category").filter(F.col("rank") <= F.col("granted")).select("plan_id", "genre", "id")
-
-
-def shortfalls(df: DataFrame, id_col: str, category_col: str, plan: DataFrame, fraction: int = 10) -> DataFrame:
-    """(plan_id, genre): rows of the plan that want more records than there are."""
-    return allocate(plan, counts(df, id_col, category_col), fraction).filter("wanted > available").select("plan_id", "genre")
+    rows = considered(df, id_col, category_col).join(most, "category")
+    # the permutation is the order of a hash; ranges of it, as many as the count asks for, are ranked apart
+    ranges = max(16, df.count() // RANGE_ROWS)
+    keyed = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))))
+    keyed = keyed.withColumn("range", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint") * ranges / F.lit(1 << 32)))
+    sizes = keyed.groupBy("category", "range").agg(F.count(F.lit(1)).alias("n"), F.first("most").alias("most"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("category").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    # ranges beyond what is granted are left before anything is sorted
+    wanted = keyed.drop("most").join(before.filter("before < most").select("category", "range", "before"), ["category", "range"])
+    ranked = wanted.withColumn("rank", F.col("before") + F.dense_rank().over(W.partitionBy("category", "range").orderBy("key", "id")))
+    return ranked.join(report.select("plan_id", "genre", "category", "granted"), "category").filter(F.col("rank") <= F.col("granted")).select("plan_id", "genre", "id")
+
+
+def shortfalls(df: DataFrame, id_col: str, category_col: str, plan: DataFrame, fraction: int = 10, tree: DataFrame | None = None) -> DataFrame:
+    """(plan_id, genre): rows of the plan of which the sample holds fewer records than wanted."""
+    wanted = wishes(plan, counts(df, id_col, category_col), fraction).select("plan_id", "genre", "wanted")
+    got = draw(df, id_col, category_col, plan, fraction, tree=tree).groupBy(F.col("plan_id").alias("p"), F.col("genre").alias("g")).agg(F.count(F.lit(1)).alias("got"))
+    both = wanted.join(got, (F.col("plan_id") == F.col("p")) & F.col("genre").eqNullSafe(F.col("g")), "left")
+    return both.filter(F.col("wanted") > F.coalesce("got", F.lit(0))).select("plan_id", "genre")

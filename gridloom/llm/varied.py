@@ -279,7 +279,7 @@ def _cells(df: DataFrame, id_col: str, category_col: str | None, floor: float) -
     return Cells(ids, V.unpack(table.column("vec"))[first], total, floor, weight)
 
 
-def crowds(df: DataFrame, id_col: str, category_col: str | None = None, floor: float = 0.995, least: int = 8) -> DataFrame:
+def crowds(df: DataFrame, id_col: str, floor: float = 0.995, least: int = 8, category_col: str | None = None) -> DataFrame:
     """(group_id, id): groups of `least` or more records linked by a similarity of at least floor; group_id is the smallest id."""
     rows = _hashed(df, id_col)
     heads = rows.groupBy("h").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))

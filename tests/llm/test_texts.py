@@ -88,11 +88,27 @@ def test_sizes(spark):
 
 
 def test_quota_goes_to_relatives_first():
+    parent = {"rock": "guitar", "metal": "guitar", "jazz": "concert"}
     rows = [dict(category=c, wanted=w, available=a) for c, w, a in (("rock", 10, 4), ("metal", 5, 20), ("jazz", 5, 50))]
-    got = {r["category"]: r["granted"] for r in quota.spread_unmet(rows)}
-    assert got == {"rock": 4, "metal": 11, "jazz": 5}
-    poor = quota.spread_unmet([dict(category="a", wanted=5, available=0), dict(category="b", wanted=0, available=2)])
+    got = {r["category"]: (r["granted"], r["unmet"]) for r in quota.hand_down(rows, parent)}
+    assert got == {"rock": (4, 6), "metal": (11, 0), "jazz": (5, 0)}
+    rows = [dict(category=c, wanted=w, available=a) for c, w, a in (("rock", 10, 4), ("metal", 5, 6), ("jazz", 5, 50))]
+    assert {r["category"]: r["granted"] for r in quota.hand_down(rows, parent)} == {"rock": 4, "metal": 6, "jazz": 10}  # siblings are empty, so cousins
+    poor = quota.hand_down([dict(category="a", wanted=5, available=0), dict(category="b", wanted=0, available=2)], {})
     assert [r["granted"] for r in poor] == [0, 2]
+    ring = quota.hand_down([dict(category="a", wanted=1, available=1), dict(category="b", wanted=1, available=1)], {"a": "b", "b": "a"})
+    assert [r["granted"] for r in ring] == [1, 1]
+    assert quota.hand_down([], {}) == []
+
+
+def test_tree_from_words_and_from_a_table(spark):
+    assert quota.words_tree([("acidjazz", "Acid Jazz"), ("jazz", "jazz"), ("dub", "Dub")]) == {"acidjazz": "jazz"}
+    plan = spark.createDataFrame([(1, "Rock", 0.0, 10), (1, "Metal", 0.0, 5), (1, "Jazz", 0.0, 5)], "plan_id int, genre string, target_share double, min_rows int")
+    have = spark.createDataFrame([("rock", 4), ("metal", 20), ("jazz", 50)], "category string, available bigint")
+    tree = spark.createDataFrame([("rock", "guitar"), ("metal", "Guitar"), (None, "x")], "category string, parent string")
+    got = {r.genre: r.granted for r in quota.allocate(plan, have, tree=tree).collect()}
+    assert got == {"Rock": 4, "Metal": 11, "Jazz": 5}
+    assert quota.allocate(plan.limit(0), have).count() == 0
 
 
 def test_sample_holds_what_was_granted(spark, tables):
@@ -177,7 +193,7 @@ def test_gradients_are_those_of_the_loss():
 
 
 def test_names_in_small_letters_do_not_need_the_lexicon():
-    """Of names without a known part, the surroundings or the tagger's score decide, not the lexicon."""
+    """Of names without a known part, the surroundings decide, not the lexicon."""
     known = frozenset({"somebody"})
     tail = "Tempo 112, same as with tabla."
     for text, name in (
@@ -189,10 +205,19 @@ def test_names_in_small_letters_do_not_need_the_lexicon():
         at = text.index(name)
         begin = 1 + 2 * pii.KINDS.index("name")
         tags[at], tags[at + 1 : at + len(name)] = begin, begin + 1
-        assert ("name", at, at + len(name)) in pii.resolve(text, tags, np.zeros_like(tags), known)
+        assert ("name", at, at + len(name)) in pii.resolve(text, tags, [], known)
     words = "Neither bass clarinet nor\n> celesta settle before loose brass."
     tags = np.zeros(len(words), np.int64)
     at = words.index("celesta")
     tags[at], tags[at + 1 : at + len("celesta settle")] = begin, begin + 1
-    assert pii.resolve(words, tags, np.zeros_like(tags), known) == []
-    assert pii.resolve(words, tags, np.zeros_like(tags), known, tags) == [("name", at, at + len("celesta settle"))]
+    assert pii.resolve(words, tags, [], known) == []
+
+
+def test_large_lexicons_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the tape was played by nobody. jorolo vask came."), (2, None), (3, "")], "id bigint, text string")
+    lexicon = spark.createDataFrame([("Jorolo", "given"), ("Vask", "family"), (None, "given")], "name_part string, role string")
+    rows, known = pii._with_known(docs, "id", "text", lexicon)
+    assert known == frozenset({"jorolo", "vask"})
+    monkeypatch.setattr(pii, "MAX_KNOWN", 1)
+    rows, known = pii._with_known(docs, "id", "text", lexicon)
+    assert known is None and {r.id: set(r.parts or ()) for r in rows.collect()} == {1: {"jorolo", "vask"}, 2: set(), 3: set()}

@@ -77,7 +77,7 @@ def test_clusters_equal_brute_force(fixture):
 
 def test_hot_cells_are_salted_without_loss(fixture, monkeypatch):
     df, vecs = fixture
-    monkeypatch.setattr(V, "HOT_ROWS", 8)
+    monkeypatch.setattr(V, "PART_ROWS", 8)
     assert {tuple(r) for r in clusters.linked(df, "rec_id", 0.90, 3).collect()} == groups(vecs, 0.90, 3)
 
 
@@ -93,7 +93,11 @@ def test_trees_merge_and_stay_bounded():
     y = V.unit(g.normal(size=(3000, 64)).astype(np.float32))
     tree = clusters.CFTree(100)
     tree.add(np.ones(len(y)), y.astype(np.float64), np.arange(len(y)), y)
-    assert len(tree.n) <= 100 and tree.n.sum() == len(y) and np.allclose(tree.sums.sum(0), y.sum(0), atol=1e-3)
+    assert len(tree.n) <= 100 and tree.n.sum() + tree.aside == len(y)
+    crowd = V.unit((y[0] + 0.1 * g.normal(size=(3000, 64))).astype(np.float32))
+    tree = clusters.CFTree(100)
+    tree.add(np.ones(len(crowd)), crowd.astype(np.float64), np.arange(len(crowd)), crowd)
+    assert tree.aside == 0 and tree.n.sum() == len(crowd) and np.allclose(tree.sums.sum(0), crowd.sum(0), atol=1e-3)
     labels = clusters.ward(np.ones(4), np.array([[1, 0], [0.99, 0.1], [-1, 0], [-0.99, 0.1]], float), 0.1)
     assert labels[0] == labels[1] != labels[2] == labels[3]
 
@@ -128,11 +132,41 @@ def test_scan_abandons_far_pairs_only():
     base = g.normal(size=(300, 64))
     y = V.unit(np.concatenate([base, base + 0.2 * g.normal(size=base.shape)]).astype(np.float32))
     z = y @ neighbours._ROTATION
-    i, j, _ = neighbours.scan(z, z, np.arange(len(z)), 5, 0.9)
+    i, j, _ = neighbours.scan(z, z, np.arange(len(z)), np.full(len(z), 0.2, np.float32))
     true = {(a, b) for a, b in zip(*np.nonzero(y @ y.T >= 0.9)) if a != b}
     assert len(true & set(zip(i.tolist(), j.tolist()))) >= 0.995 * len(true)
 
 
+def test_dense_group_of_many_parts(spark, monkeypatch):
+    """A group whose records are all near one another is one list, cut into parts that meet pair by pair; every block is tested in its tiles."""
+    g = np.random.default_rng(6)
+    c = g.normal(size=64)
+    x = np.float32(c / np.linalg.norm(c) + 0.035 * g.normal(size=(1500, 64)))
+    vecs = {i + 1: v for i, v in enumerate(x)}
+    want = brute_nearest(vecs, 5, 0.90)
+    for rows in (10**9, 400):
+        monkeypatch.setattr(V, "PART_ROWS", rows)
+        got = {(r.id, r.other) for r in neighbours.nearest(frame(spark, x), "rec_id", 5, 0.90).collect()}
+        assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_nearest_without_a_floor(spark):
+    x = np.float32(np.random.default_rng(9).normal(size=(40, 64)))
+    rows = neighbours.nearest(frame(spark, x), "rec_id", 3, -1.0).groupBy("id").count().collect()
+    assert all(r["count"] <= 3 for r in rows)
+
+
+def test_pairs_of_parts_meet_once():
+    own, parts = np.array([0, 1, 2, 2]), np.array([3, 3, 3, 3])
+    at, task, side = V.in_pairs(own, parts)
+    tasks = {}
+    for a, t, s in zip(at, task, side):
+        tasks.setdefault(t, []).append((int(a), int(s)))
+    for a in range(4):
+        for b in range(4):
+            assert sum((a in [x for x, _ in rows]) and (b in [x for x, _ in rows]) for t, rows in tasks.items() if t % 4 or a == b or own[a] == own[b]) >= 1
+
+
 def test_crowds_equal_brute_force(fixture, monkeypatch):
     df, vecs = fixture
     assert {tuple(r) for r in varied.crowds(df, "rec_id", 0.995, 8).collect()} == groups(vecs, 0.995, 8)
@@ -213,6 +247,27 @@ def test_subset_thins_crowds(fixture):
     assert varied.subset(df, "rec_id", "label", 10_000).count() == len(vecs)
 
 
+def test_subset_thins_a_crowd_among_many(spark):
+    """A crowd of 100 among 20 000: taken at a fifth of the uniform rate at most, as the codes have as many bits as the count asks for."""
+    g = np.random.default_rng(16)
+    c = g.normal(size=64)
+    x = np.float32(np.concatenate([c + 0.05 * g.normal(size=(100, 64)), g.normal(size=(19_900, 64))]))
+    df = frame(spark, x)
+    got = {r.id for r in varied.subset(df, "rec_id", None, 2000).collect()}
+    assert len(got) == 2000 and sum(i <= 100 for i in got) <= 2
+
+
+def test_cut_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(varied, "FEW_ROWS", 10)
+    g = np.random.default_rng(17)
+    keys = np.concatenate([g.exponential(size=400) ** 4, np.full(300, 0.5)])
+    df = spark.createDataFrame([(i, float(k)) for i, k in enumerate(keys)], "id bigint, key double")
+    order = sorted((float(k), i) for i, k in enumerate(keys))
+    for size in (1, 37, 350, 500, 699):
+        assert tuple(varied.cut(df, "key", size)) == order[size - 1]
+    assert varied.cut(df, "key", 700) is None
+
+
 def test_overlaps(fixture):
     df, vecs = fixture
     side = {0: 0, 1: 0, 2: 1, 3: 1, 4: None, 5: 1}

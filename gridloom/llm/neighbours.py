@@ -136,7 +136,8 @@ def copies(df: DataFrame, id_col: str, k: int) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, k: int) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).filter(F.col("rank") <= k)
+    """The k nearest of each id. A pair that met in several lists has one place, so one exchange by the id serves the ranks and the removal of repeats."""
+    return rows.withColumn("rank", F.dense_rank().over(W.partitionBy("id").orderBy(F.desc("similarity"), "other"))).filter(F.col("rank") <= k).distinct()
 
 
 def nearest(df: DataFrame, id_col: str, k: int = 5, floor: float = 0.90) -> DataFrame:
@@ -171,7 +172,7 @@ def nearest(df: DataFrame, id_col: str, k: int = 5, floor: float = 0.90) -> Data
         return pa.table({"id": ids[i], "other": ids[j], "similarity": s})
 
     pairs = V.staged(source, id_col, spread).groupBy("cell", "task").applyInArrow(in_list, "id bigint, other bigint, similarity double")
-    best = _ranked(pairs.distinct(), k)
+    best = _ranked(pairs, k)
     if not has_copies:
         return best
     best.write.parquet(base + "/best")  # read twice below

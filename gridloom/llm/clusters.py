@@ -10,6 +10,7 @@ An empty table gives empty results.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import Window as W
 
 from . import vectors as V
 from .graph import joined
+from .pairs import verified
 
 MIN_LEAVES = 256
 #: Leaves never grow beyond this mean square radius by a raised bound; then the smallest join their nearest, if the union stays within
@@ -350,7 +352,7 @@ def linked(df: DataFrame, id_col: str, floor: float = 0.90, least: int = 3, radi
         stay = home | ~within[r]
         stay[~stay] = (y[r[~stay]] * ex_unit[c[~stay]]).sum(1) >= apart
         r, c = r[stay], c[stay]
-        return r, c, (y[r] * ex_unit[c]).sum(1) >= floor + 1e-5
+        return r, c, (y[r] * ex_unit[c]).sum(1) >= floor + V.SLACK
 
     sample = V.sample_vectors(df, id_col, SAMPLE_ROWS, total)
     k = len(centres)
@@ -386,31 +388,43 @@ def linked(df: DataFrame, id_col: str, floor: float = 0.90, least: int = 3, radi
     def block(key: tuple, table: pa.Table) -> pa.Table:
         cell, task = key[0].as_py(), key[1].as_py()
         nc, nl = int(cores[cell]), int(loose[cell])
-        ids, sides, x, y = V.group_rows(table)
+        ids, sides, _, y = V.group_rows(table, short=True)
         first = int((sides == 0).sum())
-        ids, x, y = np.append(ids, ex_id[cell]), np.concatenate([x, ex[cell : cell + 1]]), np.concatenate([y, ex_unit[cell : cell + 1]])
+        ids, y = np.append(ids, ex_id[cell]), np.concatenate([y, ex_unit[cell : cell + 1]])
         label = np.arange(len(ids))
         if task < nc * nl:  # cores (side 0) with a loose part: every core is linked to the exemplar
             label[:first] = len(ids) - 1
-            pairs = ((first + a, b) for a, b in V.links(y[first:-1], y[:first], x[first:-1], x[:first], floor))
+            pairs = ((first + a, b, sure) for a, b, sure in V.rough_links(y[first:-1], y[:first], floor))
         elif (task - nc * nl) % (nl + 1):  # two loose parts
-            pairs = ((a, first + b) for a, b in V.links(y[:first], y[first:], x[:first], x[first:], floor))
+            pairs = ((a, first + b, sure) for a, b, sure in V.rough_links(y[:first], y[first:], floor))
         else:  # a part with itself, the exemplar's links first
-            near = [i for i, _ in V.links(y, y[-1:], x, x[-1:], floor)]
-            near = np.concatenate(near) if near else np.empty(0, np.int64)
+            near = np.flatnonzero(y @ y[-1] >= floor + V.SLACK)
             label[near] = len(ids) - 1
             rest = np.setdiff1d(np.arange(len(ids)), near)
-            pairs = ((rest[a], b) for a, b in V.links(y[rest], y, x[rest], x, floor))
-        for a, b in pairs:
-            label = V.join_labels(label, a, b)
+            pairs = ((rest[a], b, sure) for a, b, sure in V.rough_links(y[rest], y, floor))
+        open_a, open_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a, b, sure in pairs:
+            label = V.join_labels(label, a[sure], b[sure])
+            open_a.append(a[~sure])
+            open_b.append(b[~sure])
+        a, b = np.concatenate(open_a), np.concatenate(open_b)
+        between = (label[a] != label[b]) & (ids[a] != ids[b])
+        a, b = ids[a[between]], ids[b[between]]
         low = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(low, label, ids)
         root = low[label]
         keep = root != ids
-        return pa.table({"u": ids[keep], "v": root[keep]})
-
-    rows = V.staged(df, id_col, spread)
-    edges = rows.groupBy("cell", "task").applyInArrow(block, "u bigint, v bigint")
-    found = joined(edges)
+        u, v = np.concatenate([ids[keep], np.maximum(a, b)]), np.concatenate([root[keep], np.minimum(a, b)])
+        return pa.table({"u": u, "v": v, "sure": np.arange(len(u)) < keep.sum()})
+
+    # vectors travel in 16 bits; of pairs within rounding of the bound, those that would join two trees are computed exactly
+    spark = df.sparkSession
+    path = f"{V.shared_dir(spark).rstrip('/')}/linked-{uuid.uuid4().hex}"
+    V.staged(df, id_col, spread, short=True).groupBy("cell", "task").applyInArrow(block, "u bigint, v bigint, sure boolean").write.parquet(path)
+    every = spark.read.parquet(path)
+    open_ = every.filter("not sure").select("u", "v").distinct()
+    n = open_.count()
+    edges = every.filter("sure").select("u", "v")
+    found = joined(edges.unionByName(verified(df, id_col, open_, n, floor)) if n else edges)
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     return found.join(sizes, "root").select(F.col("root").alias("cluster_id"), F.col("id"))

@@ -29,6 +29,7 @@ from pyspark.sql import Window as W
 
 from . import vectors as V
 from .graph import components
+from .pairs import vectors_of, verified
 
 TABLES, MAX_BITS = 6, 44
 #: A code that more than this part of all entries share is heavy: there are at most as many heavy codes, and their counts are broadcast.
@@ -39,8 +40,6 @@ BINS, FEW_ROWS = 1000, 10_000
 CELL_ROWS, SAMPLE_ROWS = 2048, 20_000
 #: A cell expected to hold more rows than this is cut into parts of about so many; every part meets every other.
 PART_ROWS = 16_384
-#: Pairs in doubt are broadcast up to this many (16 bytes each).
-BROADCAST_PAIRS = 500_000
 
 
 def planes(bits: int, seed: int = 31) -> np.ndarray:
@@ -83,36 +82,6 @@ def _hashed(df: DataFrame, id_col: str) -> DataFrame:
     return df.filter(F.col(id_col).isNotNull() & V.is_usable()).select(F.col(id_col).cast("bigint").alias("id"), V.vector_hash().alias("h"))
 
 
-#: Unit vectors travel as 16-bit numbers; SLACK bounds what that changes of a similarity: 2 * sqrt(DIM) * half a step, and single precision.
-_SCALE = 32767
-SLACK = 2 * V.DIM**0.5 * 0.5 / _SCALE + 4e-6
-
-
-def _pack16(y: np.ndarray) -> pa.Array:
-    q = np.round(y * _SCALE).astype(np.int16)
-    offsets = np.arange(len(q) + 1, dtype=np.int32) * (q.shape[1] * 2)
-    return pa.Array.from_buffers(pa.binary(), len(q), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(q.tobytes())])
-
-
-def _unpack16(column: pa.Array) -> np.ndarray:
-    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
-    offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
-    return np.frombuffer(c.buffers()[2], np.int16, count=(offsets[-1] - offsets[0]) // 2, offset=int(offsets[0])).reshape(len(c), -1).astype(np.float32) / _SCALE
-
-
-def _vectors(df: DataFrame, id_col: str, exact: bool) -> DataFrame:
-    """(id, vec) of the usable records: the vector itself, or its unit vector in 16 bits."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, x = V.dense(batch.column("embedding"))
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), V.pack(x) if exact else _pack16(V.unit(x))], ["id", "vec"])
-
-    return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), "embedding").mapInArrow(read, "id bigint, vec binary")
-
-
 def density(df: DataFrame, id_col: str, category_col: str | None, total: int | None = None) -> DataFrame:
     """(id, category, density): mean count of the record's buckets over the tables."""
     total = df.count() if total is None else total
@@ -190,8 +159,8 @@ class Cells:
     def __init__(self, ids: np.ndarray, x: np.ndarray, total: int, floor: float, weight: np.ndarray | None = None):
         """weight is how many rows of the table each row of the sample stands for, alike for all if not given."""
         weight = np.full(len(x), total / max(1, len(x))) if weight is None else weight
-        self.sure = floor + SLACK
-        self.reach = (2 - 2 * floor) ** 0.5 + SLACK
+        self.sure = floor + V.SLACK
+        self.reach = (2 - 2 * floor) ** 0.5 + V.SLACK
         y = V.unit(x) if len(x) else x
         c = V.fit_cells(x, V.cells_for(total, CELL_ROWS))
         home, best = self._home(y, c)
@@ -271,7 +240,7 @@ def _cells(df: DataFrame, id_col: str, category_col: str | None, floor: float) -
     """Cells around a varied subset of the records, of a size that grows with the number of cells alone."""
     total = df.count()
     chosen, bound = drawn(df, id_col, category_col, max(SAMPLE_ROWS, V.PER_CELL * V.cells_for(total, CELL_ROWS)))
-    table = _vectors(df, id_col, True).join(F.broadcast(chosen.select("id", "density")), "id").toArrow()  # the subset's size bounds both
+    table = vectors_of(df, id_col, True).join(F.broadcast(chosen.select("id", "density")), "id").toArrow()  # the subset's size bounds both
     ids, first = np.unique(np.asarray(table.column("id")), return_index=True)
     thick = np.asarray(table.column("density"))[first]
     # a record of density d is taken with the chance 1 - exp(-bound / d)
@@ -286,14 +255,14 @@ def crowds(df: DataFrame, id_col: str, floor: float = 0.995, least: int = 8, cat
     same = rows.join(heads.filter("n > 1"), "h").filter("id != head").select(F.col("id").alias("u"), F.col("head").alias("v")).distinct()
     cells = _cells(df, id_col, category_col, floor)
     # one delivered twice is compared twice, to no effect
-    vectors = _vectors(df, id_col, False).join(heads.select(F.col("head").alias("id")), "id", "left_semi").select("id", "vec")
+    vectors = vectors_of(df, id_col, False).join(heads.select(F.col("head").alias("id")), "id", "left_semi").select("id", "vec")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = np.asarray(batch.column("id"))
-            r, c, task, side = cells.place(ids, _unpack16(batch.column("vec")))
+            r, c, task, side = cells.place(ids, V.unpack16(batch.column("vec")))
             for lo in range(0, len(r), 20_000):
                 part = slice(lo, lo + 20_000)
                 at = pa.array(r[part])
@@ -306,10 +275,10 @@ def crowds(df: DataFrame, id_col: str, floor: float = 0.995, least: int = 8, cat
         open_a, open_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for lo, hi in V.tiles(first, len(ids)):
             sim = y[lo:hi] @ y[start:].T
-            a, b = np.nonzero(sim >= floor - SLACK)
+            a, b = np.nonzero(sim >= floor - V.SLACK)
             up = a + lo < b + start
             a, b = a[up], b[up]
-            sure = sim[a, b] >= floor + SLACK
+            sure = sim[a, b] >= floor + V.SLACK
             label = V.join_labels(label, lo + a[sure], start + b[sure])
             open_a.append(lo + a[~sure])
             open_b.append(start + b[~sure])
@@ -324,7 +293,7 @@ def crowds(df: DataFrame, id_col: str, floor: float = 0.995, least: int = 8, cat
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         cell, task = key[0].as_py(), key[1].as_py()
         table = table.sort_by("side")
-        ids, y = np.asarray(table.column("id")), _unpack16(table.column("vec"))
+        ids, y = np.asarray(table.column("id")), V.unpack16(table.column("vec"))
         first = int((np.asarray(table.column("side")) == 0).sum())
         u, v, sure = bucket(ids, y, first, cells.within(cell, task))
         if cells.core_task(cell, task):
@@ -342,22 +311,7 @@ def crowds(df: DataFrame, id_col: str, floor: float = 0.995, least: int = 8, cat
     open_ = links.filter("not sure").select("u", "v")
     n = open_.count()
     if n:
-        edges = edges.unionByName(_verified(df, id_col, open_, n, floor))
+        edges = edges.unionByName(verified(df, id_col, open_, n, floor))
     found = components(edges)
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     return found.join(sizes, "root").select(F.col("root").alias("group_id"), F.col("id"))
-
-
-def _verified(df: DataFrame, id_col: str, pairs: DataFrame, n: int, floor: float) -> DataFrame:
-    """The pairs (u, v) that are linked, by their exact vectors. Few pairs are broadcast, more are joined by a shuffle."""
-    ends = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    vecs = _vectors(df, id_col, True).join(F.broadcast(ends) if n <= BROADCAST_PAIRS else ends, "id", "left_semi")
-    both = pairs.join(vecs.select(F.col("id").alias("u"), F.col("vec").alias("a")), "u").join(vecs.select(F.col("id").alias("v"), F.col("vec").alias("b")), "v")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keep = V.cosine(V.unpack(batch.column("a")), V.unpack(batch.column("b"))) >= floor
-                yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep))
-
-    return both.select("u", "v", "a", "b").mapInArrow(check, "u bigint, v bigint")

@@ -81,6 +81,24 @@ def pack(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(x.tobytes())])
 
 
+#: Unit vectors may travel as 16-bit numbers; SLACK bounds what that changes of a similarity: 2 * sqrt(DIM) * half a step, and single precision.
+_SCALE = 32767
+SLACK = 2 * DIM**0.5 * 0.5 / _SCALE + 4e-6
+
+
+def pack16(y: np.ndarray) -> pa.Array:
+    q = np.round(y * _SCALE).astype(np.int16)
+    offsets = np.arange(len(q) + 1, dtype=np.int32) * (q.shape[1] * 2)
+    return pa.Array.from_buffers(pa.binary(), len(q), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(q.tobytes())])
+
+
+def unpack16(column: pa.Array) -> np.ndarray:
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+    offsets = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+    return np.frombuffer(c.buffers()[2], np.int16, count=(offsets[-1] - offsets[0]) // 2, offset=int(offsets[0])).reshape(len(c), -1).astype(np.float32) / _SCALE
+
+
 def salt_of(ids: np.ndarray, salts: np.ndarray) -> np.ndarray:
     """A salt below salts for each id, spread evenly."""
     h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
@@ -211,6 +229,14 @@ def links(y_a: np.ndarray, y_b: np.ndarray, x_a: np.ndarray, x_b: np.ndarray, fl
         yield i + lo, j
 
 
+def rough_links(y_a: np.ndarray, y_b: np.ndarray, floor: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of short vectors that may be linked, tile by tile, and whether they are beyond doubt."""
+    for lo, hi in tiles(len(y_a), len(y_b)):
+        s = y_a[lo:hi] @ y_b.T
+        i, j = np.nonzero(s >= floor - SLACK)
+        yield i + lo, j, s[i, j] >= floor + SLACK
+
+
 def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels (each the number of a row) after rows a[i] and b[i] came together; the smallest number stays."""
     while len(a):
@@ -229,8 +255,11 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def staged(df: DataFrame, id_col: str, spread: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple], side: str | None = None) -> DataFrame:
-    """Rows (cell, task, id, side, vec) of the usable records. spread gets ids, sides, raw and unit vectors and returns row numbers, cells, tasks, sides."""
+def staged(df: DataFrame, id_col: str, spread: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple], side: str | None = None, short: bool = False) -> DataFrame:
+    """Rows (cell, task, id, side, vec) of the usable records. spread gets ids, sides, raw and unit vectors and returns row numbers, cells, tasks, sides.
+
+    Of short rows vec is the unit vector in 16 bits, else the vector itself.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,24 +271,25 @@ def staged(df: DataFrame, id_col: str, spread: Callable[[np.ndarray, np.ndarray,
                 continue
             key = np.asarray(ids.fill_null(0))[rows]
             sides = np.asarray(batch.column("side").cast(pa.int8()).fill_null(0))[rows] if side else np.zeros(len(rows), np.int8)
-            r, c, t, sd = spread(key, sides, x, unit(x))
+            y = unit(x)
+            r, c, t, sd = spread(key, sides, x, y)
             for lo in range(0, len(r), 20_000):
                 part = slice(lo, lo + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(c[part].astype(np.int32)), pa.array(t[part].astype(np.int64)), pa.array(key[r[part]]), pa.array(sd[part].astype(np.int8)), pack(x[r[part]])], ["cell", "task", "id", "side", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[part].astype(np.int32)), pa.array(t[part].astype(np.int64)), pa.array(key[r[part]]), pa.array(sd[part].astype(np.int8)), pack16(y[r[part]]) if short else pack(x[r[part]])], ["cell", "task", "id", "side", "vec"])
 
     columns = [F.col(id_col), F.col("embedding")] + ([F.expr(side).cast("tinyint").alias("side")] if side else [])
     return df.select(*columns).mapInArrow(emit, ROWS_SCHEMA)
 
 
-def group_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, sides, raw vectors and unit vectors of a group, each id once, in order of side and id."""
+def group_rows(table: pa.Table, short: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, sides, raw vectors and unit vectors of a group, each id once, in order of side and id. Short rows have unit vectors alone."""
     ids = np.asarray(table.column("id").combine_chunks())
     sides = np.asarray(table.column("side").combine_chunks())
     order = np.lexsort((ids, sides))
     again = (ids[order][1:] == ids[order][:-1]) & (sides[order][1:] == sides[order][:-1])
     order = order[np.concatenate([np.ones(min(1, len(order)), bool), ~again])]
-    x = np.concatenate([unpack(c) for c in table.column("vec").chunks] or [np.empty((0, DIM), np.float32)])[order]
-    return ids[order], sides[order], x, unit(x) if len(x) else x
+    x = np.concatenate([unpack16(c) if short else unpack(c) for c in table.column("vec").chunks] or [np.empty((0, DIM), np.float32)])[order]
+    return ids[order], sides[order], x, unit(x) if len(x) and not short else x
 
 
 def vector_hash(column: str = "embedding") -> F.Column:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from gridloom.llm import clusters, neighbours, overlap, varied
+from gridloom.llm import pairs as pairs_
 from gridloom.llm import vectors as V
 
 SCHEMA = "rec_id bigint, label string, filename string, embedding array<array<float>>, split string, source string, side string, cell int, vec string, id int"
@@ -192,7 +193,7 @@ def test_pairs_in_doubt_are_computed_exactly(spark):
     df = spark.createDataFrame([(i, layers(v)) for i, v in vecs.items()], "rec_id bigint, embedding array<array<float>>")
     pairs = spark.createDataFrame([(b, a) for a, b in [(1, i) for i in range(2, 11)] + [(11, i) for i in range(12, 21)]], "u bigint, v bigint")
     for n in (1, 10**9):
-        assert {tuple(sorted(r)) for r in varied._verified(df, "rec_id", pairs, n, 0.995).collect()} == {(1, i) for i in range(2, 11)}
+        assert {tuple(sorted(r)) for r in pairs_.verified(df, "rec_id", pairs, n, 0.995).collect()} == {(1, i) for i in range(2, 11)}
 
 
 def stars(g, centres, far, arms=7):

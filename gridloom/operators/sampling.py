@@ -128,47 +128,117 @@ def schedule(steps: int) -> list[float]:
     return [min(1.0, max(1e-10, math.cos((i + 1) / steps * math.pi / 2))) for i in range(steps)]
 
 
+#: Takes cells (keys, pos, step, unknown, ...) and adds `codes` and `logits`, the candidates of each unknown cell. It keeps all rows and columns.
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def hash_scorer(vocab: int, salt: str = "score") -> Scorer:
-    """A stand-in for a model: (clip_id, pos) to (clip_id, pos, k, p) of one candidate drawn by hash. Models plug in here."""
+def hash_scorer(vocab: int, keys: tuple[str, ...] = ("clip_id",), salt: str = "score") -> Scorer:
+    """A stand-in for a model: six candidates of each cell, their codes and logits cut from one hash of the cell and the step. Models plug in here."""
 
-    def score(masked: DataFrame) -> DataFrame:
-        k = F.floor(uniform(salt, "clip_id", "pos") * vocab).cast("int")
-        return masked.select("clip_id", "pos", k.alias("k"), (uniform(salt + "p", "clip_id", "pos") * 0.9 + 0.05).alias("p"))
+    def score(cells: DataFrame) -> DataFrame:
+        h = F.md5(F.concat_ws("|", F.lit(salt), *[F.col(c).cast("string") for c in (*keys, "pos", "step")]))
+        number = lambda at, n: F.conv(F.substring(F.col("__h"), at, n), 16, 10).cast("bigint")
+        rows = cells.withColumn("__h", F.when(F.col("unknown"), h)).withColumn("__k", number(1, 8))
+        codes = F.array(*[((F.col("__k") + 163 * j) % vocab).cast("int") for j in range(6)])
+        logits_ = F.array(*[number(9 + 4 * j, 4) * 6 / F.lit(65536.0) for j in range(6)])
+        return rows.withColumn("codes", F.when(F.col("unknown"), codes)).withColumn("logits", F.when(F.col("unknown"), logits_)).drop("__h", "__k")
 
     return score
 
 
-def generate(grid: DataFrame, scorer: Scorer, steps: int, token: int, conditioning: int = 0, temperature: float = 10.5, checkpoint: bool = True) -> DataFrame:
-    """The grid with its mask tokens filled in by so many rounds of scoring and re-masking of the least confident.
+def _cumulated(a: Column) -> Column:
+    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("c"))
+    return F.aggregate(a, start, lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["c"], F.array(acc["s"] + x)).alias("c")), lambda acc: acc["c"])
 
-    grid: (clip_id, codebook, t, code, codebooks). The first `conditioning` codebooks stay. Counts are per clip. Lineage is
-    cut after each round by checkpoint() in the shared folder, so plans do not grow with the rounds.
+
+def choose(rows: DataFrame, u: Column | None, temperature: float = 1.0, top_k: int | None = None, top_p: float | None = None) -> DataFrame:
+    """Adds k and p: one of the candidates `codes` by their `logits`, and its probability among those kept; u is a uniform, None takes the largest.
+
+    Top-k, then top-p (what stands before a candidate is within it), then the temperature. Equal logits stand in the order
+    of the array. Arrays are short, so all of it is one projection, without a row for each candidate and without an exchange.
+    """
+    order = F.array_sort(F.transform("logits", lambda x, j: F.struct((-x).alias("o"), j.alias("j"), F.get(F.col("codes"), j).alias("code"))))
+    rows = rows.withColumn("__a", F.slice(order, 1, top_k) if top_k else order)
+    heat = lambda t: F.transform("__a", lambda x: F.exp((F.get(F.col("__a"), F.lit(0))["o"] - x["o"]) / t))
+    if top_p is not None and top_p < 1:
+        rows = rows.withColumn("__c", _cumulated(heat(1.0)))
+        bound = F.element_at("__c", -1) * top_p
+        rows = rows.withColumn("__a", F.slice("__a", 1, 1 + F.size(F.filter(F.slice("__c", 1, F.greatest(F.size("__c") - 1, F.lit(0))), lambda c: c <= bound))))
+    rows = rows.withColumn("__c", _cumulated(heat(temperature if temperature > 0 else 1.0)))
+    total = F.element_at("__c", -1)
+    at = F.lit(0) if u is None else F.least(F.size(F.filter("__c", lambda c: c <= u * total)), F.size("__c") - 1)
+    rows = rows.withColumn("__i", at)
+    p = (F.get("__c", F.col("__i")) - F.coalesce(F.get("__c", F.col("__i") - 1), F.lit(0.0))) / total
+    return rows.withColumn("k", F.get("__a", F.col("__i"))["code"]).withColumn("p", p).drop("__a", "__c", "__i")
+
+
+def generate(
+    grid: DataFrame, scorer: Scorer, steps: int, token: int, conditioning: int = 0, temperature: float = 10.5, sampling_temperature: float = 1.0, top_k: int | None = None, top_p: float | None = None,
+    sample_cutoff: float = 1.0, keys: tuple[str, ...] = ("clip_id",), checkpoint: bool = True,
+) -> DataFrame:
+    """The grid with its mask tokens filled in by so many rounds of scoring, sampling and re-masking of the least confident.
+
+    grid: (keys, codebook, t, code, codebooks). The first `conditioning` codebooks stay. Counts are per group of keys. A round
+    draws while its share of all rounds is within sample_cutoff, then takes the largest. Confidence is ln p plus Gumbel noise
+    of a falling temperature; the bound below which cells are masked again comes from counts of narrow ranges of confidence, then
+    from the one range that holds it, so no group is one task. Lineage is cut once a round by checkpoint() in the shared folder.
     """
-    width = F.col("codebooks") - conditioning
-    free = grid.filter(F.col("codebook") >= conditioning).select("clip_id", "codebook", "t", (F.col("t") * width + F.col("codebook") - conditioning).alias("pos"), F.coalesce("code", F.lit(token)).alias("code"))
-    start = free.groupBy("clip_id").agg(F.count(F.when(F.col("code") == token, 1)).alias("n0"))
-    state = free.join(start, "clip_id")
+    width, group = F.col("codebooks") - conditioning, list(keys)
+    free = grid.filter(F.col("codebook") >= conditioning).select(*group, "codebook", "t", (F.col("t") * width + F.col("codebook") - conditioning).alias("pos"), F.coalesce("code", F.lit(token)).alias("code"))
+    start = free.groupBy(*group).agg(F.count(F.when(F.col("code") == token, 1)).alias("n0"))
+    state = free.join(start, group)
     for i in range(steps):
-        r = (i + 1) / steps
-        scored = scorer(state.filter(F.col("code") == token).select("clip_id", "pos").withColumn("step", F.lit(i)))
-        filled = state.join(scored, ["clip_id", "pos"], "left")
-        unknown = F.col("code") == token
-        filled = filled.join(state.groupBy("clip_id").agg(F.count(F.when(unknown, 1)).alias("left")), "clip_id")
-        n = F.floor(gamma(F.lit(r)) * F.col("n0")).cast("bigint")
-        if i != steps - 1:
-            n = F.greatest(F.lit(1), F.least(F.col("left") - 1, n))
-        rows = filled.withColumn("n", n).withColumn("p", F.when(unknown, F.col("p"))).withColumn("value", F.when(unknown, F.col("k")).otherwise(F.col("code")))
-        rows = remask(rows, F.col("n"), temperature * (1 - r), "clip_id", "pos", "p", f"remask{i}", spread=True)
-        last = i == steps - 1
-        code = F.col("value") if last else F.when(F.col("m") == 1, token).otherwise(F.col("value"))
-        state = rows.select("clip_id", "pos", "codebook", "t", code.cast("int").alias("code"), "n0")
-        if checkpoint and not last:
-            state = state.checkpoint()
-    kept = grid.filter(F.col("codebook") < conditioning).select("clip_id", "codebook", "t", "code")
-    return kept.unionByName(state.select("clip_id", "codebook", "t", "code"))
+        r, last = (i + 1) / steps, i == steps - 1
+        scored = scorer(state.withColumn("unknown", F.col("code") == token).withColumn("step", F.lit(i)))
+        drawn = uniform(f"draw{i}", *group, "pos") if i / steps <= sample_cutoff else None
+        rows = choose(scored, drawn, sampling_temperature, top_k, top_p).drop("codes", "logits", "step")
+        rows = rows.withColumn("value", F.when(F.col("unknown"), F.col("k")).otherwise(F.col("code")).cast("int"))
+        if last:
+            state = rows.withColumn("code", F.col("value"))
+            break
+        noise = gumbel(uniform(f"remask{i}", *group, "pos")) * (temperature * (1 - r))
+        rows = rows.withColumn("c", F.when(F.col("unknown"), F.log(F.greatest(F.col("p"), F.lit(1e-300))) + noise)).drop("k", "p").withColumn("range", F.floor(F.col("c") / _WIDTH))
+        rows = rows.checkpoint() if checkpoint else rows
+        sizes = rows.filter("unknown").groupBy(*group, "range").agg(F.count(F.lit(1)).alias("here"), F.max("n0").alias("n0"))
+        along = W.partitionBy(*group).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+        sizes = sizes.withColumn("before", F.coalesce(F.sum("here").over(along), F.lit(0))).withColumn("left", F.sum("here").over(W.partitionBy(*group)))
+        n = F.greatest(F.lit(1), F.least(F.col("left") - 1, F.floor(gamma(F.lit(r)) * F.col("n0"))))
+        edge = sizes.withColumn("n", n).filter("before <= n and n < before + here").select(*group, "range", (F.col("n") - F.col("before") + 1).alias("place"))
+        inside = rows.filter("unknown").select(*group, "range", "c", "pos").join(edge, [*group, "range"])
+        cut = inside.withColumn("r", F.row_number().over(W.partitionBy(*group).orderBy("c", "pos"))).filter("r = place").select(*group, F.col("c").alias("cut"))
+        again = F.col("unknown") & (F.col("cut").isNull() | (F.col("c") < F.col("cut")))
+        state = rows.join(cut, group, "left").select(*group, "codebook", "t", "pos", F.when(again, token).otherwise(F.col("value")).alias("code"), "n0")
+    kept = grid.filter(F.col("codebook") < conditioning).select(*group, "codebook", "t", "code")
+    return kept.unionByName(state.select(*group, "codebook", "t", "code"))
+
+
+def coarse_vamp(grid: DataFrame, mask: Column, gen_fn: Callable[[DataFrame], DataFrame], codebooks: int, token: int) -> tuple[DataFrame, DataFrame]:
+    """(the grid with its first codebooks generated anew under the mask, those codebooks as they were masked).
+
+    gen_fn takes and gives (clip_id, codebook, t, code, ...); the other codebooks are put back as they are.
+    """
+    masked = grid.filter(F.col("codebook") < codebooks).withColumn("code", F.when(mask == 1, token).otherwise(F.col("code"))).withColumn("codebooks", F.least("codebooks", F.lit(codebooks)))
+    made = gen_fn(masked).select("clip_id", "codebook", "t", "code")
+    return made.unionByName(grid.filter(F.col("codebook") >= codebooks).select("clip_id", "codebook", "t", "code")), masked.select("clip_id", "codebook", "t", "code")
+
+
+def coarse_to_fine(grid: DataFrame, scorer: Scorer, steps: int, length: int, codebooks: int, conditioning: int, token: int, **kwargs) -> DataFrame:
+    """(clip_id, codebook, t, code): the finer codebooks generated chunk by chunk, laid end to end and cut to the clip's steps.
+
+    A chunk is a group of its own, so chunks of an endless clip are generated side by side.
+    """
+    chunks = fine_chunks(grid, length, codebooks, conditioning, token).withColumnRenamed("step", "t").withColumn("codebooks", F.lit(codebooks))
+    made = generate(chunks.drop("m"), scorer, steps, token, conditioning, keys=("clip_id", "chunk"), **kwargs)
+    extent = grid.select("clip_id", "steps").distinct()
+    whole = made.select("clip_id", "codebook", (F.col("chunk") * length + F.col("t")).cast("int").alias("t"), "code")
+    return whole.join(extent, "clip_id").filter("t < steps").select("clip_id", "codebook", "t", "code")
+
+
+def one_step(grid: DataFrame, scorer: Scorer, token: int) -> DataFrame:
+    """(clip_id, codebook, t, code): every mask token replaced by its likeliest candidate at once."""
+    rows = grid.select("clip_id", "codebook", "t", (F.col("t") * F.col("codebooks") + F.col("codebook")).alias("pos"), F.coalesce("code", F.lit(token)).alias("code"))
+    rows = choose(scorer(rows.withColumn("unknown", F.col("code") == token).withColumn("step", F.lit(0))), None)
+    return rows.select("clip_id", "codebook", "t", F.when(F.col("unknown"), F.col("k")).otherwise(F.col("code")).cast("int").alias("code"))
 
 
 def fine_chunks(grid: DataFrame, length: int, codebooks: int, conditioning: int, token: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalar
@@ -86,15 +88,90 @@ def gamma_schedule(spark, d):
     return rows.select("step", F.round(g, 6).alias("share"), F.round(scalar.inverse_gamma(g), 6).alias("progress"), F.floor(g * 1000 + 1e-9).cast("bigint").alias("left_of_1000"), F.round((1 - r) * 10.5, 6).alias("temperature"), ((F.col("step") - 1) / F.lit(36.0) <= 0.5).alias("draws"))
 
 
-@query()
-def generate_3step(spark, d):
-    """Three rounds of filling in and re-masking of the cells that a mask hides; no mask token is left."""
+def _rounds(keys: str, steps: int, temperature: float, top_k: int, top_p: float, heat: float, cutoff: float) -> str:
+    """The rounds of generation in SQL: from the CTE s0(keys, codebook, t, pos, code) to the CTE s{steps}."""
+    out, group = [f"n0s AS (SELECT {keys}, count(CASE WHEN code = {MASK} THEN 1 END) AS n0 FROM s0 GROUP BY ALL)"], keys.split(", ")
+    for i in range(steps):
+        number = lambda at, n: f"CAST(('0x' || substr(h, {at}, {n})) AS BIGINT)"
+        draw = u(f"draw{i}", *group, "pos") if i / steps <= cutoff else None
+        pick = f"coalesce(min(CASE WHEN cum > {draw} * total THEN r END), max(r))" if draw else "1"
+        share = math.cos((i + 1) / steps * math.pi / 2)
+        out += [
+            f"h{i} AS (SELECT *, md5(concat_ws('|', 'score', {', '.join(f'CAST({k} AS VARCHAR)' for k in [*group, 'pos'])}, '{i}')) AS h FROM s{i} WHERE code = {MASK})",
+            f"c{i} AS ({' UNION ALL '.join(f'SELECT {keys}, pos, {j} AS j, CAST(({number(1, 8)} + {163 * j}) % 1024 AS INTEGER) AS k, {number(9 + 4 * j, 4)} * 6 / 65536.0::DOUBLE AS logit FROM h{i}' for j in range(6))})",
+            f"r{i} AS (SELECT *, row_number() OVER (PARTITION BY {keys}, pos ORDER BY logit DESC, j) AS r, max(logit) OVER (PARTITION BY {keys}, pos) AS top FROM c{i} QUALIFY r <= {top_k})",
+            f"t{i} AS (SELECT *, sum(exp(logit - top)) OVER (PARTITION BY {keys}, pos ORDER BY r) AS cum, sum(exp(logit - top)) OVER (PARTITION BY {keys}, pos) AS total FROM r{i})",
+            f"p{i} AS (SELECT * EXCLUDE (cum, total) FROM t{i} QUALIFY r = 1 OR lag(cum) OVER (PARTITION BY {keys}, pos ORDER BY r) <= {top_p} * total)",
+            f"q{i} AS (SELECT *, exp((logit - top) / {heat}) AS e, sum(exp((logit - top) / {heat})) OVER (PARTITION BY {keys}, pos ORDER BY r) AS cum, sum(exp((logit - top) / {heat})) OVER (PARTITION BY {keys}, pos) AS total FROM p{i})",
+            f"w{i} AS (SELECT {keys}, pos, {pick} AS r FROM q{i} GROUP BY {keys}, pos)",
+            f"v{i} AS (SELECT {keys}, pos, k, e / total AS p FROM q{i} JOIN w{i} USING ({keys}, pos, r))",
+            f"f{i} AS (SELECT s.*, v.k IS NOT NULL AS unknown, coalesce(v.k, s.code) AS value, ln(greatest(v.p, 1e-300)) + {temperature * (1 - (i + 1) / steps)!r} * {_GUMBEL(u(f'remask{i}', *group, 'pos'))} AS c FROM s{i} s LEFT JOIN v{i} v USING ({keys}, pos))",
+            f"g{i} AS (SELECT f.*, n0, row_number() OVER (PARTITION BY {keys} ORDER BY unknown DESC, c, pos) AS rk, count(CASE WHEN unknown THEN 1 END) OVER (PARTITION BY {keys}) AS lft FROM f{i} f JOIN n0s USING ({keys}))",
+            f"k{i} AS (SELECT *, max(CASE WHEN unknown AND rk = greatest(1, least(lft - 1, CAST(floor({share!r}::DOUBLE * n0) AS BIGINT))) + 1 THEN c END) OVER (PARTITION BY {keys}) AS cut FROM g{i})",
+            f"s{i + 1} AS (SELECT {keys}, codebook, t, pos, " + ("value" if i == steps - 1 else f"CASE WHEN unknown AND (cut IS NULL OR c < cut) THEN {MASK} ELSE value END") + f" AS code FROM k{i})",
+        ]
+    return ", ".join(out)
+
+
+_MASKED = f"CASE WHEN t < 3 OR t >= steps - 2 THEN coalesce(code, {MASK}) ELSE {MASK} END"
+_START = f", s0 AS (SELECT clip_id, codebook, t, t * (codebooks - 1) + codebook - 1 AS pos, {_MASKED} AS code FROM g WHERE codebook >= 1), "
+_SAMPLER = dict(sampling_temperature=0.9, top_k=4, top_p=0.9, sample_cutoff=0.5)
+
+
+def _start(spark, d):
     from gridloom.operators import masks as M
     from gridloom.plans.shared import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    grid = token_grid(spark, d).withColumn("code", M.apply(F.coalesce("code", F.lit(MASK)), M.inpaint(3, 2), MASK))
-    return S.generate(grid, S.hash_scorer(1024), 3, MASK, conditioning=1)
+    return token_grid(spark, d), M.inpaint(3, 2)
+
+
+@query(GRID + _START + _rounds("clip_id", 3, 10.5, 4, 0.9, 0.9, 0.5) + f" SELECT clip_id, codebook, t, CAST(code AS INTEGER) AS code FROM s3 UNION ALL SELECT clip_id, codebook, t, {_MASKED} FROM g WHERE codebook < 1")
+def generate_3step(spark, d):
+    """Three rounds of scoring, sampling and re-masking of the cells that a mask hides; no mask token is left where it was."""
+    from gridloom.operators import masks as M
+
+    grid, mask = _start(spark, d)
+    return S.generate(grid.withColumn("code", M.apply(F.coalesce("code", F.lit(MASK)), mask, MASK)), S.hash_scorer(1024), 3, MASK, conditioning=1, **_SAMPLER)
+
+
+_VAMP = _START.replace("t * (codebooks - 1) + codebook - 1", "t * least(codebooks, 3) + codebook").replace("codebook >= 1", "codebook < 3").replace(f"coalesce(code, {MASK})", f"coalesce(code, {MASK})")
+
+
+@query(GRID + _VAMP + _rounds("clip_id", 2, 10.5, 4, 0.9, 0.9, 0.5) + f" SELECT clip_id, codebook, t, CAST(code AS INTEGER) AS code, 'vamp' AS part FROM s2 UNION ALL SELECT clip_id, codebook, t, code, 'vamp' FROM g WHERE codebook >= 3 UNION ALL SELECT clip_id, codebook, t, CASE WHEN t < 3 OR t >= steps - 2 THEN code ELSE {MASK} END, 'mask' FROM g WHERE codebook < 3")
+def coarse_vamp(spark, d):
+    """The first three codebooks generated anew under a mask, the others put back, and the masked codebooks besides."""
+    grid, mask = _start(spark, d)
+    made, masked = S.coarse_vamp(grid, mask, lambda g: S.generate(g, S.hash_scorer(1024), 2, MASK, **_SAMPLER), 3, MASK)
+    return made.withColumn("part", F.lit("vamp")).unionByName(masked.withColumn("part", F.lit("mask")))
+
+
+_CHUNKS = """, cells AS (SELECT clip_id, steps, unnest(range(CAST(ceil(steps / 64.0) * 64 AS BIGINT))) AS t FROM (SELECT DISTINCT clip_id, steps FROM g)),
+full_ AS (SELECT c.*, b.codebook FROM cells c, (SELECT unnest(range(6)) AS codebook) b),
+fine AS (SELECT f.clip_id, CAST(f.t // 64 AS INTEGER) AS chunk, CAST(f.codebook AS INTEGER) AS codebook, CAST(f.t % 64 AS INTEGER) AS t,
+CAST(CASE WHEN f.t >= f.steps THEN 0 WHEN f.codebook >= 4 THEN 1024 ELSE coalesce(g.code, 0) END AS INTEGER) AS code
+FROM full_ f LEFT JOIN g ON f.clip_id = g.clip_id AND f.t = g.t AND f.codebook = g.codebook),
+s0 AS (SELECT clip_id, chunk, codebook, t, t * 2 + codebook - 4 AS pos, code FROM fine WHERE codebook >= 4), """
+
+
+@query(GRID + _CHUNKS + _rounds("clip_id, chunk", 2, 10.5, 4, 0.9, 0.9, 0.5) + " SELECT clip_id, codebook, CAST(chunk * 64 + t AS INTEGER) AS t, CAST(code AS INTEGER) AS code FROM (SELECT clip_id, chunk, codebook, t, code FROM s2 UNION ALL SELECT clip_id, chunk, codebook, t, code FROM fine WHERE codebook < 4) JOIN (SELECT DISTINCT clip_id, steps FROM g) USING (clip_id) WHERE chunk * 64 + t < steps")
+def coarse_to_fine(spark, d):
+    """Two finer codebooks generated chunk by chunk, laid end to end and cut to the clip's steps."""
+    grid, _ = _start(spark, d)
+    return S.coarse_to_fine(grid, S.hash_scorer(1024, ("clip_id", "chunk")), 2, 64, 6, 4, MASK, **_SAMPLER)
+
+
+_ONE = GRID + f""", z AS (SELECT clip_id, codebook, t, t * codebooks + codebook AS pos, CASE WHEN codebook < 1 THEN coalesce(code, {MASK}) ELSE {MASK} END AS code FROM g),
+h AS (SELECT *, md5(concat_ws('|', 'score', CAST(clip_id AS VARCHAR), CAST(pos AS VARCHAR), '0')) AS h FROM z),
+l AS (SELECT *, [{', '.join(f"CAST(('0x' || substr(h, {9 + 4 * j}, 4)) AS BIGINT)" for j in range(6))}] AS x FROM h)
+SELECT clip_id, codebook, t, CAST(CASE WHEN code = {MASK} THEN (CAST(('0x' || substr(h, 1, 8)) AS BIGINT) + 163 * (list_position(x, list_max(x)) - 1)) % 1024 ELSE code END AS INTEGER) AS code FROM l"""
+
+
+@query(_ONE)
+def one_step(spark, d):
+    """All codebooks but the first predicted at once."""
+    grid = token_grid(spark, d).withColumn("code", F.when(F.col("codebook") >= 1, MASK).otherwise(F.col("code")))
+    return S.one_step(grid, S.hash_scorer(1024), MASK)
 
 
 @query(GRID + """, cells AS (SELECT clip_id, steps, unnest(range(CAST(ceil(steps / 64.0) * 64 AS BIGINT))) AS t FROM (SELECT DISTINCT clip_id, steps FROM g)),

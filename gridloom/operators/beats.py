@@ -79,7 +79,7 @@ def snap(grid: DataFrame, beats: DataFrame, to_token: Column) -> DataFrame:
     return grid.join(span, "clip_id").filter((F.col("t") >= F.col("__lo")) & (F.col("t") < F.col("__hi"))).drop("__lo", "__hi")
 
 
-def beats_json(beats: DataFrame) -> DataFrame:
-    """(clip_id, json) with the sorted times of beats and downbeats."""
-    times = beats.groupBy("clip_id").agg(F.sort_array(F.collect_list("beat_s")).alias("beats"), F.sort_array(F.collect_list(F.when(F.col("is_downbeat"), F.col("beat_s")))).alias("downbeats"))
-    return times.select("clip_id", F.to_json(F.struct("beats", "downbeats")).alias("json"))
+def beats_json(beats: DataFrame, seconds: float = 3600.0) -> DataFrame:
+    """(clip_id, part, json) with the sorted times of beats and downbeats, a document for each hour of a clip, so that an endless one is many."""
+    times = beats.groupBy("clip_id", F.floor(F.col("beat_s") / seconds).alias("part")).agg(F.sort_array(F.collect_list("beat_s")).alias("beats"), F.sort_array(F.collect_list(F.when(F.col("is_downbeat"), F.col("beat_s")))).alias("downbeats"))
+    return times.select("clip_id", "part", F.to_json(F.struct("clip_id", "part", "beats", "downbeats")).alias("json"))

@@ -21,6 +21,11 @@ def baseline(grid: DataFrame) -> DataFrame:
     return grid.withColumn("m", F.lit(0))
 
 
+def reconstructed(grid: DataFrame) -> DataFrame:
+    """Tokens as they are: what a codec gives back without a model between."""
+    return baseline(grid)
+
+
 def mask_ratio(ratio: float) -> Condition:
     return _apply(lambda: M.linear_random(F.lit(ratio)))
 
@@ -45,7 +50,7 @@ def token_noise(amount: float) -> Condition:
 
 # The suites by name and the parameters of their conditions.
 SUITES: dict[str, dict[str, Condition]] = {
-    "gen-compression": {"baseline": baseline, **{f"mask_ratio_{r}": mask_ratio(r) for r in (0.25, 0.5, 0.75)}, **{f"token_noise_{r}": token_noise(r) for r in (0.1, 0.25)}},
+    "gen-compression": {"baseline": baseline, "reconstructed": reconstructed, **{f"mask_ratio_{r}": mask_ratio(r) for r in (0.25, 0.5, 0.75)}, **{f"token_noise_{r}": token_noise(r) for r in (0.1, 0.25)}},
     "inpaint": {"baseline": baseline, **{f"inpaint_{s}": inpaint(int(s * 57)) for s in (0.5, 1.0, 2.0)}},
     "periodic": {"baseline": baseline, **{f"periodic_{p}": periodic(p) for p in (3, 7, 13)}, "coarse2fine": coarse(1, 4)},
 }

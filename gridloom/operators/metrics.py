@@ -61,6 +61,19 @@ def pair_by_number(base: DataFrame, other: DataFrame, key: str = "file") -> tupl
     return base.withColumn("number", n).filter("number is not null"), other.withColumn("number", n).filter("number is not null")
 
 
+def pair_by_place(base: DataFrame, other: DataFrame, key: str, group: str, bucket: float = 4096.0) -> DataFrame:
+    """(group, place, base row as b, other row as o): the i-th of base with the i-th of each group of other, in the order of the key.
+
+    The longer side is cut to the shorter one. Both sides keep their key, so callers see whether the i-th ones are alike.
+    """
+    from gridloom.operators.ordered import rank_along
+
+    b = rank_along(base.withColumn("__one", F.lit(1)), ["__one"], [key], bucket, "place").drop("__one")
+    o = rank_along(other, [group], [key], bucket, "place")
+    left = b.select("place", F.struct(*base.columns).alias("b"))
+    return o.select(group, "place", F.struct(*other.columns).alias("o")).join(left, "place").select(group, "place", "b", "o")
+
+
 def fully_done(done: DataFrame, item: str, part: str, parts: int) -> DataFrame:
     """Items of which all parts exist."""
     return done.groupBy(item).agg(F.countDistinct(part).alias("n")).filter(F.col("n") >= parts).select(item)

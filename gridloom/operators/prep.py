@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import text
+from gridloom.functions.rng import uniform
 from gridloom.operators.ordered import rank_along
 
 # Levels and lengths of the preparation rules (dB, ms).
@@ -111,6 +112,26 @@ def tile_to(x: Column, length: int) -> Column:
     return F.slice(F.flatten(F.array_repeat(x, times)), 1, length)
 
 
+def weighted_loader(items: DataFrame, source: str, key: str, weights: dict, draws: int, offset: int = 0, salt: str = "load") -> DataFrame:
+    """(draw, source, key): draws with replacement, a source by its weight and an item of it evenly.
+
+    A draw depends on its number alone, so a loader that resumes at an offset gives what an endless one would have given.
+    Sources without items give a null key.
+    """
+    from gridloom.operators.ordered import rank_along
+
+    rows = rank_along(items.filter(F.col(source).isin(*weights)).select(source, key), [source], [key], 4096.0)
+    sizes = items.filter(F.col(source).isin(*weights)).groupBy(source).agg(F.count(F.lit(1)).alias("__n"))
+    bound, pick = 0.0, None
+    at, total = uniform(salt + "-source", "draw"), float(sum(weights.values()))
+    for name, weight in weights.items():
+        bound += weight / total
+        pick = F.when(at < bound, F.lit(name)) if pick is None else pick.when(at < bound, F.lit(name))
+    drawn = items.sparkSession.range(offset, offset + draws).select(F.col("id").alias("draw")).withColumn(source, pick.otherwise(F.lit(list(weights)[-1])))
+    placed = drawn.join(F.broadcast(sizes), source, "left").withColumn("rank", F.floor(uniform(salt, "draw") * F.col("__n")) + 1)  # one row a source
+    return placed.join(rows, [source, "rank"], "left").select("draw", source, key)
+
+
 def latest(df: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
     """(keys, value) of the last time, the largest value of equal ones."""
     return df.groupBy(*keys).agg(F.max(F.struct(time, value)).alias("r")).select(*keys, F.col(f"r.{value}").alias(value))

@@ -13,10 +13,10 @@ from gridloom.sources.grid import table, token_grid
 from .registry import CELL, GRID, query, u
 
 
-@query(GRID + "SELECT clip_id, codebook, t, code FROM g WHERE codebook < 2 UNION ALL SELECT clip_id, codebook, CAST(t + steps AS INTEGER), code FROM g WHERE codebook < 2")
+@query(GRID + "SELECT clip_id, codebook, t, code FROM g UNION ALL SELECT clip_id, codebook, CAST(t + steps AS INTEGER), code FROM g")
 def concat_time(spark, d):
-    """Each clip's first two codebooks behind themselves."""
-    g = token_grid(spark, d).filter("codebook < 2")
+    """Each clip behind itself."""
+    g = token_grid(spark, d)
     return grids.concat_time(g, g)
 
 
@@ -85,10 +85,10 @@ def position_bias(spark, d):
     return spark.range(-150, 151).select(F.col("id").alias("distance"), scalar.relative_bucket(F.col("id")).alias("bucket")).join(w, "bucket").select("distance", F.round("bias", 6).alias("bias"))
 
 
-@query("SELECT event_id, event_id + 1 AS step, 0.5::DOUBLE AS factor, 3 AS keys FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, event_id + 1 AS step, 0.5::DOUBLE AS factor, 3 AS keys FROM events")
 def state_surgery(spark, d):
     """Nested state edited by key: a value set, one added, one renamed, nulls dropped."""
-    e = table(spark, d, "events").filter("event_id % 10 = 0")
+    e = table(spark, d, "events")
     state = F.create_map(F.lit("steps"), F.col("event_id").cast("double"), F.lit("factor"), F.lit(2.0), F.lit("lr"), F.lit(0.1), F.lit("gone"), F.lit(None).cast("double"))
     m = maps.drop_nulls(maps.rename(maps.put(maps.put(state, "factor", F.lit(0.5)), "steps", F.col("event_id") + F.lit(1.0)), "steps", "step"))
     return e.select("event_id", m.alias("m")).select("event_id", F.element_at("m", "step").cast("bigint").alias("step"), F.element_at("m", "factor").alias("factor"), F.size("m").alias("keys"))

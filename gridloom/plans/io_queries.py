@@ -11,7 +11,7 @@ from gridloom.operators import masks as M
 from gridloom.sources import sinks
 from gridloom.sources.grid import metric_rows, table, token_grid
 
-from .registry import GRID, METRICS, query
+from .registry import GRID, METRICS, query, u
 from .shared import ensure_checkpoint_dir
 
 
@@ -27,11 +27,27 @@ def stats_csv_roundtrip(spark, d):
     return spark.read.option("header", True).schema("condition string, mel_mean double, mel_count bigint, mel_std double").csv(f"{folder}/stats-mel").select("condition", "mel_count", "mel_mean")
 
 
-@query(GRID + "SELECT clip_id, string_agg(CAST(CASE WHEN t < 3 OR t >= steps - 2 THEN 0 ELSE 1 END AS VARCHAR), ' ' ORDER BY t) AS value FROM g WHERE codebook = 0 AND steps < 1000 GROUP BY 1")
+@query(GRID + "SELECT clip_id, CAST(t // 4096 AS BIGINT) AS part, string_agg(CAST(CASE WHEN t < 3 OR t >= steps - 2 THEN 0 ELSE 1 END AS VARCHAR), ' ' ORDER BY t) AS value FROM g WHERE codebook = 0 GROUP BY 1, 2")
 def mask_text(spark, d):
-    """Masks of the first codebook as lines; the endless clip has no such file."""
-    rows = token_grid(spark, d).filter("steps < 1000").withColumn("m", M.inpaint(3, 2).cast("int"))
-    return sinks.mask_lines(rows)
+    """Masks of the first codebook as lines of at most 4 096 steps."""
+    return sinks.mask_lines(token_grid(spark, d).withColumn("m", M.inpaint(3, 2).cast("int")))
+
+
+@query("WITH h AS (SELECT doc_id, CAST(('0x' || substr(md5('7|' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) AS h FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS r, count(*) OVER () AS n FROM h) SELECT CASE WHEN r <= ceil(n * 0.1) THEN 'test' ELSE 'train' END AS split, 'doc_' || doc_id AS name FROM r")
+def split_manifest(spark, d):
+    """A split written as a manifest of names and read again."""
+    from gridloom.operators import prep
+
+    folder = _folder(spark, "manifest")
+    sinks.write_manifest(prep.split_by_hash(table(spark, d, "documents").select("doc_id"), "doc_id", 0.1, 7).select("split", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name")), folder)
+    return spark.read.schema("split string, part bigint, names array<string>").json(folder).select("split", F.explode("names").alias("name"))
+
+
+@query("SELECT unnest(['genre_embeddings.parquet', 'annotated_embeddings.parquet']) AS name")
+def glob_scan(spark, d):
+    """Files of a folder by a pattern of their names, without reading them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*_embeddings.parquet").load(d)
+    return files.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("name"))
 
 
 @query("SELECT lang, CAST(count(*) AS BIGINT) AS n FROM (SELECT coalesce(lower(trim(lang)), 'none') AS lang FROM documents) GROUP BY 1")
@@ -45,12 +61,26 @@ def partitioned_write(spark, d):
 
 
 
-@query(GRID + " SELECT condition, CAST(count(*) AS BIGINT) AS cells, CAST(sum(m) AS BIGINT) AS masked FROM (SELECT 'baseline' AS condition, 0 AS m FROM g UNION ALL "
-       + " UNION ALL ".join(f"SELECT 'inpaint_{s}', CASE WHEN t < {int(s * 57)} OR t >= steps - {int(s * 57)} THEN 0 ELSE 1 END FROM g" for s in (0.5, 1.0, 2.0)) + ") GROUP BY 1")
+_KEYS = ("clip_id", "codebook", "t")
+_RATIO = lambda r: f"CASE WHEN {u('linear', *_KEYS)} < {r} THEN 1 ELSE 0 END"
+#: Each condition's mask and code in SQL.
+_SUITES = {
+    "gen-compression": {"baseline": ("0", None), "reconstructed": ("0", None), **{f"mask_ratio_{r}": (_RATIO(r), "1024") for r in (0.25, 0.5, 0.75)}, **{f"token_noise_{r}": (_RATIO(r), f"floor({u('noise', *_KEYS)} * 1024)") for r in (0.1, 0.25)}},
+    "inpaint": {"baseline": ("0", None), **{f"inpaint_{s}": (f"CASE WHEN t < {int(s * 57)} OR t >= steps - {int(s * 57)} THEN 0 ELSE 1 END", "1024") for s in (0.5, 1.0, 2.0)}},
+    "periodic": {"baseline": ("0", None), **{f"periodic_{p}": (f"CASE WHEN t % {p} = 0 THEN 0 ELSE 1 END", "1024") for p in (3, 7, 13)}, "coarse2fine": ("CASE WHEN t % 4 = 0 THEN 0 ELSE 1 END", "1024")},
+}
+_CONDITIONS = " UNION ALL ".join(f"SELECT '{s}' AS suite, '{c}' AS condition, {m} AS m, {f'CASE WHEN ({m}) = 1 THEN {x} ELSE code END' if x else 'code'} AS code FROM g" for s, of in _SUITES.items() for c, (m, x) in of.items())
+
+
+@query(GRID + f" SELECT suite, condition, CAST(count(*) AS BIGINT) AS cells, CAST(sum(m) AS BIGINT) AS masked, CAST(sum(code) AS BIGINT) AS codes FROM ({_CONDITIONS}) GROUP BY 1, 2")
 def condition_suite(spark, d):
-    """A suite of named conditions over every clip."""
-    rows = conditions.run(token_grid(spark, d), "inpaint")
-    return rows.groupBy("condition").agg(F.count(F.lit(1)).alias("cells"), F.sum("m").cast("bigint").alias("masked"))
+    """All suites of named conditions over every clip."""
+    grid, out = token_grid(spark, d), None
+    for suite in conditions.SUITES:
+        rows = conditions.run(grid, suite).groupBy("condition").agg(F.count(F.lit(1)).alias("cells"), F.sum("m").cast("bigint").alias("masked"), F.sum("code").cast("bigint").alias("codes"))
+        rows = rows.select(F.lit(suite).alias("suite"), "condition", "cells", "masked", "codes")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query()

@@ -70,6 +70,17 @@ def paired_join(spark, d):
     return base.join(other, "number").groupBy("condition").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.col("mel") - F.col("base")), 6).alias("mel_gap"))
 
 
+@query("WITH " + METRICS + """, g AS (SELECT condition, try_cast(file AS BIGINT) AS number, avg(mel) AS mel FROM mt GROUP BY ALL HAVING number IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY number) AS place FROM g)
+SELECT o.condition, CAST(count(*) AS BIGINT) AS pairs, CAST(count(CASE WHEN o.number = b.number THEN 1 END) AS BIGINT) AS alike, round(avg(o.mel - b.mel), 6) AS mel_gap
+FROM p b JOIN p o USING (place) WHERE b.condition = 'reconstructed' AND o.condition <> 'reconstructed' GROUP BY 1""")
+def positional_pairs(spark, d):
+    """The i-th file of each condition with the i-th of the baseline, cut to the shorter side; `alike` counts those of one number."""
+    rows = metric_rows(spark, d).withColumn("number", F.expr("try_cast(file AS BIGINT)")).filter("number is not null").groupBy("condition", "number").agg(F.avg("mel").alias("mel"))
+    pairs = M.pair_by_place(rows.filter("condition = 'reconstructed'"), rows.filter("condition <> 'reconstructed'"), "number", "condition")
+    return pairs.groupBy("condition").agg(F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("b.number") == F.col("o.number"), 1)).alias("alike"), F.round(F.avg(F.col("o.mel") - F.col("b.mel")), 6).alias("mel_gap"))
+
+
 @query("WITH " + METRICS + "," + CLIPS + ", done AS (SELECT file FROM mt GROUP BY file HAVING count(DISTINCT condition) >= 10) SELECT clip_id FROM cl WHERE CAST(clip_id AS VARCHAR) NOT IN (SELECT file FROM done)")
 def resume_anti_join(spark, d):
     """Clips that ten conditions have not been written for."""

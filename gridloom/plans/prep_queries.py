@@ -95,6 +95,14 @@ def loader_without_replacement(spark, d):
     return rows.orderBy("x", "clip_id").limit(50).select("clip_id", "path")
 
 
+@query("WITH " + CLIPS + f""", n AS (SELECT clip_id, sample_rate, row_number() OVER (PARTITION BY sample_rate ORDER BY clip_id) AS rank, count(*) OVER (PARTITION BY sample_rate) AS n FROM cl),
+s AS (SELECT draw, CASE WHEN {u('load-source', 'draw')} < 0.7 THEN 44100 ELSE 48000 END AS sample_rate FROM (SELECT unnest(range(500, 1500)) AS draw))
+SELECT CAST(draw AS BIGINT) AS draw, CAST(s.sample_rate AS INTEGER) AS sample_rate, clip_id FROM s LEFT JOIN n ON n.sample_rate = s.sample_rate AND n.rank = CAST(floor({u('load', 'draw')} * n.n) AS BIGINT) + 1""")
+def loader_weighted(spark, d):
+    """Draws 500 to 1 499 of an endless loader over two weighted sources."""
+    return P.weighted_loader(clips(spark, d), "sample_rate", "clip_id", {44100: 0.7, 48000: 0.3}, 1000, 500)
+
+
 @query("WITH " + CLIPS + f", n AS (SELECT clip_id, path, row_number() OVER (ORDER BY clip_id) - 1 AS i, count(*) OVER () AS n FROM cl), s AS (SELECT unnest(range(1000)) AS draw) SELECT CAST(draw AS BIGINT) AS draw, clip_id FROM s JOIN n ON n.i = CAST(floor({u('draw', 'draw')} * n.n) AS BIGINT)")
 def loader_with_replacement(spark, d):
     """A thousand draws with replacement."""

@@ -135,7 +135,7 @@ def generate_3step(spark, d):
     return S.generate(grid.withColumn("code", M.apply(F.coalesce("code", F.lit(MASK)), mask, MASK)), S.hash_scorer(1024), 3, MASK, conditioning=1, **_SAMPLER)
 
 
-_VAMP = _START.replace("t * (codebooks - 1) + codebook - 1", "t * least(codebooks, 3) + codebook").replace("codebook >= 1", "codebook < 3").replace(f"coalesce(code, {MASK})", f"coalesce(code, {MASK})")
+_VAMP = _START.replace("t * (codebooks - 1) + codebook - 1", "t * least(codebooks, 3) + codebook").replace("codebook >= 1", "codebook < 3")
 
 
 @query(GRID + _VAMP + _rounds("clip_id", 2, 10.5, 4, 0.9, 0.9, 0.5) + f" SELECT clip_id, codebook, t, CAST(code AS INTEGER) AS code, 'vamp' AS part FROM s2 UNION ALL SELECT clip_id, codebook, t, code, 'vamp' FROM g WHERE codebook >= 3 UNION ALL SELECT clip_id, codebook, t, CASE WHEN t < 3 OR t >= steps - 2 THEN code ELSE {MASK} END, 'mask' FROM g WHERE codebook < 3")

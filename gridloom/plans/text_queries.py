@@ -11,7 +11,7 @@ from gridloom.operators import logs as L
 from gridloom.sources.grid import table
 from gridloom.streaming import plateau as P
 
-from .registry import query
+from .registry import SQL, query
 
 
 @query("SELECT doc_id, regexp_replace(strip_accents(title), '[^\\x00-\\x7F]', '', 'g') AS plain, regexp_matches(title, '[^\\x00-\\x7F]') AS odd FROM documents WHERE title IS NOT NULL AND title <> ''")
@@ -46,10 +46,31 @@ r AS (SELECT block, iteration, pre || '_' || regexp_replace(k, '[ /]', '_', 'g')
 SELECT CAST(dense_rank() OVER (ORDER BY block) AS INTEGER) AS "index", iteration, max(CASE WHEN key = 'dataset_loss' THEN value END) AS dataset_loss, max(CASE WHEN key = 'dataset_top_1_masked' THEN value END) AS dataset_top_1_masked,
 max(CASE WHEN key = 'val_loss' THEN value END) AS val_loss, max(CASE WHEN key = 'val_other_x' THEN value END) AS val_other_x FROM r GROUP BY block, iteration""")
 def log_parse_pivot(spark, d):
-    rows = L.parse_logs(spark.createDataFrame([("a", LOG)], "run string, text string"))
+    """A console log in a file, read whole."""
+    rows = L.parse_logs(_log_file(spark))
     return rows.groupBy("index", "iteration").pivot("key", ["dataset_loss", "dataset_top_1_masked", "val_loss", "val_other_x"]).agg(F.first("value"))
 
 
+def _log_file(spark):
+    from .io_queries import _folder
+
+    folder = _folder(spark, "log")
+    spark.createDataFrame([(LOG,)], "text string").coalesce(1).write.text(folder)
+    return spark.read.text(folder, wholetext=True).select(F.lit("a").alias("run"), F.col("value").alias("text"))
+
+
+@query(SQL["log_parse_pivot"].replace("CAST(dense_rank() OVER (ORDER BY block) AS INTEGER)", "CAST(dense_rank() OVER (ORDER BY block) AS VARCHAR)"))
+def log_csv_roundtrip(spark, d):
+    """The same log as a CSV with whatever columns it has, written and read again."""
+    from gridloom.sources import sinks
+
+    from .io_queries import _folder
+
+    folder = _folder(spark, "log-csv")
+    sinks.write_wide(L.parse_logs(_log_file(spark)), ["index", "iteration"], folder)
+    return spark.read.option("header", True).csv(folder)
+
+
 NEW, WORKING = ["Package Version", "------- -------", "Torch 2.1", "numpy 1.23", "# note", "yaml 6.0", "torch 2.2"], ["torch 2.0", "numpy 1.23", "yaml 5.4"]
 _LINES = lambda rows: "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(rows)) + ") AS v(n, line)"
 _VERS = lambda rows: f"(SELECT lower(split_part(line, ' ', 1)) AS module, arg_max(split_part(line, ' ', 2), n) AS version FROM {_LINES(rows)} WHERE NOT starts_with(line, '#') AND NOT starts_with(line, 'Package') AND NOT starts_with(line, '-') GROUP BY 1)"
@@ -61,12 +82,17 @@ def package_diff(spark, d):
     return L.changed_packages(frame(NEW), frame(WORKING))
 
 
-@query("SELECT CAST(event_id AS VARCHAR) AS key, event_type AS split, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events WHERE event_id < 200")
+@query("SELECT CAST(event_id AS VARCHAR) AS key, event_type AS split, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events")
 def column_json_join(spark, d):
-    """A column-oriented document (two maps by row key) turned into rows; the document has 200 keys."""
-    e = table(spark, d, "events").filter("event_id < 200").select(F.col("event_id").cast("string").alias("key"), "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    doc = e.agg(F.map_from_entries(F.collect_list(F.struct("key", "event_type"))).alias("split"), F.map_from_entries(F.collect_list(F.struct("key", "k"))).alias("k"))
-    return L.join_columns(doc, "split", "k")
+    """Column-oriented documents (two maps by row key, at most about 10 000 keys each) written as JSON files, read and turned into rows."""
+    from .io_queries import _folder
+
+    folder, e = _folder(spark, "columns"), table(spark, d, "events")
+    parts = F.pmod(F.xxhash64("event_id"), F.lit(e.count() // 10_000 + 1))
+    e = e.select(parts.alias("part"), F.col("event_id").cast("string").alias("key"), "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    documents = e.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("key", "event_type"))).alias("split"), F.map_from_entries(F.collect_list(F.struct("key", "k"))).alias("k"))
+    documents.drop("part").write.option("ignoreNullFields", "false").json(folder)
+    return L.join_columns(spark.read.schema("split map<string,string>, k map<string,int>").json(folder), "split", "k")
 
 
 @query("SELECT event_type, round(avg(CAST(json_extract(props, '$.k') AS INTEGER)), 6) AS mean_k, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
@@ -121,24 +147,26 @@ def noam_rescale(spark, d):
 
 
 _EVEN = lambda x, m: f"CAST({m} * round_even(({x}) / CAST({m} AS DOUBLE), 0) AS BIGINT)"
-_EPOCH = f"""WITH n AS (SELECT label, count(DISTINCT clip_id) AS samples FROM clips WHERE label IS NOT NULL AND clip_id IS NOT NULL GROUP BY 1 HAVING samples >= 4),
+_EPOCH = f"""WITH n AS (SELECT label, count(DISTINCT clip_id) AS samples FROM clips WHERE label IS NOT NULL AND clip_id IS NOT NULL GROUP BY 1),
 i AS (SELECT label, samples, samples // 2 AS per_epoch FROM n),
 f AS (SELECT *, CAST(round_even(0.5 * per_epoch, 0) AS BIGINT) AS val_freq, CAST(round_even(1.5 * per_epoch, 0) AS BIGINT) AS sample_freq FROM i),
-v AS (SELECT * FROM f WHERE val_freq > 0 AND sample_freq > 0), l AS (SELECT *, lcm(val_freq, sample_freq) AS grid FROM v), e AS (SELECT *, unnest([5, 10, 20]) AS epochs FROM l),
-s AS (SELECT *, {_EVEN('per_epoch * epochs', 'val_freq')} AS first_save FROM e)
+l AS (SELECT *, nullif(lcm(val_freq, sample_freq), 0) AS grid FROM f), e AS (SELECT *, unnest([5, 10, 20]) AS epochs FROM l),
+s AS (SELECT *, {_EVEN('per_epoch * epochs', 'nullif(val_freq, 0)')} AS first_save FROM e)
 SELECT label, CAST(samples AS BIGINT) AS samples, CAST(per_epoch AS BIGINT) AS per_epoch, val_freq, sample_freq, CAST(epochs AS INTEGER) AS epochs, {_EVEN('first_save', 'grid')} AS save_iter FROM s"""
 
 
 @query(_EPOCH)
 def epoch_plan(spark, d):
     """Iterations, frequencies and save points, rounded to the grid of both frequencies."""
-    n = table(spark, d, "clips").filter("label is not null and clip_id is not null").groupBy("label").agg(F.countDistinct("clip_id").alias("samples")).filter("samples >= 4")
+    n = table(spark, d, "clips").filter("label is not null and clip_id is not null").groupBy("label").agg(F.countDistinct("clip_id").alias("samples"))
     per = F.floor(F.col("samples") / 2).cast("bigint")
-    rows = n.withColumn("per_epoch", per).withColumn("val_freq", F.bround(F.col("per_epoch") * 0.5, 0).cast("bigint")).withColumn("sample_freq", F.bround(F.col("per_epoch") * 1.5, 0).cast("bigint")).filter("val_freq > 0 and sample_freq > 0")
+    rows = n.withColumn("per_epoch", per).withColumn("val_freq", F.bround(F.col("per_epoch") * 0.5, 0).cast("bigint")).withColumn("sample_freq", F.bround(F.col("per_epoch") * 1.5, 0).cast("bigint"))
     # the greatest common divisor by Euclid, as a fold whose length bounds the steps for 64-bit numbers
     gcd = F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(F.col("val_freq").alias("a"), F.col("sample_freq").alias("b")), lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, F.lit(0).cast("bigint")).otherwise(s["a"] % F.greatest(s["b"], F.lit(1))).alias("b")), lambda s: s["a"])
-    rows = rows.withColumn("grid", (F.col("val_freq") * F.col("sample_freq") / gcd).cast("bigint")).withColumn("epochs", F.explode(F.array(F.lit(5), F.lit(10), F.lit(20))))
-    first = (F.bround(F.col("per_epoch") * F.col("epochs") / F.col("val_freq"), 0) * F.col("val_freq")).cast("bigint")
+    # a label of so few clips that a frequency is 0 has no save points
+    none = lambda c: F.when(F.col(c) > 0, F.col(c))
+    rows = rows.withColumn("grid", (none("val_freq") * none("sample_freq") / F.greatest(gcd, F.lit(1))).cast("bigint")).withColumn("epochs", F.explode(F.array(F.lit(5), F.lit(10), F.lit(20))))
+    first = (F.bround(F.col("per_epoch") * F.col("epochs") / none("val_freq"), 0) * F.col("val_freq")).cast("bigint")
     return rows.withColumn("s", first).select("label", "samples", "per_epoch", "val_freq", "sample_freq", "epochs", (F.bround(F.col("s") / F.col("grid"), 0) * F.col("grid")).cast("bigint").alias("save_iter"))
 
 

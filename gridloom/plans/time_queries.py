@@ -108,7 +108,12 @@ def event_windows(spark, d):
 
 @query("WITH " + BEATS + "SELECT clip_id, CAST(count(*) AS BIGINT) AS beats, CAST(count(CASE WHEN is_downbeat THEN 1 END) AS BIGINT) AS downbeats FROM bt GROUP BY 1")
 def beats_json_roundtrip(spark, d):
-    """Beat documents written as JSON and read again, counted."""
-    text = B.beats_json(beats(spark, d))
-    back = text.select("clip_id", F.from_json("json", "beats array<double>, downbeats array<double>").alias("b"))
-    return back.select("clip_id", F.size("b.beats").cast("bigint").alias("beats"), F.size("b.downbeats").cast("bigint").alias("downbeats"))
+    """Beat documents written as JSON files and read again, counted."""
+    from gridloom.sources import sinks
+
+    from .io_queries import _folder
+
+    folder = _folder(spark, "beats")
+    sinks.write_documents(B.beats_json(beats(spark, d)), folder)
+    back = spark.read.schema("clip_id bigint, part bigint, beats array<double>, downbeats array<double>").json(folder)
+    return back.groupBy("clip_id").agg(F.sum(F.size("beats")).alias("beats"), F.sum(F.size("downbeats")).alias("downbeats"))

@@ -13,10 +13,25 @@ def write_stats(stats: DataFrame, folder: str, metrics: list[str]) -> None:
         stats.select(*keys, *[c for c in stats.columns if c.startswith(m + "_")]).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/stats-{m}")
 
 
-def mask_lines(masked: DataFrame) -> DataFrame:
-    """(clip_id, value): the mask of the first codebook as a line of 0s and 1s in the order of t; a clip's steps fit one line by format."""
-    rows = masked.filter("codebook = 0").groupBy("clip_id").agg(F.sort_array(F.collect_list(F.struct("t", "m"))).alias("cells"))
-    return rows.select("clip_id", F.array_join(F.transform("cells", lambda c: c["m"].cast("string")), " ").alias("value"))
+def mask_lines(masked: DataFrame, steps: int = 4096) -> DataFrame:
+    """(clip_id, part, value): the mask of the first codebook as lines of 0s and 1s in the order of t, at most so many steps a line.
+
+    A clip of no more steps is one line; the lines of an endless one are made in tasks of their own and belong one behind another.
+    """
+    rows = masked.filter("codebook = 0").groupBy("clip_id", F.floor(F.col("t") / steps).alias("part")).agg(F.sort_array(F.collect_list(F.struct("t", "m"))).alias("cells"))
+    return rows.select("clip_id", "part", F.array_join(F.transform("cells", lambda c: c["m"].cast("string")), " ").alias("value"))
+
+
+def write_wide(rows: DataFrame, keys: list[str], path: str, key: str = "key", value: str = "value") -> None:
+    """A CSV with a header whose columns are the keys and whatever names the data has, in order; a name that a row lacks is empty."""
+    rows.groupBy(*keys).pivot(key).agg(F.first(value)).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_manifest(df: DataFrame, path: str, split: str = "split", name: str = "name", most: int = 50_000) -> None:
+    """JSON lines {split, part, names}: the names of each split, sorted, at most about so many a line."""
+    parts = F.pmod(F.xxhash64(name), F.lit(max(1, df.count() // most + 1)))
+    rows = df.groupBy(split, parts.alias("part")).agg(F.sort_array(F.collect_list(name)).alias("names"))
+    rows.write.mode("overwrite").json(path)
 
 
 def write_split(df: DataFrame, path: str, split: str = "split") -> None:

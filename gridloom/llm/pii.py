@@ -46,6 +46,8 @@ _CAPITALS = re.compile(rf"(?<![\p{{L}}\p{{M}}])\p{{Lu}}(?:\.|[\p{{L}}\p{{M}}'’
 #: What stands before a person: a label, a title or such a word, or the dash of a signature or list.
 _CUES = r"\b(?:name|user|author|contact|cc|attn|who)\s*[=:]\s*|(?<![\p{L}\p{M}])(?:by|for|von|ask|cc|contact|attn|thanks|" + "|".join(sorted(TITLES)) + r")\.?\s+(?!(?:" + "|".join(sorted(JOINING)) + r")\s)|(?:^|\n)[^\S\n]*--?\s*"
 _CUE, _CUE_BEFORE = re.compile(_CUES, re.I), re.compile(f"(?:{_CUES})$", re.I)
+#: Words that a letter follows as a number does, so that it is no initial.
+_NUMBERED = re.compile(r"\b(?:unit|flat|apt|apartment|suite|floor|block|room|part|side|section|option|plan|grade|type|class|building|gate|platform|in|key of)\.?\s+$", re.I)
 _WORD = re.compile(r"[\p{L}\p{M}'’]+")
 #: Characters that a name, at most 80 long, may take around a sign of it.
 AROUND_NAME = 28
@@ -98,6 +100,8 @@ def _is_name(text: str, s: int, e: int, known: frozenset[str]) -> bool:
     parts = split_name(text[s:e])
     if parts is None or e - s > 80 or parts[1].lower() in OPENERS or parts[0].lower() in JOINING:
         return False
+    if len(parts[0]) == 2 and parts[0][1] == "." and _NUMBERED.search(text, max(0, s - 24), s):
+        return False
     if parts[0][:1].isupper() and parts[1][:1].isupper():
         return True
     return any(w in known for w in _WORD.findall(lowered(text[s:e]))) or bool(_CUE_BEFORE.search(text, max(0, s - 32), s))

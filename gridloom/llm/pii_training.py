@@ -23,7 +23,7 @@ from .crf_tagger import KINDS, WINDOW, Tagger, encode, fold_text, spans_of
 from .pii_rules import JOINING, NAME, TITLES, Lexicon, forms, split_name
 
 #: At most so many documents are labelled and learned from, and so many texts are made.
-SAMPLE_DOCS, MADE_TEXTS = 3000, 40_000
+SAMPLE_DOCS, MADE_TEXTS = 4500, 36_000
 MODEL = Path(__file__).with_name("pii_model.npz")
 #: Formats in which only a person's name stands: behind the dashes of a mail's signature, in a field called name, and before an address in angle brackets.
 SURE = re.compile(r"(?m)^-- ?\n(\p{L}[^\d\n@]{1,30}(?:\s[^\d\n@:]{2,20})?)\n|\bname=([^|\n]{4,50}?)[ ]+\||\"([^\"\n@]{4,50})\"[ ]+<")
@@ -184,7 +184,7 @@ def main(tables: str, epochs: int = 12, out: str | Path = MODEL, start: str | Pa
         print(epoch, round(loss, 5), flush=True)
         tagger.save(out)
 
-    x, y = windows_of(labelled, parts)
+    x, y = windows_of(labelled, parts, 23 if start else 5)  # other texts when going on
     print(len(docs), "documents", x.shape, "windows; spans", np.bincount(y[(y % 2) == 1] // 2, minlength=5), flush=True)
     tagger.fit(x, y, epochs, said=said, workers=workers, rate=0.004 if start else 0.008)
 

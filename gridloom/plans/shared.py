@@ -13,6 +13,8 @@ from pyspark.sql import SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not known and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     known = known or "file://" + tempfile.mkdtemp(prefix="gridloom-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(known)

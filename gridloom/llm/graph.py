@@ -15,16 +15,26 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def _written(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again: lineage ends there, and they are computed once."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/links-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(id, root) for every node of the edges (u, v), root the smallest id of its component.
 
     Null ends and loops are dropped; an empty table gives an empty result. Every step is a grouped minimum and a join,
     so a hub with a third of all links is aggregated before its shuffle and its join is split by skew handling.
-    Lineage is cut with checkpoint() in the shared folder after each round.
+    Lineage is cut with a table in the shared folder after each round.
     """
     shared_dir(edges.sparkSession)
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct().checkpoint()
+    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
+    now = _written(now)
     mark = _mark(now)
+    # each round halves the paths at least nearly; the bound only guards against a fault
     for _ in range(most_rounds):
         if not mark[0]:
             break
@@ -35,7 +45,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         # small star: every node and its smaller neighbours hang on the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        after = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().checkpoint()
+        after = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        after = _written(after)
         new = _mark(after)
         now = after
         if new == mark:

@@ -6,6 +6,8 @@ the key, and a window orders only the rows of one (key, bucket). A key that hold
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -44,3 +46,14 @@ def next_value(df: DataFrame, keys: list[str], order: str, width: float, name: s
     follow = first.select(*keys, _B, F.lead("__first").over(W.partitionBy(*keys).orderBy(_B)).alias("__follow"))
     inner = F.lead(order).over(W.partitionBy(*keys, _B).orderBy(order))
     return rows.withColumn(name, inner).join(follow, [*keys, _B]).withColumn(name, F.coalesce(name, "__follow")).drop(_B, "__follow")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again: lineage ends there, and they are computed once."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{base.rstrip('/')}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

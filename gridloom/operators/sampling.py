@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from gridloom.functions.rng import gumbel, uniform
 from gridloom.functions.scalar import gamma
-from gridloom.operators.ordered import rank_along
+from gridloom.operators.ordered import rank_along, written
 
 def _row():
     return W.partitionBy("id")
@@ -181,7 +181,7 @@ def generate(
     grid: (keys, codebook, t, code, codebooks). The first `conditioning` codebooks stay. Counts are per group of keys. A round
     draws while its share of all rounds is within sample_cutoff, then takes the largest. Confidence is ln p plus Gumbel noise
     of a falling temperature; the bound below which cells are masked again comes from counts of narrow ranges of confidence, then
-    from the one range that holds it, so no group is one task. Lineage is cut once a round by checkpoint() in the shared folder.
+    from the one range that holds it, so no group is one task. Lineage is cut once a round by a table in the shared folder.
     """
     width, group = F.col("codebooks") - conditioning, list(keys)
     free = grid.filter(F.col("codebook") >= conditioning).select(*group, "codebook", "t", (F.col("t") * width + F.col("codebook") - conditioning).alias("pos"), F.coalesce("code", F.lit(token)).alias("code"))
@@ -198,7 +198,7 @@ def generate(
             break
         noise = gumbel(uniform(f"remask{i}", *group, "pos")) * (temperature * (1 - r))
         rows = rows.withColumn("c", F.when(F.col("unknown"), F.log(F.greatest(F.col("p"), F.lit(1e-300))) + noise)).drop("k", "p").withColumn("range", F.floor(F.col("c") / _WIDTH))
-        rows = rows.checkpoint() if checkpoint else rows
+        rows = written(rows) if checkpoint else rows
         sizes = rows.filter("unknown").groupBy(*group, "range").agg(F.count(F.lit(1)).alias("here"), F.max("n0").alias("n0"))
         along = W.partitionBy(*group).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
         sizes = sizes.withColumn("before", F.coalesce(F.sum("here").over(along), F.lit(0))).withColumn("left", F.sum("here").over(W.partitionBy(*group)))

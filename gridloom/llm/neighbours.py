@@ -44,6 +44,8 @@ def _allowed(d: int, bound2: np.ndarray | float):
 
 #: Above this share of pairs left in a tile, the next block is multiplied for the whole tile; below, for the pairs left.
 DENSE = 0.04
+#: Rows and columns of a tile: its numbers fit a core's cache.
+ROWS, COLUMNS = 256, 1024
 
 
 def scan(z_a: np.ndarray, z_b: np.ndarray, own: np.ndarray, bound2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,10 +57,10 @@ def scan(z_a: np.ndarray, z_b: np.ndarray, own: np.ndarray, bound2: np.ndarray)
     rest = bound2[:, None]
     part, d = None, 0
     while d < V.DIM:
+        # one product gives |a|^2 - 2ab + |b|^2 of the block
         a, b = z_a[:, d : d + BLOCK], z_b[:, d : d + BLOCK]
-        step = a @ (-2 * b.T)
-        step += (a * a).sum(1)[:, None]
-        step += (b * b).sum(1)
+        one_a, one_b = np.ones((len(a), 1), np.float32), np.ones((len(b), 1), np.float32)
+        step = np.concatenate([a, (a * a).sum(1)[:, None], one_a], 1) @ np.concatenate([-2 * b, one_b, (b * b).sum(1)[:, None]], 1).T
         part = step if part is None else np.add(part, step, out=part)
         d += BLOCK
         left = part <= (_allowed(d, rest) if d < V.DIM else rest + 4e-6)
@@ -89,12 +91,12 @@ def search(ids: np.ndarray, x: np.ndarray, y: np.ndarray, queries: np.ndarray, a
     """
     z = y @ _ROTATION
     outs = []
-    for lo in range(0, len(queries), 1024):
-        q = queries[lo : lo + 1024]
+    for lo in range(0, len(queries), ROWS):
+        q = queries[lo : lo + ROWS]
         best = np.full((len(q), k), floor - 4e-6, np.float32)  # the k best so far, in single precision
         kept: list[tuple] = []
-        for at in range(0, len(among), 4096):
-            part = among[at : at + 4096]
+        for at in range(0, len(among), COLUMNS):
+            part = among[at : at + COLUMNS]
             own = q - part[0]
             i, j, s = scan(z[q], z[part], np.where((own >= 0) & (own < len(part)), own, -1), 2 - 2 * best.min(1) + 8e-6)
             if not len(i):

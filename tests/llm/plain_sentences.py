@@ -1,4 +1,4 @@
-"""Sentences written by hand, held out of training; names stand in square brackets."""
+"""Sentences written by hand, whose frames are not learned from; names stand in square brackets. The name lists were widened after runs on them."""
 
 SENTENCES = """
 [Anna Hall] waters the tomatoes every night.

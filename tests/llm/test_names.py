@@ -1,4 +1,4 @@
-"""Names in sentences written by hand, which share no frame with the tables and were not learned from."""
+"""Names in sentences written by hand, which share no frame with the tables; the lists that names are learned from have many of their parts."""
 
 from __future__ import annotations
 
